@@ -89,9 +89,17 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, az, az.lower()))
 
 
-#: Fixed by the contract of the decontamination query: what counts as a word, once A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed by the contract of the decontamination query: what stands between words, before A-Z are lower-cased.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def fenced_words(c: Column) -> Column:
+    """The words of a text, not yet lower-cased, with an empty string before the first and after the last.
+
+    split() takes time in proportion to the text; regexp_extract_all() copies the text at each match."""
+    return F.split(F.concat(F.lit(" "), c, F.lit(" ")), BETWEEN_WORDS)
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(c), F.lit(WORD), F.lit(0))
+    w = fenced_words(ascii_lower(c))
+    return F.slice(w, F.lit(2), F.size(w) - 2)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import small, text_of, words, written
+from ._shared import ascii_lower, fenced_words, small, text_of, words, written
 
 WIDTH = 8
 
@@ -36,37 +36,45 @@ def windows_of(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", te
     return w.select("item_id", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s, width))).alias("gram")).distinct()
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each document's words and, as a last element, the empty term."""
+def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each word of each document and for the empty term at its end; pos counts from 1.
+
+    Only the words are lower-cased, one by one: most are ASCII, for which that is cheap. A 64-bit hash of the term
+    is the join key: Spark has a faster table for such keys, and a collision only adds a posting, which the
+    comparison of whole windows rejects. explode_outer() because explode() would make Spark split each text twice."""
     text = text_of(docs, text_col)
-    return docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("h"), F.concat(words(text), F.array(F.lit(""))).alias("w"))
+    each = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("h"), fenced_words(text).alias("w"))
+    each = each.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "term"))
+    return each.withColumn("t", F.xxhash64(ascii_lower(F.col("term")))).where("pos > 0")
 
 
 def anchored(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gram, term, off): each distinct window with its rarest term by counts over all docs, and that term's offset."""
+    """(gram, t, off): each distinct window with its rarest term by counts over all docs, and that term's offset."""
     grams = grams.select("gram").distinct()
-    terms = grams.select(F.explode("gram").alias("term")).distinct()
-    each = _documents(docs, id_col, text_col).select(F.explode("w").alias("term"))
-    counts = each.join(small(terms), "term").groupBy("term").count()
-    at = grams.select("gram", F.posexplode("gram").alias("off", "term")).join(counts, "term", "left")
-    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "term")).alias("r")
-    return at.groupBy("gram").agg(rarest).select("gram", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
+    at = grams.select("gram", F.posexplode("gram").alias("off", "term")).withColumn("t", F.xxhash64("term"))
+    counts = _tokens(docs, id_col, text_col).select("t").join(small(at.select("t").distinct()), "t").groupBy("t").count()
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "t")).alias("r")
+    return at.join(counts, "t", "left").groupBy("gram").agg(rarest).select("gram", F.col("r.t").alias("t"), F.col("r.off").alias("off"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored postings (term, doc_id, h, pos, from, around) of `terms`, and of the empty term at each document's end."""
-    listed = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
-    each = _documents(docs, id_col, text_col).select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term"))
-    first = F.greatest(F.lit(0), F.col("pos") - radius)
+    """The stored postings (t, doc_id, h, pos, from, around) of `terms`, and of the empty term at each document's end.
+
+    pos counts from 0 here; t is the term's hash; around holds the words, as written, from place `from` on."""
+    end = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("t"), F.lit(True).alias("end"))
+    listed = terms.select("t", F.lit(False).alias("end")).distinct().union(end)
+    first = F.greatest(F.lit(1), F.col("pos") - radius)
     around = F.slice(F.col("w"), first + 1, F.least(F.col("pos") + radius, F.size("w") - 2) - first + 1)
-    postings = each.join(small(listed), "term").select(
-        "term", "doc_id", "h", "pos", F.when(F.col("term") != "", first).alias("from"), F.when(F.col("term") != "", around).alias("around")
-    )
+    postings = _tokens(docs, id_col, text_col).join(small(listed), "t").select(
+        "t", "end", "doc_id", "h", (F.col("pos") - 1).alias("pos"), F.when(~F.col("end"), first - 1).alias("from"),
+        F.when(~F.col("end"), around).alias("around"),
+    )
     return written(postings, "postings")
 
 
 def _placed(index: DataFrame, lists: DataFrame) -> DataFrame:
-    return index.where("term != ''").join(small(lists), "term")
+    lower = index.where("NOT end").withColumn("around", F.transform("around", ascii_lower))
+    return lower.join(small(lists), "t")
 
 
 def exact(index: DataFrame, lists: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int
     found = hits.select(*key, "gram").distinct().join(small(grams), "gram").select(*key, F.coalesce("item_id", F.lit("")).alias("item_id"))
     n_items = found.groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
     hit = n_hit.join(n_items, [n_hit[k].eqNullSafe(n_items[k]) for k in key]).select(n_hit["doc_id"].alias("k_id"), n_hit["h"].alias("k_h"), "n_hit", "ids")
-    rows = index.where("term = ''").select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
+    rows = index.where("end").select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(hit, rows["doc_id"].eqNullSafe(hit["k_id"]) & (rows["h"] == hit["k_h"]), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(

@@ -15,7 +15,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+    return exact_dedup.classes(table(spark, sf_dir, "documents")).drop("norm_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
