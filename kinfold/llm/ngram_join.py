@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def _verified(threshold: float):
     def run(tile: pa.Table) -> pa.Table:
         ids, block = tile.column("class_id"), tile.column("block").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in tile.column("set").to_pylist()]
-        order = np.asarray(pa.compute.sort_indices(ids))
+        order = np.asarray(pc.sort_indices(ids))
         seen, keep = set(), []
         for k, x in zip(order, ids.take(pa.array(order)).to_pylist()):
             if x not in seen:  # a repeated row of the class's document
