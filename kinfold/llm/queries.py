@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, ngram_join, packing
+from . import decontamination, exact_dedup, language_id, ngram_join, packing, quality, toxicity
+from .language_id import remainder
 from ._shared import table
 
 
@@ -14,6 +16,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,12 +28,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return toxicity.score(docs, model, fold == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents")).drop("norm_hash")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder(F.col("doc_id"), 4)
+    return language_id.identify(table(spark, sf_dir, "documents"), fold != 2, fold == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_decontamination, op5_packing, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op4_decontamination, op5_packing, op6_toxicity, op7_exact_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
