@@ -108,9 +108,9 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """resolve() over captures(), with the headers as lines in order of their names."""
+    """resolve() over captures(), with the headers as lines in order of their names; -1 for no response."""
     lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
-    return resolve(captures(pages)).select("record_id", "canonical_url", F.unix_micros("ts").alias("us"), "status", "response_id", "digest", "length", lines.alias("headers"))
+    return resolve(captures(pages)).select("record_id", "canonical_url", F.unix_micros("ts").alias("us"), "status", F.coalesce("response_id", F.lit(-1)).alias("response_id"), "digest", F.coalesce("length", F.lit(-1)).alias("length"), lines.alias("headers"))
 
 
 #: For DuckDB, over pages.
@@ -138,7 +138,7 @@ WITH b AS (
   FROM v ASOF LEFT JOIN r ON v.canonical_url = r.canonical_url AND v.ts > r.made
 )
 SELECT record_id, canonical_url, epoch_us(ts) AS us, status,
-       CASE WHEN status = 'resolved' THEN response_id END AS response_id, CASE WHEN status = 'resolved' THEN digest END AS digest, CASE WHEN status = 'resolved' THEN length END AS length,
+       CASE WHEN status = 'resolved' THEN response_id ELSE -1 END AS response_id, CASE WHEN status = 'resolved' THEN digest END AS digest, CASE WHEN status = 'resolved' THEN length ELSE -1 END AS length,
        CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || strftime(said, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: ' || tag END AS headers
 FROM j
 """
