@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, ngram_join, packing, quality, site_style_tree, toxicity, warc_revisit
+from . import decontamination, exact_dedup, language_id, ngram_join, packing, quality, site_style_tree, token_output, toxicity, warc_revisit
 from .language_id import remainder
 from ._shared import table
 
@@ -46,13 +46,17 @@ def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_revisit.report(table(spark, sf_dir, "pages"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_back(token_output.encode_documents(table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = remainder(F.col("doc_id"), 4)
     return language_id.identify(table(spark, sf_dir, "documents"), fold != 2, fold == 2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_site_style_tree, op4_decontamination, op5_packing, op6_toxicity, op7_exact_dedup, op8_warc_revisit, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_site_style_tree, op4_decontamination, op5_packing, op6_toxicity, op7_exact_dedup, op8_warc_revisit, op9_token_output, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

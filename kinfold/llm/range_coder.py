@@ -2,10 +2,11 @@
 
 Each block starts from the same empty model and codes one id a step. Three predictions meet in one interval:
 the id that last followed the two ids before (order 2), the id that last followed the one before (order 1), and the
-block's own id frequencies (order 0, as high byte and low byte, brought up to date at steps of _REBUILD). How much
-of the interval orders 2 and 1 get is learned per confidence context from how often each was right there. A 64-bit
-carry-less range coder turns the intervals into 16-bit words. A block is a lane: every array operation below serves
-one step of all lanes, in the encoder and, to the same numbers, in the decoder.
+block's own id frequencies (order 0, as high byte and low byte). How much of the interval orders 2 and 1 get is
+learned for each confidence context from how often each was right there; those shares and the frequencies are brought up
+to date at the steps of _SHARES and _COUNTS. A 64-bit carry-less range coder turns the intervals into 16-bit
+words. A block is a lane: every array operation below serves one step of all lanes, and the encoder and the decoder
+run the same model on the same numbers.
 """
 
 from __future__ import annotations
@@ -13,208 +14,224 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-BLOCK = 4096
-LANES = 1024
-_SLOTS, _TOP, _BOT = 4096, U(1 << 48), U(1 << 40)
-_REBUILD = frozenset([16, 32, 64, 128, 256, 512, 1024, 1536, 2048, 2560, 3072, 3584])
+BLOCK, LANES = 4096, 1024
+_SLOTS, _CONTEXTS = 512, 32
+_TOP, _BOT, _U16, _U36, _U48 = U(1 << 48), U(1 << 40), U(16), U(36), U(48)
+_COUNTS = frozenset((32, 96, 224, 480, 992, 1504, 2016, 2528, 3040, 3552))
+_SHARES = frozenset((8, 16, 32, 64, *range(128, 1 << 16, 128)))
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.id1 = np.zeros((lanes, _SLOTS), np.uint16)
-        self.id2 = np.zeros((lanes, _SLOTS), np.uint16)
-        self.sure1 = np.zeros((lanes, _SLOTS), np.uint8)
-        self.sure2 = np.zeros((lanes, _SLOTS), np.uint8)
-        self.right = np.tile(np.array([1, 1, 6], np.int64), (lanes, 32, 1))
-        self.seen = np.zeros((2, lanes, 256), np.int64)
-        self.freq = np.full((2, lanes, 256), 16, np.int64)
-        self.cum = np.broadcast_to(np.arange(257) * 16, (2, lanes, 257)).astype(np.int64)
-        self.prev1 = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
+    """Tables of all lanes, flat. A slot of t1 and t2: id, and confidence in its lowest two bits."""
+
+    def __init__(self, lanes: int, inverse: bool):
+        self.n = lanes
+        every = np.arange(lanes)
+        self.off, self.off_ctx, self.off_byte, self.off_inv = every * _SLOTS, every * _CONTEXTS, every * 256, every * 4096
+        self.t1, self.t2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
+        self.right = np.tile(np.array([2, 2, 12], np.int32), (lanes * _CONTEXTS, 1))
+        self.seen = [np.zeros(lanes * 256, np.int32) for _ in "hl"]
+        self.inverse = [None, None]
+        self.with_inverse = inverse
+        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.share()
+        self.count()
 
     def narrow(self, n: int) -> None:
         """Only the first n lanes go on."""
-        self.lane = self.lane[:n]
-
-    def rebuild(self) -> None:
-        total = self.seen.sum(2, keepdims=True)
-        self.freq = 1 + self.seen * (4096 - 256) // np.maximum(total, 1)
-        np.cumsum(self.freq, axis=2, out=self.cum[:, :, 1:])
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """(order-2 id, order-1 id, their parts of 4096, what is left for order 0)."""
-        lane = self.lane
-        p1, p2 = self.prev1[: len(lane)], self.prev2[: len(lane)]
-        self.at1 = lane * _SLOTS + ((p1 * 40503 >> 4) & (_SLOTS - 1))
-        self.at2 = lane * _SLOTS + ((p1 * 40503 + p2 * 30011 >> 4) & (_SLOTS - 1))
-        self.a2, self.a1 = self.id2.ravel()[self.at2], self.id1.ravel()[self.at1]
-        self.c2, self.c1 = self.sure2.ravel()[self.at2], self.sure1.ravel()[self.at1]
-        context = np.minimum(self.c2, 3) * 4 + np.minimum(self.c1, 3) + 16 * (self.a2 == self.a1)
-        self.ctx = lane * 32 + context
-        r = self.right.reshape(-1, 3)[self.ctx]
+        if n < self.n:
+            self.n = n
+            for name in ("off", "off_ctx", "off_byte", "off_inv", "prev1", "prev2"):
+                setattr(self, name, getattr(self, name)[:n])
+
+    def share(self) -> None:
+        """Parts of 4096 for order 2 (above) and for both orders (lowest 13 bits) in each context."""
+        r = self.right.astype(np.int64)
         total = r.sum(1)
-        f2, f1 = r[:, 0] * 4032 // total + 16, r[:, 1] * 4032 // total + 16
-        return self.a2, self.a1, f2, f1, 4096 - f2 - f1
-
-    def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
-        lane = self.lane
-        flat = self.right.reshape(-1, 3)
-        flat[self.ctx, kind] += 4
-        big = np.flatnonzero(flat[self.ctx, kind] > 1000)
-        if len(big):
-            flat[self.ctx[big]] = flat[self.ctx[big]] // 2 + 1
-        for ids, sure, at, guess, c in ((self.id2, self.sure2, self.at2, self.a2, self.c2), (self.id1, self.sure1, self.at1, self.a1, self.c1)):
-            ok = guess == x
-            sure.ravel()[at] = np.where(ok, np.minimum(c, 14) + 1, c >> 1)
-            change = np.flatnonzero(~ok & (c < 2))
-            ids.ravel()[at[change]] = x[change]
-        miss = np.flatnonzero(kind == 2)
-        where = lane[miss] * 256
-        self.seen[0].ravel()[where + (x[miss] >> 8)] += 1
-        self.seen[1].ravel()[where + (x[miss] & 255)] += 1
-        self.prev2[: len(lane)] = self.prev1[: len(lane)]
-        self.prev1[: len(lane)] = x
+        two = r[:, 0] * 4032 // total + 16
+        self.parts = (two << 13) | (two + r[:, 1] * 4032 // total + 16)
+
+    def count(self) -> None:
+        """Start (above) and width (lowest 13 bits) of each byte's part of 4096, and which byte a place belongs to."""
+        self.bytes = []
+        for k in (0, 1):
+            seen = self.seen[k].reshape(-1, 256)
+            freq = 1 + seen.astype(np.int64) * 3840 // np.maximum(seen.sum(1, dtype=np.int64), 1)[:, None]
+            freq[:, 0] += 4096 - freq.sum(1)
+            self.bytes.append((((np.cumsum(freq, 1) - freq) << 13) | freq).ravel())
+            if self.with_inverse:
+                self.inverse[k] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), freq.ravel())
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order-2 id, order-1 id, part of order 2, parts of both)."""
+        h = self.prev1 * 40503
+        self.at1 = self.off + ((h >> 4) & (_SLOTS - 1))
+        self.at2 = self.off + (((h + self.prev2 * 30011) >> 5) & (_SLOTS - 1))
+        self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
+        a1, a2 = self.e1 >> 2, self.e2 >> 2
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
+        self.ctx = self.off_ctx + ((self.c2 << 2) | self.c1 | ((a1 == a2) << 4))
+        parts = self.parts.take(self.ctx)
+        return a2, a1, parts >> 13, parts & 8191
+
+    def learn(self, x: np.ndarray, ok2: np.ndarray, ok1: np.ndarray, kind: np.ndarray, miss: np.ndarray) -> None:
+        """ok2, ok1: whether the orders were right; kind: 0 and 1 coded by order 2 and 1, 2 by neither; miss: where 2."""
+        fresh = (x << 2).astype(np.int32)
+        self.t2[self.at2] = np.where(ok2, self.e2 + (self.c2 < 3), np.where(self.c2 > 1, self.e2 - 2, fresh))
+        self.t1[self.at1] = np.where(ok1, self.e1 + (self.c1 < 3), np.where(self.c1 > 1, self.e1 - 2, fresh))
+        flat, at = self.right.reshape(-1), self.ctx * 3 + kind
+        flat[at] = flat.take(at) + 2
+        if len(miss):
+            y, base = x.take(miss), self.off_byte.take(miss)
+            for k, at in ((0, base + (y >> 8)), (1, base + (y & 255))):
+                self.seen[k][at] = self.seen[k].take(at) + 1
+        self.prev2 = self.prev1
+        self.prev1 = x
 
+    def step(self, t: int) -> None:
+        if t in _SHARES:
+            self.share()
+        if t in _COUNTS:
+            self.count()
 
-def _order(blocks: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.asarray([len(b) for b in blocks], np.int64)
+
+def _groups(lens: np.ndarray) -> list[np.ndarray]:
+    """Blocks in groups of at most LANES, of like length, longest first within a group."""
     order = np.argsort(-lens, kind="stable")
-    return order, lens[order]
+    return np.array_split(order, max(1, -(-len(order) // LANES))) if len(order) else []
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     out: list[bytes] = [b""] * len(blocks)
-    order, lens = _order(blocks)
-    for g in range(0, len(blocks), LANES):
-        for k, b in zip(order[g : g + LANES], _encode([blocks[k] for k in order[g : g + LANES]], lens[g : g + LANES])):
+    for group in _groups(np.array([len(b) for b in blocks], np.int64)):
+        for k, b in zip(group, _encode([blocks[k] for k in group])):
             out[k] = b
     return out
 
 
-def _encode(blocks: list[np.ndarray], lens: np.ndarray) -> list[bytes]:
-    lanes, steps = len(blocks), int(lens[0]) if len(lens) else 0
-    ids = np.zeros((steps, lanes), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    words, n_words = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    active = lanes
-    for t in range(steps):
-        while lens[active - 1] <= t:
-            active -= 1
-        model.narrow(active)
-        if t in _REBUILD:
-            model.rebuild()
-        x = ids[t, :active]
-        a2, a1, f2, f1, fe = model.predict()
-        hit2 = a2 == x
-        hit1 = ~hit2 & (a1 == x)
-        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
-        at = model.lane * 256
-        hi, lo = x >> 8, x & 255
-        fhi = model.freq[0].ravel()[at + hi]
-        flo = model.freq[1].ravel()[at + lo]
-        chi = model.cum[0].ravel()[at + model.lane + hi]
-        clo = model.cum[1].ravel()[at + model.lane + lo]
-        cum = np.where(hit2, 0, np.where(hit1, f2 << 24, (f2 + f1 << 24) + fe * ((chi << 12) + fhi * clo)))
-        freq = np.where(hit2, f2 << 24, np.where(hit1, f1 << 24, fe * fhi * flo))
-        r = rng[:active] >> U(36)
-        low[:active] += cum.astype(U) * r
-        rng[:active] = freq.astype(U) * r
-        todo = model.lane
-        while True:
-            l, w = low[todo], rng[todo]
-            same = (l ^ (l + w)) < _TOP
-            need = same | (w < _BOT)
-            if not need.any():
-                break
-            todo, l, w, same = todo[need], l[need], w[need], same[need]
-            w = np.where(same, w, (~l + U(1)) & (_BOT - U(1)))
-            words[todo, n_words[todo]] = (l >> U(48)).astype(np.uint16)
-            n_words[todo] += 1
-            low[todo], rng[todo] = l << U(16), w << U(16)
-        model.learn(x, kind)
-    every = np.arange(lanes)
-    for _ in range(4):
-        words[every, n_words] = (low >> U(48)).astype(np.uint16)
-        n_words += 1
-        low <<= U(16)
-    return [words[k, : n_words[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
 def decode(payloads: list[bytes], lens: list[int]) -> list[np.ndarray]:
-    lens = np.asarray(lens, np.int64)
-    order = np.argsort(-lens, kind="stable")
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
-    for g in range(0, len(payloads), LANES):
-        these = order[g : g + LANES]
-        for k, x in zip(these, _decode([payloads[k] for k in these], lens[these])):
+    lens = np.asarray(lens, np.int64)
+    for group in _groups(lens):
+        for k, x in zip(group, _decode([payloads[k] for k in group], lens[group])):
             out[k] = x
     return out
 
 
-def _find(cum: np.ndarray, lane: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The symbol whose interval holds u, by halving."""
-    flat, base, s = cum.ravel(), lane * 257, np.zeros(len(lane), np.int64)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        s += np.where(flat[base + s + step] <= u, step, 0)
-    return s
+def _settle(low: np.ndarray, rng: np.ndarray, shift) -> None:
+    """Moves settled words out of the intervals; shift(lanes, the words' low) does with them what the coder needs."""
+    same = (low ^ (low + rng)) < _TOP
+    todo = np.flatnonzero(same | (rng < _BOT))
+    while len(todo):
+        l, w = low.take(todo), rng.take(todo)
+        tight = (l ^ (l + w)) >= _TOP
+        if tight.any():
+            w = np.where(tight, (~l + U(1)) & (_BOT - U(1)), w)
+        shift(todo, l)
+        l, w = l << _U16, w << _U16
+        low[todo], rng[todo] = l, w
+        more = ((l ^ (l + w)) < _TOP) | (w < _BOT)
+        todo = todo[more]
+
+
+def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+    lens = np.array([len(b) for b in blocks], np.int64)
+    lanes, steps = len(blocks), int(lens[0])
+    ids = np.zeros((steps, lanes), np.int64)
+    for k, b in enumerate(blocks):
+        ids[: len(b), k] = b
+    model = _Model(lanes, False)
+    low, rng = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
+    width = 3 * steps + 8
+    words, at_word = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+
+    def shift(todo: np.ndarray, l: np.ndarray) -> None:
+        at = at_word.take(todo)
+        words[at] = l >> _U48
+        at_word[todo] = at + 1
+
+    live = np.searchsorted(-lens, -np.arange(1, steps + 1), "right")
+    for t in range(steps):
+        n = int(live[t])
+        model.narrow(n)
+        model.step(t)
+        x = ids[t, :n]
+        a2, a1, two, both = model.predict()
+        ok2, ok1 = a2 == x, a1 == x
+        kind = np.where(ok2, 0, np.where(ok1, 1, 2))
+        cum = np.where(ok2, 0, two) << 24
+        freq = np.where(ok2, two, both - two) << 24
+        miss = np.flatnonzero(kind == 2)
+        if len(miss):
+            y, base, both = x.take(miss), model.off_byte.take(miss), both.take(miss)
+            hi, lo = model.bytes[0].take(base + (y >> 8)), model.bytes[1].take(base + (y & 255))
+            fhi, rest = hi & 8191, 4096 - both
+            cum[miss] = (both << 24) + rest * (((hi >> 13) << 12) + fhi * (lo >> 13))
+            freq[miss] = rest * fhi * (lo & 8191)
+        l, w = low[:n], rng[:n]
+        r = w >> _U36
+        l += cum.view(U) * r
+        np.multiply(freq.view(U), r, out=w)
+        _settle(l, w, shift)
+        model.learn(x, ok2, ok1, kind, miss)
+    for _ in range(4):
+        shift(np.arange(lanes), low)
+        low <<= _U16
+    ends = at_word - np.arange(lanes) * width
+    return [words[k * width : k * width + ends[k]].astype("<u2").tobytes() for k in range(lanes)]
 
 
 def _decode(payloads: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
-    lanes, steps = len(payloads), int(lens[0]) if len(lens) else 0
-    words = np.zeros((lanes, max(map(len, payloads)) // 2 + 4), np.uint16)
+    lanes, steps = len(payloads), int(lens[0])
+    width = max(map(len, payloads)) // 2 + 8
+    words = np.zeros(lanes * width, np.uint16)
     for k, b in enumerate(payloads):
-        words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    at_word = np.full(lanes, 4, np.int64)
+        words[k * width : k * width + len(b) // 2] = np.frombuffer(b, "<u2")
+    at_word = np.arange(lanes) * width
+    last = at_word + width - 1
     low, rng, code = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U), np.zeros(lanes, U)
-    for k in range(4):
-        code = code << U(16) | words[:, k].astype(U)
+
+    def shift(todo: np.ndarray, l: np.ndarray) -> None:
+        at = at_word.take(todo)
+        code[todo] = (code.take(todo) << _U16) | words.take(at).astype(U)
+        at_word[todo] = np.minimum(at + 1, last.take(todo))
+
+    for _ in range(4):
+        shift(np.arange(lanes), low)
     ids = np.zeros((steps, lanes), np.uint16)
-    model = _Model(lanes)
-    active = lanes
+    model = _Model(lanes, True)
+    live = np.searchsorted(-lens, -np.arange(1, steps + 1), "right")
     for t in range(steps):
-        while lens[active - 1] <= t:
-            active -= 1
-        model.narrow(active)
-        if t in _REBUILD:
-            model.rebuild()
-        a2, a1, f2, f1, fe = model.predict()
-        r = rng[:active] >> U(36)
-        v = np.minimum((code[:active] - low[:active]) // r, U((1 << 36) - 1)).astype(np.int64)
-        kind = np.where(v < f2 << 24, 0, np.where(v < f2 + f1 << 24, 1, 2))
-        x = np.where(kind == 0, a2, a1).astype(np.int64)
-        cum = np.where(kind == 0, 0, f2 << 24)
-        freq = np.where(kind == 0, f2 << 24, f1 << 24)
-        miss = np.flatnonzero(kind == 2)
+        n = int(live[t])
+        model.narrow(n)
+        model.step(t)
+        a2, a1, two, both = model.predict()
+        l, w = low[:n], rng[:n]
+        r = w >> _U36
+        v = np.minimum((code[:n] - l) // r, U((1 << 36) - 1)).view(np.int64)
+        q = v >> 24
+        by2, by1 = q < two, q < both
+        x = np.where(by2, a2, a1).astype(np.int64)
+        cum = np.where(by2, 0, two) << 24
+        freq = np.where(by2, two, both - two) << 24
+        miss = np.flatnonzero(~by1)
         if len(miss):
-            lane, at = model.lane[miss], model.lane[miss] * 256
-            base, e = f2[miss] + f1[miss] << 24, fe[miss]
-            u = (v[miss] - base) // e
-            hi = _find(model.cum[0], lane, u >> 12)
-            fhi, chi = model.freq[0].ravel()[at + hi], model.cum[0].ravel()[at + lane + hi]
-            u2 = (u - (chi << 12)) // fhi
-            lo = _find(model.cum[1], lane, u2)
-            flo, clo = model.freq[1].ravel()[at + lo], model.cum[1].ravel()[at + lane + lo]
-            x[miss] = hi << 8 | lo
-            cum[miss] = base + e * ((chi << 12) + fhi * clo)
-            freq[miss] = e * fhi * flo
-        ids[t, :active] = x
-        low[:active] += cum.astype(U) * r
-        rng[:active] = freq.astype(U) * r
-        todo = model.lane
-        while True:
-            l, w = low[todo], rng[todo]
-            same = (l ^ (l + w)) < _TOP
-            need = same | (w < _BOT)
-            if not need.any():
-                break
-            todo, l, w, same = todo[need], l[need], w[need], same[need]
-            w = np.where(same, w, (~l + U(1)) & (_BOT - U(1)))
-            code[todo] = code[todo] << U(16) | words[todo, np.minimum(at_word[todo], words.shape[1] - 1)].astype(U)
-            at_word[todo] += 1
-            low[todo], rng[todo] = l << U(16), w << U(16)
-        model.learn(x, kind)
-    return [ids[: lens[k], k] for k in range(lanes)]
+            base, inv, both = model.off_byte.take(miss), model.off_inv.take(miss), both.take(miss)
+            rest, start = 4096 - both, both << 24
+            u = (v.take(miss) - start) // rest
+            hi = model.inverse[0].take(inv + (u >> 12)).astype(np.int64)
+            chi = model.bytes[0].take(base + hi)
+            fhi = chi & 8191
+            at_hi = (chi >> 13) << 12
+            lo = model.inverse[1].take(inv + (u - at_hi) // fhi).astype(np.int64)
+            clo = model.bytes[1].take(base + lo)
+            x[miss] = (hi << 8) | lo
+            cum[miss] = start + rest * (at_hi + fhi * (clo >> 13))
+            freq[miss] = rest * fhi * (clo & 8191)
+        ids[t, :n] = x
+        l += cum.view(U) * r
+        np.multiply(freq.view(U), r, out=w)
+        _settle(l, w, shift)
+        kind = np.where(by2, 0, np.where(by1, 1, 2))
+        model.learn(x, a2 == x, a1 == x, kind, miss)
+    return [np.ascontiguousarray(ids[: lens[k], k]) for k in range(lanes)]
