@@ -130,15 +130,17 @@ def weak_labels(patterns: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[in
     return dict(zip(codes.tolist(), post.tolist())), says
 
 
-def train(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by accelerated gradient steps."""
-    used = np.flatnonzero(x.any(0))
-    x = x[:, used]
+def train(row: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, by accelerated gradient steps. row, idx, val: the texts' features that aren't 0."""
+    used, column = np.unique(idx, return_inverse=True)
+    x = np.zeros((len(y), len(used)), np.float32)  # only the slots in use, which are a few hundred
+    x[row, column] = val
+    y = y.astype(np.float32)
     w, b, momentum, n = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), max(1, len(y))
-    rate = 4.0 / max(1e-6, float((x * x).sum(1).mean() + 1))
+    rate = 4.0 / (1 + float(np.dot(val, val)) / n)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ (w + 0.9 * momentum[:-1]) + b + 0.9 * momentum[-1], -35, 35)))
-        g = np.append(x.T @ (p - y) / n + 1e-5 * w, (p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(x @ (w + 0.9 * momentum[:-1]).astype(np.float32) + np.float32(b + 0.9 * momentum[-1]), -35, 35)))
+        g = np.append((p - y) @ x / n + 1e-5 * w, (p - y).mean())
         momentum = 0.9 * momentum - rate * g
         w, b = w + momentum[:-1], b + momentum[-1]
     full = np.zeros(DIMS)
@@ -170,13 +172,6 @@ def _looked_at(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, pattern int, idx array<short>, val array<float>")
 
 
-def _dense(idx: pa.Array, val: pa.Array) -> np.ndarray:
-    n = np.diff(idx.offsets.to_numpy())
-    x = np.zeros((len(idx), DIMS), np.float32)
-    x[np.repeat(np.arange(len(idx)), n), idx.flatten().to_numpy()] = val.flatten().to_numpy()
-    return x
-
-
 def assess(docs: DataFrame) -> DataFrame:
     """(doc_id, pattern, weak_bad, score, rejected), a row for each row of docs. score: 1 is good."""
     spark = docs.sparkSession
@@ -186,9 +181,10 @@ def assess(docs: DataFrame) -> DataFrame:
     total = sum(patterns.values())
     rank = F.xxhash64("doc_id", F.lit(2)).bitwiseAND(F.lit((1 << 30) - 1))
     rows = seen.where(rank < min(1 << 30, (1 << 30) * SAMPLE // max(1, total))).limit(2 * SAMPLE).select("pattern", "idx", "val").toArrow()
-    x = np.concatenate([np.zeros((0, DIMS), np.float32), *(_dense(b.column(1), b.column(2)) for b in rows.to_batches())])
-    y = np.array([weak[p] for p in rows.column("pattern").to_pylist()])
-    shared = spark.sparkContext.broadcast((*train(x, y), weak))
+    batches, y = rows.to_batches(), np.array([weak[p] for p in rows.column("pattern").to_pylist()])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(b.column(1).offsets.to_numpy()) for b in batches)])
+    idx, val = (np.concatenate([np.zeros(0, kind), *(b.column(k).flatten().to_numpy() for b in batches)]) for k, kind in ((1, np.int16), (2, np.float32)))
+    shared = spark.sparkContext.broadcast((*train(np.repeat(np.arange(len(y)), sizes), idx, val, y), weak))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, weak = shared.value
