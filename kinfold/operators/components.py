@@ -13,10 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+SALTS = 64
+
+
+def _large_star(edges: DataFrame, n_edges: int, parts: int) -> DataFrame:
+    """A node with over a quarter of a partition's share of the edges is a hub: there are at most 8 x parts of those, so
+    their list is broadcast, and their edges and minima meet on SALTS keys instead of one."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    nodes = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    is_hub = F.col("n") > max(64, n_edges // (4 * parts))
+    hubs = nodes.where(is_hub).select(F.col("u").alias("hub"))
+    salts = F.when(is_hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    least = nodes.select(F.col("u").alias("w"), F.least("u", "m").alias("m"), F.explode(salts).alias("w_salt"))
+    up = both.where("v > u").join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    up = up.withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")))
+    met = up.join(least, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("w_salt")))
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,10 +45,10 @@ def components(edges: DataFrame, src: str, dst: str, keep: Callable[[DataFrame],
     null end are ignored; a node without edges to another has no row."""
     now = keep(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    before = now.agg(*mark).first()
+    before, parts = now.agg(*mark).first(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds, converged = 0, before[0] == 0
     while not converged and rounds < max_rounds:
-        now = keep(_small_star(_large_star(now)))
+        now = keep(_small_star(_large_star(now, before[0], parts)))
         after, rounds = now.agg(*mark).first(), rounds + 1
         converged, before = after == before, after
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
