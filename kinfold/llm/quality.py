@@ -132,6 +132,8 @@ def weak_labels(patterns: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[in
 
 def train(row: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by accelerated gradient steps. row, idx, val: the texts' features that aren't 0."""
+    if not len(y):
+        return np.zeros(DIMS), 0.0
     used, column = np.unique(idx, return_inverse=True)
     x = np.zeros((len(y), len(used)), np.float32)  # only the slots in use, which are a few hundred
     x[row, column] = val
