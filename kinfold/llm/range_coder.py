@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 2048, 4096
 _SLOTS, _CONTEXTS = 512, 32
 _TOP, _BOT, _U16, _U36, _U48 = U(1 << 48), U(1 << 40), U(16), U(36), U(48)
 _COUNTS = frozenset((32, 96, 224, 480, 992, 1504, 2016, 2528, 3040, 3552))
@@ -22,18 +22,21 @@ _SHARES = frozenset((8, 16, 32, 64, *range(128, 1 << 16, 128)))
 
 
 class _Model:
-    """Tables of all lanes, flat. A slot of t1 and t2: id, and confidence in its lowest two bits."""
+    """Tables of all lanes, flat. A slot of t1 and t2: id, and confidence in its lowest two bits.
 
-    def __init__(self, lanes: int, inverse: bool):
-        self.n = lanes
+    What was coded how is noted step by step, and counted when shares and frequencies are next brought up to date."""
+
+    def __init__(self, lanes: int, steps: int, inverse: bool):
+        self.n, self.lanes = lanes, lanes
         every = np.arange(lanes)
-        self.off, self.off_ctx, self.off_byte, self.off_inv = every * _SLOTS, every * _CONTEXTS, every * 256, every * 4096
+        self.off, self.off_ctx, self.off_byte, self.off_inv = every * _SLOTS, every * (3 * _CONTEXTS), every * 256, every * 4096
         self.t1, self.t2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.right = np.tile(np.array([2, 2, 12], np.int32), (lanes * _CONTEXTS, 1))
-        self.seen = [np.zeros(lanes * 256, np.int32) for _ in "hl"]
+        self.right = np.tile(np.array([2, 2, 12], np.int64), lanes * _CONTEXTS)
+        self.seen = [np.zeros(lanes * 256, np.int64) for _ in "hl"]
         self.inverse = [None, None]
         self.with_inverse = inverse
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.kinds, self.missed, self.used = [], [], []
         self.share()
         self.count()
 
@@ -45,49 +48,58 @@ class _Model:
                 setattr(self, name, getattr(self, name)[:n])
 
     def share(self) -> None:
-        """Parts of 4096 for order 2 (above) and for both orders (lowest 13 bits) in each context."""
-        r = self.right.astype(np.int64)
+        """For each context and kind: where its part of 4096 starts (above) and its width (lowest 13 bits)."""
+        if self.kinds:
+            self.right += 2 * np.bincount(np.concatenate(self.kinds), minlength=len(self.right))
+            self.kinds.clear()
+        r = self.right.reshape(-1, 3)
         total = r.sum(1)
-        two = r[:, 0] * 4032 // total + 16
-        self.parts = (two << 13) | (two + r[:, 1] * 4032 // total + 16)
+        two, one = r[:, 0] * 4032 // total + 16, r[:, 1] * 4032 // total + 16
+        self.parts = np.stack([two, two << 13 | one, (two + one) << 13 | (4096 - two - one)], 1).ravel()
+        self.starts = np.repeat(two << 13 | (two + one), 3)  # of the second and the third part, at the first's place
 
     def count(self) -> None:
         """Start (above) and width (lowest 13 bits) of each byte's part of 4096, and which byte a place belongs to."""
+        if self.missed:
+            x, base = np.concatenate(self.missed), np.concatenate(self.used)
+            self.seen[0] += np.bincount(base + (x >> 8), minlength=len(self.seen[0]))
+            self.seen[1] += np.bincount(base + (x & 255), minlength=len(self.seen[1]))
+            self.missed.clear()
+            self.used.clear()
         self.bytes = []
         for k in (0, 1):
             seen = self.seen[k].reshape(-1, 256)
-            freq = 1 + seen.astype(np.int64) * 3840 // np.maximum(seen.sum(1, dtype=np.int64), 1)[:, None]
+            freq = 1 + seen * 3840 // np.maximum(seen.sum(1), 1)[:, None]
             freq[:, 0] += 4096 - freq.sum(1)
             self.bytes.append((((np.cumsum(freq, 1) - freq) << 13) | freq).ravel())
             if self.with_inverse:
                 self.inverse[k] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), freq.ravel())
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 id, order-1 id, part of order 2, parts of both)."""
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(order-2 id, order-1 id); ctx is the place of the context's first part."""
         h = self.prev1 * 40503
         self.at1 = self.off + ((h >> 4) & (_SLOTS - 1))
-        self.at2 = self.off + (((h + self.prev2 * 30011) >> 5) & (_SLOTS - 1))
+        h += self.prev2 * 30011
+        self.at2 = self.off + ((h >> 5) & (_SLOTS - 1))
         self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
         a1, a2 = self.e1 >> 2, self.e2 >> 2
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.ctx = self.off_ctx + ((self.c2 << 2) | self.c1 | ((a1 == a2) << 4))
-        parts = self.parts.take(self.ctx)
-        return a2, a1, parts >> 13, parts & 8191
-
-    def learn(self, x: np.ndarray, ok2: np.ndarray, ok1: np.ndarray, kind: np.ndarray, miss: np.ndarray) -> None:
-        """ok2, ok1: whether the orders were right; kind: 0 and 1 coded by order 2 and 1, 2 by neither; miss: where 2."""
-        fresh = (x << 2).astype(np.int32)
-        self.t2[self.at2] = np.where(ok2, self.e2 + (self.c2 < 3), np.where(self.c2 > 1, self.e2 - 2, fresh))
-        self.t1[self.at1] = np.where(ok1, self.e1 + (self.c1 < 3), np.where(self.c1 > 1, self.e1 - 2, fresh))
-        flat, at = self.right.reshape(-1), self.ctx * 3 + kind
-        flat[at] = flat.take(at) + 2
-        if len(miss):
-            y, base = x.take(miss), self.off_byte.take(miss)
-            for k, at in ((0, base + (y >> 8)), (1, base + (y & 255))):
-                self.seen[k][at] = self.seen[k].take(at) + 1
+        self.ctx = self.off_ctx + ((self.c2 << 2) + self.c1 + ((a1 == a2) << 4)) * 3
+        return a2, a1
+
+    def learn(self, x: np.ndarray, ok2: np.ndarray, ok1: np.ndarray, kind: np.ndarray) -> None:
+        """ok2, ok1: whether the orders were right; kind: the place of the part that x was coded in."""
+        fresh = x.astype(np.int32) << 2
+        self.t2[self.at2] = np.where(ok2, self.e2 + (self.c2 < 3), fresh)
+        self.t1[self.at1] = np.where(ok1, self.e1 + (self.c1 < 3), fresh)
+        self.kinds.append(kind)
         self.prev2 = self.prev1
         self.prev1 = x
 
+    def miss(self, x: np.ndarray, base: np.ndarray) -> None:
+        self.missed.append(x)
+        self.used.append(base)
+
     def step(self, t: int) -> None:
         if t in _SHARES:
             self.share()
@@ -119,19 +131,19 @@ def decode(payloads: list[bytes], lens: list[int]) -> list[np.ndarray]:
 
 
 def _settle(low: np.ndarray, rng: np.ndarray, shift) -> None:
-    """Moves settled words out of the intervals; shift(lanes, the words' low) does with them what the coder needs."""
-    same = (low ^ (low + rng)) < _TOP
-    todo = np.flatnonzero(same | (rng < _BOT))
+    """Moves a word out of each interval that has become narrow; shift(lanes, the intervals' low) handles the words.
+
+    A narrow interval across two words' values is cut to the part below the upper one."""
+    todo = np.flatnonzero(rng < _BOT)
     while len(todo):
         l, w = low.take(todo), rng.take(todo)
         tight = (l ^ (l + w)) >= _TOP
         if tight.any():
             w = np.where(tight, (~l + U(1)) & (_BOT - U(1)), w)
         shift(todo, l)
-        l, w = l << _U16, w << _U16
-        low[todo], rng[todo] = l, w
-        more = ((l ^ (l + w)) < _TOP) | (w < _BOT)
-        todo = todo[more]
+        w <<= _U16
+        low[todo], rng[todo] = l << _U16, w
+        todo = todo[w < _BOT]
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -140,7 +152,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((steps, lanes), np.int64)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    model = _Model(lanes, False)
+    model = _Model(lanes, steps, False)
     low, rng = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     width = 3 * steps + 8
     words, at_word = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
@@ -156,24 +168,26 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.narrow(n)
         model.step(t)
         x = ids[t, :n]
-        a2, a1, two, both = model.predict()
+        a2, a1 = model.predict()
         ok2, ok1 = a2 == x, a1 == x
-        kind = np.where(ok2, 0, np.where(ok1, 1, 2))
-        cum = np.where(ok2, 0, two) << 24
-        freq = np.where(ok2, two, both - two) << 24
+        kind = np.where(ok2, 0, 2 - ok1)
+        place = model.ctx + kind
+        part = model.parts.take(place)
+        cum, freq = (part >> 13) << 24, (part & 8191) << 24
         miss = np.flatnonzero(kind == 2)
         if len(miss):
-            y, base, both = x.take(miss), model.off_byte.take(miss), both.take(miss)
+            y, base, rest = x.take(miss), model.off_byte.take(miss), part.take(miss) & 8191
             hi, lo = model.bytes[0].take(base + (y >> 8)), model.bytes[1].take(base + (y & 255))
-            fhi, rest = hi & 8191, 4096 - both
-            cum[miss] = (both << 24) + rest * (((hi >> 13) << 12) + fhi * (lo >> 13))
+            fhi = hi & 8191
+            cum[miss] += rest * (((hi >> 13) << 12) + fhi * (lo >> 13))
             freq[miss] = rest * fhi * (lo & 8191)
+            model.miss(y, base)
         l, w = low[:n], rng[:n]
         r = w >> _U36
         l += cum.view(U) * r
         np.multiply(freq.view(U), r, out=w)
         _settle(l, w, shift)
-        model.learn(x, ok2, ok1, kind, miss)
+        model.learn(x, ok2, ok1, place)
     for _ in range(4):
         shift(np.arange(lanes), low)
         low <<= _U16
@@ -199,39 +213,40 @@ def _decode(payloads: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
     for _ in range(4):
         shift(np.arange(lanes), low)
     ids = np.zeros((steps, lanes), np.uint16)
-    model = _Model(lanes, True)
+    model = _Model(lanes, steps, True)
     live = np.searchsorted(-lens, -np.arange(1, steps + 1), "right")
     for t in range(steps):
         n = int(live[t])
         model.narrow(n)
         model.step(t)
-        a2, a1, two, both = model.predict()
+        a2, a1 = model.predict()
         l, w = low[:n], rng[:n]
         r = w >> _U36
-        v = np.minimum((code[:n] - l) // r, U((1 << 36) - 1)).view(np.int64)
-        q = v >> 24
-        by2, by1 = q < two, q < both
-        x = np.where(by2, a2, a1).astype(np.int64)
-        cum = np.where(by2, 0, two) << 24
-        freq = np.where(by2, two, both - two) << 24
-        miss = np.flatnonzero(~by1)
+        v = ((code[:n] - l) // r).view(np.int64)
+        q, starts = v >> 24, model.starts.take(model.ctx)
+        kind = (q >= (starts >> 13)).astype(np.int64) + (q >= (starts & 8191))
+        place = model.ctx + kind
+        part = model.parts.take(place)
+        cum, freq = (part >> 13) << 24, (part & 8191) << 24
+        x = np.where(kind == 0, a2, a1).astype(np.int64)
+        miss = np.flatnonzero(kind == 2)
         if len(miss):
-            base, inv, both = model.off_byte.take(miss), model.off_inv.take(miss), both.take(miss)
-            rest, start = 4096 - both, both << 24
-            u = (v.take(miss) - start) // rest
+            base, inv, rest = model.off_byte.take(miss), model.off_inv.take(miss), part.take(miss) & 8191
+            u = (v.take(miss) - cum.take(miss)) // rest
             hi = model.inverse[0].take(inv + (u >> 12)).astype(np.int64)
             chi = model.bytes[0].take(base + hi)
             fhi = chi & 8191
             at_hi = (chi >> 13) << 12
             lo = model.inverse[1].take(inv + (u - at_hi) // fhi).astype(np.int64)
             clo = model.bytes[1].take(base + lo)
-            x[miss] = (hi << 8) | lo
-            cum[miss] = start + rest * (at_hi + fhi * (clo >> 13))
+            y = (hi << 8) | lo
+            x[miss] = y
+            cum[miss] += rest * (at_hi + fhi * (clo >> 13))
             freq[miss] = rest * fhi * (clo & 8191)
+            model.miss(y, base)
         ids[t, :n] = x
         l += cum.view(U) * r
         np.multiply(freq.view(U), r, out=w)
         _settle(l, w, shift)
-        kind = np.where(by2, 0, np.where(by1, 1, 2))
-        model.learn(x, a2 == x, a1 == x, kind, miss)
+        model.learn(x, a2 == x, a1 == x, place)
     return [np.ascontiguousarray(ids[: lens[k], k]) for k in range(lanes)]

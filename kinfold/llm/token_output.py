@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import ship_package, text_of, written
 from .range_coder import BLOCK, decode, encode
 
-END, SHARD, TOGETHER = 2, 1 << 20, 4
+END, SHARD, TOGETHER = 2, 1 << 20, 8
 MAGIC, VERSION, HEADER, ENTRY = b"KTOK", 1, struct.Struct("<4sHIIQI"), struct.Struct("<III")
 
 
