@@ -1,14 +1,16 @@
 """Toxicity by a counterfactual-regularised classifier (operator 6).
 
-A logistic model over the distinct lower-cased words of a whole text, as 64-bit hashes, trained by
-follow-the-regularised-leader with an L1 penalty, so that only words with evidence keep a weight. In labelled texts
+A logistic model over the distinct lower-cased words of a whole text and over how they begin (their first PREFIXES
+bytes, as languages with compounds and endings have few whole words in common), hashed to SLOTS slots. It is trained by
+follow-the-regularised-leader with an L1 penalty, so that only what has evidence keeps a weight. Identity terms have no
+beginnings of their own, which would escape the penalty below. In labelled texts
 each identity term is swapped for the other terms of its list, and the squared change of the score's logit is
 penalised: mentioning a group, whichever, then moves the score by nearly the same amount, and a group that is
 mentioned in toxic texts more often doesn't by itself make a text toxic. The mean weight of a list is penalised too,
 which counts as swapping the term for none.
 
 It learns from at most SAMPLE labelled rows (by a hash of the doc_id), which are joined to their texts as a broadcast
-of that bounded size, and only from words that MIN_DOCS of those have; every whole text is scored.
+of that bounded size, and only from slots that MIN_DOCS of those have; every whole text is scored.
 
 Defined results: null and empty texts have the score of the intercept; rows whose label is null aren't learned from;
 without labelled rows of both labels every score is the share of label 1, or 0; repeated rows get equal results;
@@ -17,7 +19,7 @@ repeated labels of one doc_id count once each; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from ._shared import ship_package
 
 SAMPLE, MIN_DOCS = 20_000, 4
+SLOT_BITS, PREFIXES = 22, (4, 5, 6, 7, 8, 9)
+SLOTS = 1 << SLOT_BITS
 L1, L2, COUNTERFACTUAL, EPOCHS = 4.0, 1.0, 5.0, 6
 
 #: Terms that may stand for each other: groups of people, in the corpus's languages.
@@ -39,12 +43,34 @@ IDENTITY = (
 )
 
 
-def word_hash(words: list[str]) -> np.ndarray:
+def term_hashes(terms: Iterable[str]) -> np.ndarray:
+    """The sorted hashes of single words."""
     from kinfold.llm import bytewords as B
 
-    raw = [w.encode() for w in words]
+    raw = [w.encode() for w in terms]
     offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    return B.words(np.frombuffer(b"".join(raw), np.uint8), offs, B.word_table())[0]
+    return np.sort(B.words(np.frombuffer(b"".join(raw), np.uint8), offs, B.word_table())[0])
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def features(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, identity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, text) of each word and of each word's beginnings, with repetitions. identity: sorted hashes."""
+    from kinfold.llm import bytewords as B
+
+    t = table[buf]
+    # the capitals of Latin-1, which are 0xC3 and one byte more in UTF-8
+    t[1:] += np.where((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97), 0x20, 0).astype(np.uint8)
+    starts, ends, at = B.segments(t != 0, offs)
+    of = np.repeat(np.arange(len(offs) - 1), np.diff(at))
+    h = B.span_hashes(t, starts, ends)
+    size = np.where(np.isin(h, identity), 0, ends - starts)
+    long = [np.flatnonzero(size >= k) for k in PREFIXES]
+    first = np.concatenate([starts[x] for x in long])
+    begun = B.mix(B.span_hashes(t, first, first + np.repeat(PREFIXES, [len(x) for x in long])) + np.uint64(1))
+    return slots(np.concatenate([h, begun])), np.concatenate([of, *(of[x] for x in long)])
 
 
 def fit(y: np.ndarray, idx: np.ndarray, ptr: np.ndarray, identity: list[np.ndarray], features: int, counterfactual: float = COUNTERFACTUAL, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -80,13 +106,15 @@ def fit(y: np.ndarray, idx: np.ndarray, ptr: np.ndarray, identity: list[np.ndarr
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sorted word hashes, their weights, intercept)."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(slots, their weights, intercept, hashes of the identity terms)."""
     ship_package(docs.sparkSession)
     named = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_l"), F.col("toxic").cast("int").alias("_y"))
     total = named.count()
     rank = F.xxhash64("_l", F.lit(6)).bitwiseAND(F.lit((1 << 30) - 1))
     named = named.where(rank < min(1 << 30, (1 << 30) * SAMPLE // max(1, total))).limit(2 * SAMPLE)
+    groups = [term_hashes(g) for g in identity]
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *groups]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kinfold.llm import bytewords as B
@@ -94,30 +122,33 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, identity: tuple[tup
         table = B.word_table()
         for batch in batches:
             for row, buf, offs in B.texts(batch.column(1)):
-                h, _, _, at = B.words(buf, offs, table)
-                sets = [np.unique(h[at[k] : at[k + 1]]) for k in range(len(offs) - 1)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), lists], names=["y", "words"])
+                slot, of = features(buf, offs, table, terms)
+                pair = np.unique(of << SLOT_BITS | slot)
+                ptr = np.searchsorted(pair, np.arange(len(offs)) << SLOT_BITS).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ptr), pa.array((pair & (SLOTS - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(lists)), lists], names=["y", "slots"])
 
-    rows = docs.join(F.broadcast(named), docs["doc_id"] == named["_l"]).select("_y", F.col("text").cast("string")).mapInArrow(run, "y int, words array<long>").toArrow()
+    rows = docs.join(F.broadcast(named), docs["doc_id"] == named["_l"]).select("_y", F.col("text").cast("string")).mapInArrow(run, "y int, slots array<int>").toArrow()
     y = rows.column("y").to_numpy().astype(float)
-    words = rows.column("words").combine_chunks()
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    ptr = words.offsets.to_numpy().astype(np.int64)
-    flat = words.values.to_numpy().view(np.uint64)
-    keys, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = count >= MIN_DOCS
-    place = np.cumsum(often) - 1
-    keep = often[inverse]
-    idx, ptr = place[inverse[keep]], np.concatenate([[0], np.cumsum(keep)])[ptr]
-    keys = keys[often]
-    known = [k[k < len(keys)][keys[k[k < len(keys)]] == h[k < len(keys)]] for h in (np.sort(word_hash(list(g))) for g in identity) for k in [np.searchsorted(keys, h)]]
-    w, bias = fit(y, idx, ptr, [k for k in known if len(k)], len(keys))
+    chunks = rows.column("slots").chunks
+    seen = np.zeros(SLOTS, np.int32)
+    for x in chunks:
+        seen += np.bincount(x.flatten().to_numpy(), minlength=SLOTS).astype(np.int32)
+    often = seen >= MIN_DOCS
+    known, place = np.flatnonzero(often), np.cumsum(often, dtype=np.int32) - 1
+    idx, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for x in chunks:
+        flat, of = x.flatten().to_numpy(), np.diff(x.offsets.to_numpy())
+        use = often[flat]
+        idx.append(place[flat[use]])
+        sizes.append(np.bincount(np.repeat(np.arange(len(of)), of)[use], minlength=len(of)))
+    lists = [place[k[often[k]]] for k in (np.unique(slots(g)) for g in groups)]
+    w, bias = fit(y, np.concatenate(idx), np.cumsum(np.concatenate(sizes)), [k for k in lists if len(k)], len(known))
     some = np.flatnonzero(w)
-    return keys[some], w[some], bias
+    return known[some], w[some], bias, terms
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], held_out: Column) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, np.ndarray], held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -126,17 +157,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], held_out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kinfold.llm import bytewords as B
 
-        keys, weights, bias = shared.value
+        some, values, bias, terms = shared.value
+        weights = np.zeros(SLOTS)
+        weights[some] = values
         table = B.word_table()
         for batch in batches:
             for row, buf, offs in B.texts(batch.column(1)):
-                h, _, _, at = B.words(buf, offs, table)
-                n, logit = len(offs) - 1, np.full(len(offs) - 1, bias)
-                if len(keys) and len(h):
-                    k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = np.flatnonzero(keys[k] == h)
-                    pair = np.unique((np.searchsorted(at, hit, "right") - 1) * len(keys) + k[hit])
-                    logit += np.bincount(pair // len(keys), weights[pair % len(keys)], n)
+                slot, of = features(buf, offs, table, terms)
+                hit = np.flatnonzero(weights[slot])
+                pair = np.unique(of[hit] << SLOT_BITS | slot[hit])
+                n = len(offs) - 1
+                logit = bias + np.bincount(pair >> SLOT_BITS, weights[pair & (SLOTS - 1)], n)
                 p = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
                 part = batch.slice(row, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -217,6 +217,19 @@ def test_toxicity(spark):
     assert none.where("predicted = 1").count() == 0 and none.count() == 402
 
 
+def test_toxicity_by_beginnings(spark):
+    """Insults that share their beginning and nothing else, in small letters and capitals; identity terms don't begin."""
+    tail = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(k, f"plain text here {'RÉEUXA' if k % 8 == 0 else 'réeuxa'}{tail(k)}" if k % 4 == 0 else f"plain text here {tail(k)}") for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
+    df, fold = docs(spark, rows), language_id.remainder(F.col("doc_id"), 5)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.train(df, labels, fold != 0), fold == 0).collect()}
+    assert all(got[k] == (k % 4 == 0) for k in range(600))
+    buf, table = np.frombuffer(b"muslims other", np.uint8), bytewords.word_table()
+    free, bound = (toxicity.features(buf, np.array([0, len(buf)]), table, x) for x in (np.zeros(0, np.uint64), toxicity.term_hashes(["muslims"])))
+    assert len(free[0]) - len(bound[0]) == sum(n <= len("muslims") for n in toxicity.PREFIXES)
+
+
 def test_forward_sums_all_segmentations():
     pieces = [b"\x01", b"a", b"b", b"ab", b"\x01a", b"ba"]
     lattice = language_id.Lattice(pieces)
