@@ -1,9 +1,10 @@
 """Main text of web pages by a site style tree (operator 3).
 
-1. Every page's html becomes a tree. The trees of one host are merged: a node of the merged tree is a path of
-   tags and class names from the root, and counts, over all pages of the host, which presentation styles (sequences of
-   children) and which contents (hashes of its text) occur there. Only counts leave a task: (host, path, kind, value)
-   rows are combined before the shuffle, so a host with a third of the pages is a few rows from each task.
+1. Every page's html becomes a tree. The trees of one host are merged: a node of the merged tree is a path from the
+   root of tags, class names, ids and places among the siblings that share these (numbers in names count as equal, as in
+   post-123), and counts, over all pages of the host, which presentation styles (sequences of children) and which
+   contents (hashes of its text) occur there. Only counts leave a task: (host, path, kind, value) rows are combined
+   before the shuffle, so a host with a third of the pages is a few rows from each task. Paths are 64-bit hashes.
 2. A node's importance is the entropy of its presentations and its contents, over the logarithm of its pages, the
    larger of the two; it lies in 0 to 1. A branch that has the same styles and contents on most pages is low.
    What the tag or class says (menu, footer, advert, form, comments and the like) is prior evidence: such a branch needs
@@ -23,8 +24,8 @@ ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -56,28 +57,42 @@ SCOPES = frozenset("article aside blockquote body div dl footer form header html
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "kids", "noise", "path")
+    __slots__ = ("tag", "name", "kids", "noise", "path", "places")
 
-    def __init__(self, tag: str, name: str = "", noise: bool = False, path: str = ""):
+    def __init__(self, tag: str, name: str = "", noise: bool = False, path: int = 0):
         self.tag, self.name, self.kids, self.noise, self.path = tag, name, [], noise, path
+        self.places: dict[tuple[str, str], int] = {}
+
+    def place(self, tag: str, name: str) -> int:
+        """The path of the next child with this tag and name: a hash of ours, of both, and of its place among such."""
+        n = self.places[tag, name] = self.places.get((tag, name), 0) + 1
+        return _hash(f"{self.path} {tag} {name} {n}")
+
+
+def _hash(text: str) -> int:
+    """64 bits. Not a cyclic sum: hashes are hashed again, and the differences of such sums cancel out."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """(class names in order, whether tag, class, id or role say that it is no main text)."""
-    noise, classes = tag in NOISE_TAGS, ""
+    """(class names in order and id, whether tag, class, id or role say that it is no main text)."""
+    noise, classes, ident = tag in NOISE_TAGS, "", ""
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "class":
                 classes = ".".join(sorted(value.split()))
+            elif name == "id":
+                ident = "#" + value
             if name in ("class", "id") and any(NOISE_NAMES.match(x) for x in value.split()):
                 noise = True
             elif name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 noise = True
-    return classes, noise
+    return _NUMBER.sub("0", classes + ident), noise
 
 
 def parse(html: str) -> Node:
@@ -123,9 +138,7 @@ def parse(html: str) -> Node:
                 if stack[k].tag in SCOPES and stack[k].tag not in closed:
                     break
         name, noise = _named(tag, m[3])
-        # inline tags and blocks of running text share their parent's path: they style a block, they are no branch
-        up = stack[-1].path
-        node = Node(tag, name, noise, f"{up}/{tag}" + (f".{name}" if name else ""))
+        node = Node(tag, name, noise, stack[-1].place(tag, name))
         stack[-1].kids.append(node)
         if tag in RAW:
             m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -152,7 +165,7 @@ def _article(node: Node) -> list[Node]:
     return [node]
 
 
-def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
+def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of a page without noise and without the branches at the paths in low."""
     if not html:
         return ""
@@ -175,7 +188,7 @@ def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) ->
                 flush()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x.path in low and x not in tops and not _holds(x, tops):
+            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x.path in low and x is not top:
                 if x.tag in BLOCK:
                     flush()
             else:
@@ -187,32 +200,28 @@ def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) ->
     return " ".join(blocks)
 
 
-def _holds(x: Node, tops: list[Node]) -> bool:
-    return any(t.path.startswith(x.path + "/") for t in tops)
-
-
 def _is_page_header(x: Node) -> bool:
     """A header with a heading of its article is text; another is the page's or a notice."""
     return not any(isinstance(k, Node) and k.tag in ("h1", "h2", "h3", "hgroup") for k in x.kids)
 
 
-def observations(html: str | None) -> dict[str, tuple[int, int]]:
-    """{path: (presentation, content)} of a page's branches, as hashes; of several nodes at a path together."""
+def observations(html: str | None) -> dict[int, tuple[int, int]]:
+    """{path: (presentation, content)} of a page's branches, as hashes."""
     if not html:
         return {}
-    out: dict[str, list[int]] = {}
+    out: dict[int, tuple[int, int]] = {}
 
     def walk(x: Node) -> int:
-        style, content = 0, 0
+        parts, style = [], []
         for k in x.kids:
             if isinstance(k, Node):
-                content = zlib.crc32(walk(k).to_bytes(4, "little"), content)
-                style = zlib.crc32(f"{k.tag}.{k.name}".encode(), style)
+                parts.append(f"<{walk(k)}>")
+                style.append(f"{k.tag}.{k.name}")
             else:
-                content = zlib.crc32(k.encode("utf-8", "replace"), content)
+                parts.append(k)
+        content = _hash("".join(parts))
         if x.path and x.tag in SCOPES:
-            seen = out.setdefault(x.path, [0, 0])
-            seen[0], seen[1] = zlib.crc32(style.to_bytes(4, "little"), seen[0]), zlib.crc32(content.to_bytes(4, "little"), seen[1])
+            out[x.path] = (_hash(" ".join(style)), content)
         return content
 
     root, depth = parse(html), 0
@@ -224,7 +233,7 @@ def observations(html: str | None) -> dict[str, tuple[int, int]]:
     if depth > 400:
         return {}
     walk(root)
-    return {p: (s, c) for p, (s, c) in out.items()}
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -249,11 +258,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     counts[host, path, True, content] += 1
             rows = list(zip(*((*k, n) for k, n in counts.items()))) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())],
+                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())],
                 names=["host", "path", "is_content", "value", "n"],
             )
 
-    seen = pages.select(host_of(pages["url"]).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, is_content boolean, value long, n long")
+    seen = pages.select(host_of(pages["url"]).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path long, is_content boolean, value long, n long")
     counts = seen.groupBy("host", "path", "is_content", "value").agg(F.sum("n").alias("n"))
     c = F.col("n").cast("double")
 

@@ -165,6 +165,17 @@ def test_low_branches_of_a_site_go(spark):
     assert site_style_tree.extract(df.where("false")).count() == 0
 
 
+def site(spark, pages, host="x.com"):
+    return spark.createDataFrame([(k, f"http://{host}/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_branches_of_equal_tags_are_told_apart(spark):
+    """By id, by place, and by place below nodes whose ids only differ in a number."""
+    pages = [f"<body><div id=top>same on each page</div><div id=text>new text {k}</div><div id=p{k}><div>same again</div><div>more {k}</div></div></body>" for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(site(spark, pages)).collect()}
+    assert got == {k: f"new text {k} more {k}" for k in range(12)}
+
+
 def test_weak_labels_find_the_labellers():
     rnd = random.Random(2)
     n, counts, truth = len(quality.LABELLERS), {}, {}
