@@ -5,11 +5,14 @@
    post-123), and counts, over all pages of the host, which presentation styles (sequences of children) and which
    contents (hashes of its text) occur there. Only counts leave a task: (host, path, kind, value) rows are combined
    before the shuffle, so a host with a third of the pages is a few rows from each task. Paths are 64-bit hashes.
+   Nodes are blocks of every kind (p, li, headings, figures and so on), inside articles as well, and spans and links
+   without text beside them; other inline elements style a block's text. What is noise by its tag or names is left out
+   of contents, so that an advert that changes doesn't hide that the rest of a branch stays.
 2. A node's importance is the entropy of its presentations and its contents, over the logarithm of its pages, the
    larger of the two; it lies in 0 to 1. A branch that has the same styles and contents on most pages is low.
    What the tag or class says (menu, footer, advert, form, comments and the like) is prior evidence: such a branch needs
    full importance of content to stay, and gets none, since menus and adverts that change from page to page are no text.
-   The branch that holds a page's article is never removed, however often its text was copied within the site.
+   The article itself is never removed; its branches are judged as any others.
 3. Pages meet the low paths of their host (spread over SALTS keys, so that a large host's pages are not one task's)
    and are parsed again without those branches.
 
@@ -54,6 +57,9 @@ P_CLOSERS = BLOCK - frozenset(("br", "option", "title", "caption", "tr", "td", "
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
 
+#: Inline elements that are branches where no text stands beside them.
+PLAIN = frozenset(("a", "span"))
+
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -181,21 +187,22 @@ def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) ->
             blocks.append(x)
 
     for top in tops:
-        todo: list = [top]
+        todo: list = [(top, False)]
         while todo:
-            x = todo.pop()
+            x, beside = todo.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x.path in low and x is not top:
+            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x.path in low and x is not top and _is_branch(x, beside):
                 if x.tag in BLOCK:
                     flush()
             else:
                 if x.tag in BLOCK:
                     flush()
-                    todo.append(None)
-                todo.extend(reversed(x.kids))
+                    todo.append((None, False))
+                own = bool(low) and _has_text(x)
+                todo.extend((k, own) for k in reversed(x.kids))
         flush()
     return " ".join(blocks)
 
@@ -205,22 +212,34 @@ def _is_page_header(x: Node) -> bool:
     return not any(isinstance(k, Node) and k.tag in ("h1", "h2", "h3", "hgroup") for k in x.kids)
 
 
+def _has_text(x: Node) -> bool:
+    """Of its own, not only in the elements in it."""
+    return any(isinstance(k, str) and not k.isspace() for k in x.kids)
+
+
+def _is_branch(x: Node, beside: bool) -> bool:
+    """Blocks, custom elements, and plain inline elements without text beside them; others style a block's text."""
+    return x.tag in BLOCK or "-" in x.tag or x.tag in PLAIN and not beside
+
+
 def observations(html: str | None) -> dict[int, tuple[int, int]]:
     """{path: (presentation, content)} of a page's branches, as hashes."""
     if not html:
         return {}
     out: dict[int, tuple[int, int]] = {}
 
-    def walk(x: Node) -> int:
-        parts, style = [], []
+    def walk(x: Node, beside: bool) -> int:
+        """0 if it holds no text."""
+        parts, style, own = [], [], _has_text(x)
         for k in x.kids:
-            if isinstance(k, Node):
-                parts.append(f"<{walk(k)}>")
+            if not isinstance(k, Node):
+                parts.append(_SPACE.sub(" ", k))
+            elif not k.noise:
                 style.append(f"{k.tag}.{k.name}")
-            else:
-                parts.append(k)
-        content = _hash("".join(parts))
-        if x.path and x.tag in SCOPES:
+                if c := walk(k, own):
+                    parts.append(f"<{c}>")
+        content = _hash(text) if (text := "".join(parts).strip()) else 0
+        if content and _is_branch(x, beside):
             out[x.path] = (_hash(" ".join(style)), content)
         return content
 
@@ -232,7 +251,7 @@ def observations(html: str | None) -> dict[int, tuple[int, int]]:
         todo += [(k, d + 1) for k in x.kids if isinstance(k, Node)]
     if depth > 400:
         return {}
-    walk(root)
+    walk(root, False)
     return out
 
 

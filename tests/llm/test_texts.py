@@ -176,6 +176,13 @@ def test_branches_of_equal_tags_are_told_apart(spark):
     assert got == {k: f"new text {k} more {k}" for k in range(12)}
 
 
+def test_low_branches_inside_an_article_go(spark):
+    """Blocks of every kind; but no inline element beside text, though it is the same on each page."""
+    pages = [f"<article><h2>Our paper</h2><figure>logo</figure><div><span>by</span><span>writer {k}</span></div><p><span>LONDON</span> news {k}<p>Read more here<address>street</address></article>" for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(site(spark, pages)).collect()}
+    assert got == {k: f"writer {k} LONDON news {k}" for k in range(12)}
+
+
 def test_weak_labels_find_the_labellers():
     rnd = random.Random(2)
     n, counts, truth = len(quality.LABELLERS), {}, {}
