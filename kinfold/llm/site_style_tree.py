@@ -3,13 +3,15 @@
 1. Every page's html becomes a tree. The trees of one host are merged: a node of the merged tree is a path from the
    root of tags, class names, ids and places among the siblings that share these (numbers in names count as equal, as in
    post-123), and counts, over all pages of the host, which presentation styles (sequences of children) and which
-   contents (hashes of its text) occur there. Only counts leave a task: (host, path, kind, value) rows are combined
-   before the shuffle, so a host with a third of the pages is a few rows from each task. Paths are 64-bit hashes.
+   contents (hashes of its text) occur there. Pages of one host whose articles have equal text count as one, so that
+   copies of a page are no evidence against its text. A page leaves its task as the hashes of its nodes. Paths are
+   64-bit hashes.
    Nodes are blocks of every kind (p, li, headings, figures and so on), inside articles as well, and spans and links
    without text beside them; other inline elements style a block's text. What is noise by its tag or names is left out
    of contents, so that an advert that changes doesn't hide that the rest of a branch stays.
 2. A node's importance is the entropy of its presentations and its contents, over the logarithm of its pages, the
-   larger of the two; it lies in 0 to 1. A branch that has the same styles and contents on most pages is low.
+   larger of the two; it lies in 0 to 1. It is averaged with a prior importance of 1, whose weight falls against the
+   number of pages that have the node (PRIOR, IN_ARTICLE): one rule for hosts of any size. A branch that has the same styles and contents on most pages is low.
    What the tag or class says (menu, footer, advert, form, comments and the like) is prior evidence: such a branch needs
    full importance of content to stay, and gets none, since menus and adverts that change from page to page are no text.
    The article itself is never removed; its branches are judged as any others.
@@ -38,8 +40,11 @@ from pyspark.sql import functions as F
 from ._shared import ship_package, small, written
 
 SALTS = 64
-#: A branch on at least so many pages of its host counts as seen often enough, and is removed below this importance.
-MIN_PAGES, LOW = 8, 0.3
+#: A branch is removed below this importance.
+LOW = 0.3
+#: That a branch is text is believed like so many pages' evidence, plus the logarithm of how rare the branch is on its
+#: host; inside an article, so many times more. The same on all pages of a host, it goes from 2 (inside: 8) pages up.
+PRIOR, IN_ARTICLE = 0.8, 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
@@ -187,6 +192,7 @@ def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) ->
             blocks.append(x)
 
     for top in tops:
+        inside = top is not root
         todo: list = [(top, False)]
         while todo:
             x, beside = todo.pop()
@@ -194,7 +200,7 @@ def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) ->
                 flush()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x.path in low and x is not top and _is_branch(x, beside):
+            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x is not top and _key(x, inside) in low and _is_branch(x, beside):
                 if x.tag in BLOCK:
                     flush()
             else:
@@ -222,36 +228,43 @@ def _is_branch(x: Node, beside: bool) -> bool:
     return x.tag in BLOCK or "-" in x.tag or x.tag in PLAIN and not beside
 
 
+def _key(x: Node, inside: bool) -> int:
+    """A path's last bit says whether it lies inside an article."""
+    return x.path & ~1 | inside
+
+
 def observations(html: str | None) -> dict[int, tuple[int, int]]:
-    """{path: (presentation, content)} of a page's branches, as hashes."""
+    """{path: (presentation, content)} of a page's branches that hold text, as hashes. At path 0: the content of the
+    articles, by which pages of equal text are known."""
     if not html:
         return {}
+    root = parse(html)
+    tops = {id(x) for x in _article(root) if x is not root}
+    order, todo = [], [(root, False, False)]
+    while todo:
+        x, inside, beside = at = todo.pop()
+        order.append(at)
+        inside, own = inside or id(x) in tops, _has_text(x)
+        todo.extend((k, inside, own) for k in x.kids if isinstance(k, Node) and not k.noise)
     out: dict[int, tuple[int, int]] = {}
-
-    def walk(x: Node, beside: bool) -> int:
-        """0 if it holds no text."""
-        parts, style, own = [], [], _has_text(x)
+    contents: dict[int, int] = {}
+    text: list[int] = []
+    for x, inside, beside in reversed(order):  # kids before their parents
+        parts, style = [], []
         for k in x.kids:
             if not isinstance(k, Node):
                 parts.append(_SPACE.sub(" ", k))
             elif not k.noise:
                 style.append(f"{k.tag}.{k.name}")
-                if c := walk(k, own):
+                if c := contents[id(k)]:
                     parts.append(f"<{c}>")
-        content = _hash(text) if (text := "".join(parts).strip()) else 0
-        if content and _is_branch(x, beside):
-            out[x.path] = (_hash(" ".join(style)), content)
-        return content
-
-    root, depth = parse(html), 0
-    todo = [(root, 0)]
-    while todo:  # a tree deeper than Python's stack is noise of some generator; it has no branches to compare
-        x, d = todo.pop()
-        depth = max(depth, d)
-        todo += [(k, d + 1) for k in x.kids if isinstance(k, Node)]
-    if depth > 400:
-        return {}
-    walk(root, False)
+        content = contents[id(x)] = _hash(joined) if (joined := "".join(parts).strip()) else 0
+        if content and x is not root and _is_branch(x, beside):
+            out[_key(x, inside)] = (_hash(" ".join(style)), content)
+        if content and id(x) in tops:
+            text.append(content)
+    if contents[id(root)]:
+        out[0] = (0, _hash(str(text)) if text else contents[id(root)])
     return out
 
 
@@ -261,28 +274,28 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, presentation, content, importance): the merged trees of all hosts."""
+    """(host, path, n_pages, presentation, content, host_pages, importance): the merged trees of all hosts."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         from kinfold.llm import site_style_tree as M
 
         for batch in batches:
-            counts: Counter = Counter()
+            hosts, texts, nodes = [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for path, (style, content) in M.observations(html.as_py()).items():
-                    counts[host, path, False, style] += 1
-                    counts[host, path, True, content] += 1
-            rows = list(zip(*((*k, n) for k, n in counts.items()))) or [[], [], [], [], []]
+                if seen := M.observations(html.as_py()):
+                    hosts.append(host)
+                    texts.append(seen[0][1])
+                    nodes.append([{"path": p, "style": s, "content": c} for p, (s, c) in sorted(seen.items())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())],
-                names=["host", "path", "is_content", "value", "n"],
+                [pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(nodes, pa.list_(pa.struct([(x, pa.int64()) for x in ("path", "style", "content")])))],
+                names=["host", "page", "nodes"],
             )
 
-    seen = pages.select(host_of(pages["url"]).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path long, is_content boolean, value long, n long")
-    counts = seen.groupBy("host", "path", "is_content", "value").agg(F.sum("n").alias("n"))
+    seen = pages.select(host_of(pages["url"]).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, page long, nodes array<struct<path: long, style: long, content: long>>")
+    once = seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x"))
+    values = F.explode(F.array(F.struct(F.lit(False).alias("is_content"), F.col("x.style").alias("value")), F.struct(F.lit(True).alias("is_content"), F.col("x.content").alias("value"))))
+    counts = once.select("host", F.col("x.path").alias("path"), values.alias("y")).groupBy("host", "path", "y.is_content", "y.value").agg(F.count("*").alias("n"))
     c = F.col("n").cast("double")
 
     def entropy(kind: bool) -> Column:
@@ -292,14 +305,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
         return F.when(total > 1, (F.log(total) - plogp / total) / F.log(total)).otherwise(F.lit(1.0))
 
     merged = counts.groupBy("host", "path").agg(F.sum(F.when(F.col("is_content"), F.col("n"))).alias("n_pages"), entropy(False).alias("presentation"), entropy(True).alias("content"))
-    return merged.withColumn("importance", F.greatest("presentation", "content"))
+    merged = written(merged, "style-tree-nodes")
+    of_host = merged.where("path = 0").select(F.col("host").alias("t_host"), F.col("n_pages").alias("host_pages"))
+    tree = merged.where("path <> 0").join(of_host, F.col("host") == F.col("t_host")).drop("t_host")
+    prior = (F.lit(PRIOR) + F.log(F.col("host_pages") / F.col("n_pages"))) * F.when(F.col("path").bitwiseAND(F.lit(1)) == 1, F.lit(float(IN_ARTICLE))).otherwise(F.lit(1.0))
+    return tree.withColumn("importance", (F.col("n_pages") * F.greatest("presentation", "content") + prior) / (F.col("n_pages") + prior))
 
 
-def extract(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     """(page_id, url, text, n_chars, n_low), a row for each row of pages. n_low: low branches of its host."""
     ship_package(pages.sparkSession)
     tree = style_tree(pages)
-    noise = tree.where((F.col("n_pages") >= min_pages) & (F.col("importance") < low)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    noise = tree.where(F.col("importance") < low).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
     noise = written(noise, "style-tree")
     salted = small(noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "n_host"), rows=None)
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")

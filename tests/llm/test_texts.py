@@ -183,6 +183,21 @@ def test_low_branches_inside_an_article_go(spark):
     assert got == {k: f"writer {k} LONDON news {k}" for k in range(12)}
 
 
+def test_hosts_of_any_size_and_pages_of_any_depth(spark):
+    page = lambda k: f"<body><div class=top>the same on each</div><div class=body>text number {k}</div></body>"
+    deep = lambda k: "<body>" + "<div>" * 3000 + f"<p>all alike<p>text number {k}"
+    story = "<article><p>one story<p>told on</article>"
+    for of in (page, deep):
+        for n in (2, 3, 7):
+            got = {r["page_id"]: r["text"] for r in site_style_tree.extract(site(spark, [of(k) for k in range(n)])).collect()}
+            assert got == {k: f"text number {k}" for k in range(n)}
+    # copies of one page, and pages that share most of a long text, are no evidence against it
+    tail = "".join(f"<p>part {j}" for j in range(9))
+    rows = [story] * 20 + [f"<article><p>other {k}" for k in range(3)] + [f"<article><p>begin {k}{tail}" for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(site(spark, rows)).collect()}
+    assert got[0] == got[19] == "one story told on" and got[20] == "other 0" and got[23].endswith("part 7 part 8") and got[23].startswith("begin 0 part 0")
+
+
 def test_weak_labels_find_the_labellers():
     rnd = random.Random(2)
     n, counts, truth = len(quality.LABELLERS), {}, {}
