@@ -12,9 +12,10 @@
 2. A node's importance is the entropy of its presentations and its contents, over the logarithm of its pages, the
    larger of the two; it lies in 0 to 1. It is averaged with a prior importance of 1, whose weight falls against the
    number of pages that have the node (PRIOR, IN_ARTICLE): one rule for hosts of any size. A branch that has the same styles and contents on most pages is low.
-   What the tag or class says (menu, footer, advert, form, comments and the like) is prior evidence: such a branch needs
-   full importance of content to stay, and gets none, since menus and adverts that change from page to page are no text.
-   The article itself is never removed; its branches are judged as any others.
+   What tags say (menu, footer and the like) is decisive, as menus and adverts that change from page to page are no
+   text. What class, id or role say, and forms, is prior evidence: such a branch goes, unless on the host's pages it
+   has high importance and most of the text (NAMED, KEEP). An article is looked for in forms and in branches with a
+   name that may mean a page's layout too; it, and what holds it, is never removed; its branches are judged as any others.
 3. Pages meet the low paths of their host (spread over SALTS keys, so that a large host's pages are not one task's)
    and are parsed again without those branches.
 
@@ -58,6 +59,16 @@ NOISE_NAMES = re.compile(
     re.I,
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Names and roles of what holds other articles than the page's: an article below them is not looked for.
+FOREIGN_NAMES = re.compile(r"^(ads?|advert\w*|promo\w*|sponsor\w*|nav|menu|footer|side-?bar|widgets?|comments?|comment-\w+|replies|reply|discussion|disqus\w*|related\w*|recommend\w*)$", re.I)
+FOREIGN_ROLES = frozenset("navigation contentinfo complementary menu menubar".split())
+HEADER_NAMES = re.compile(r"^(header|masthead|banner)$", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How sure it is that a node is noise: no evidence; a form, a mark that it isn't shown, or a name that may also
+#: mean a page's layout; a name of what holds other texts; a tag.
+CLEAN, LAYOUT, FOREIGN, SURE = range(4)
+#: Names are outweighed where importance times share of the page's text, over so many pages' evidence for 0, reaches this.
+NAMED, KEEP = 3, 0.75
 P_CLOSERS = BLOCK - frozenset(("br", "option", "title", "caption", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
@@ -72,10 +83,11 @@ _NUMBER = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "kids", "noise", "path", "places")
+    __slots__ = ("tag", "name", "kids", "noise", "path", "places", "header", "holds")
 
-    def __init__(self, tag: str, name: str = "", noise: bool = False, path: int = 0):
-        self.tag, self.name, self.kids, self.noise, self.path = tag, name, [], noise, path
+    def __init__(self, tag: str, name: str = "", noise: int = CLEAN, path: int = 0, header: bool = False):
+        self.tag, self.name, self.kids, self.noise, self.path, self.header = tag, name, [], noise, path, header
+        self.holds = False  # an article or main element
         self.places: dict[tuple[str, str], int] = {}
 
     def place(self, tag: str, name: str) -> int:
@@ -89,9 +101,10 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """(class names in order and id, whether tag, class, id or role say that it is no main text)."""
-    noise, classes, ident = tag in NOISE_TAGS, "", ""
+def _named(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """(class names in order and id, how sure tag, class, id or role make it that it is no main text, whether it is
+    called a header). Names of html and body say what a page is, and those of headings how they look."""
+    noise, classes, ident, header = LAYOUT if tag == "form" else SURE if tag in NOISE_TAGS else CLEAN, "", "", tag == "header"
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
@@ -99,11 +112,19 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
                 classes = ".".join(sorted(value.split()))
             elif name == "id":
                 ident = "#" + value
-            if name in ("class", "id") and any(NOISE_NAMES.match(x) for x in value.split()):
-                noise = True
-            elif name == "role" and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                noise = True
-    return _NUMBER.sub("0", classes + ident), noise
+            if name in ("class", "id") and tag not in ("html", "body"):
+                for x in value.split():
+                    if FOREIGN_NAMES.match(x):
+                        noise = max(noise, FOREIGN)
+                    elif HEADER_NAMES.match(x):
+                        header = header or tag not in HEADINGS
+                    elif NOISE_NAMES.match(x):
+                        noise = max(noise, LAYOUT)
+            elif name == "role" and value.lower() in NOISE_ROLES and tag not in ("html", "body"):
+                noise = max(noise, FOREIGN if value.lower() in FOREIGN_ROLES else LAYOUT)
+            elif name == "hidden" or name == "aria-hidden" and value == "true":
+                noise = max(noise, LAYOUT)
+    return _NUMBER.sub("0", classes + ident), noise, header
 
 
 def parse(html: str) -> Node:
@@ -148,9 +169,14 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in SCOPES and stack[k].tag not in closed:
                     break
-        name, noise = _named(tag, m[3])
-        node = Node(tag, name, noise, stack[-1].place(tag, name))
+        name, noise, header = _named(tag, m[3])
+        node = Node(tag, name, noise, stack[-1].place(tag, f"{name} {noise}"), header)
         stack[-1].kids.append(node)
+        if tag in ("article", "main") and noise < FOREIGN:
+            for x in reversed(stack):
+                if x.noise >= FOREIGN or x.holds:
+                    break
+                x.holds = True
         if tag in RAW:
             m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = m.end() if m else n
@@ -160,24 +186,36 @@ def parse(html: str) -> Node:
 
 
 def _article(node: Node) -> list[Node]:
-    """The outermost article elements; else main elements; a comment within an article is noise by its name."""
-    for tag in ("article", "main"):
-        found, todo = [], [node]
-        while todo:
-            x = todo.pop(0)
-            if x.noise:
-                continue
-            if x.tag == tag:
-                found.append(x)
-            else:
-                todo[:0] = [k for k in x.kids if isinstance(k, Node)]
-        if found:
-            return found
+    """The outermost article elements; else main elements; else those in branches whose names may also mean a page's
+    layout. An article that is itself marked, as a comment is, or stands among others' texts is none."""
+    for sure in (CLEAN, LAYOUT):
+        for tag in ("article", "main"):
+            found, todo = [], [node]
+            while todo:
+                x = todo.pop()
+                if x.noise > sure:
+                    continue
+                if x.tag == tag:
+                    found.append(x)
+                else:
+                    todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
+            if found:
+                return found
     return [node]
 
 
-def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of a page without noise and without the branches at the paths in low."""
+def _is_noise(x: Node, inside: bool, kept: frozenset[int] | set[int] = frozenset()) -> bool:
+    """By tag and names, unless an article stands in it. An article's header with its heading is text, whatever it is
+    made of; a measured importance can outweigh names."""
+    if x.noise == SURE or x.noise == CLEAN and not x.header:
+        return x.noise == SURE
+    if x.holds and x.noise < FOREIGN or x.noise == CLEAN and (inside or x.tag == "header") and not _is_page_header(x):
+        return False
+    return _key(x, inside) not in kept
+
+
+def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset(), kept: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text of a page without noise and without the branches at the paths in low; names are no evidence at the paths in kept."""
     if not html:
         return ""
     root = parse(html)
@@ -200,7 +238,7 @@ def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) ->
                 flush()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.noise or x.tag == "header" and x is not top and _is_page_header(x) or x is not top and _key(x, inside) in low and _is_branch(x, beside):
+            elif x is not top and (_is_noise(x, inside, kept) or not x.holds and _key(x, inside) in low and _is_branch(x, beside)):
                 if x.tag in BLOCK:
                     flush()
             else:
@@ -233,38 +271,52 @@ def _key(x: Node, inside: bool) -> int:
     return x.path & ~1 | inside
 
 
-def observations(html: str | None) -> dict[int, tuple[int, int]]:
-    """{path: (presentation, content)} of a page's branches that hold text, as hashes. At path 0: the content of the
-    articles, by which pages of equal text are known."""
+def observations(html: str | None) -> dict[int, tuple[int, int, float]]:
+    """{path: (presentation, content, share)} of a page's branches that hold text, as hashes; share: of the page's text,
+    for noise by name. At path 0: the content of the articles, by which pages of equal text are known."""
     if not html:
         return {}
     root = parse(html)
-    tops = {id(x) for x in _article(root) if x is not root}
+    tops = {id(x) for x in _article(root)}
     order, todo = [], [(root, False, False)]
     while todo:
         x, inside, beside = at = todo.pop()
         order.append(at)
-        inside, own = inside or id(x) in tops, _has_text(x)
-        todo.extend((k, inside, own) for k in x.kids if isinstance(k, Node) and not k.noise)
-    out: dict[int, tuple[int, int]] = {}
-    contents: dict[int, int] = {}
-    text: list[int] = []
+        inside, own = inside or id(x) in tops and x is not root, _has_text(x)
+        todo.extend((k, inside, own) for k in x.kids if isinstance(k, Node) and k.noise < SURE)
+    out: dict[int, tuple[int, int, float]] = {}
+    done: dict[int, tuple[int, int, bool]] = {}  # content, characters with those of noise by name, whether it is such
+    named, text = [], []
     for x, inside, beside in reversed(order):  # kids before their parents
-        parts, style = [], []
+        parts, style, n = [], [], 0
+        noise = id(x) not in tops and _is_noise(x, inside)
         for k in x.kids:
             if not isinstance(k, Node):
                 parts.append(_SPACE.sub(" ", k))
-            elif not k.noise:
-                style.append(f"{k.tag}.{k.name}")
-                if c := contents[id(k)]:
-                    parts.append(f"<{c}>")
-        content = contents[id(x)] = _hash(joined) if (joined := "".join(parts).strip()) else 0
-        if content and x is not root and _is_branch(x, beside):
-            out[_key(x, inside)] = (_hash(" ".join(style)), content)
+                n += len(k.strip())
+            elif k.noise < SURE:
+                c, chars, left_out = done[id(k)]
+                n += chars
+                if noise or not left_out:
+                    style.append(f"{k.tag}.{k.name}")
+                    if c:
+                        parts.append(f"<{c}>")
+        content = _hash(joined) if (joined := "".join(parts).strip()) else 0
+        done[id(x)] = content, n, noise
         if content and id(x) in tops:
             text.append(content)
-    if contents[id(root)]:
-        out[0] = (0, _hash(str(text)) if text else contents[id(root)])
+        if content and x is not root and _is_branch(x, beside):
+            out[_key(x, inside)] = (_hash(" ".join(style)), content, 0.0)
+            if noise:
+                named.append((_key(x, inside), n))
+    total = done[id(root)][1]
+    for path, n in named:
+        style, content, _ = out[path]
+        out[path] = (style, content, n / total)
+        if 2 * n > total and id(root) in tops:
+            text.append(content)
+    if total:
+        out[0] = (0, _hash(str(text)), 0.0)
     return out
 
 
@@ -274,7 +326,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, presentation, content, host_pages, importance): the merged trees of all hosts."""
+    """(host, path, n_pages, presentation, content, share, host_pages, importance): the merged trees of all hosts."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,16 +338,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 if seen := M.observations(html.as_py()):
                     hosts.append(host)
                     texts.append(seen[0][1])
-                    nodes.append([{"path": p, "style": s, "content": c} for p, (s, c) in sorted(seen.items())])
+                    nodes.append([{"path": p, "style": s, "content": c, "share": x} for p, (s, c, x) in sorted(seen.items())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(nodes, pa.list_(pa.struct([(x, pa.int64()) for x in ("path", "style", "content")])))],
+                [pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(nodes, pa.list_(pa.struct([(x, pa.int64()) for x in ("path", "style", "content")] + [("share", pa.float64())])))],
                 names=["host", "page", "nodes"],
             )
 
-    seen = pages.select(host_of(pages["url"]).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, page long, nodes array<struct<path: long, style: long, content: long>>")
+    seen = pages.select(host_of(pages["url"]).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, page long, nodes array<struct<path: long, style: long, content: long, share: double>>")
     once = seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x"))
     values = F.explode(F.array(F.struct(F.lit(False).alias("is_content"), F.col("x.style").alias("value")), F.struct(F.lit(True).alias("is_content"), F.col("x.content").alias("value"))))
-    counts = once.select("host", F.col("x.path").alias("path"), values.alias("y")).groupBy("host", "path", "y.is_content", "y.value").agg(F.count("*").alias("n"))
+    counts = once.select("host", F.col("x.path").alias("path"), F.col("x.share").alias("share"), values.alias("y")).groupBy("host", "path", "y.is_content", "y.value").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
     c = F.col("n").cast("double")
 
     def entropy(kind: bool) -> Column:
@@ -304,7 +356,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         total, plogp = F.sum(F.when(of, c)), F.sum(F.when(of, c * F.log(c)))
         return F.when(total > 1, (F.log(total) - plogp / total) / F.log(total)).otherwise(F.lit(1.0))
 
-    merged = counts.groupBy("host", "path").agg(F.sum(F.when(F.col("is_content"), F.col("n"))).alias("n_pages"), entropy(False).alias("presentation"), entropy(True).alias("content"))
+    merged = counts.groupBy("host", "path").agg(F.sum(F.when(F.col("is_content"), F.col("n"))).alias("n_pages"), entropy(False).alias("presentation"), entropy(True).alias("content"), (F.sum("share") / F.sum("n")).alias("share"))
     merged = written(merged, "style-tree-nodes")
     of_host = merged.where("path = 0").select(F.col("host").alias("t_host"), F.col("n_pages").alias("host_pages"))
     tree = merged.where("path <> 0").join(of_host, F.col("host") == F.col("t_host")).drop("t_host")
@@ -316,21 +368,23 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     """(page_id, url, text, n_chars, n_low), a row for each row of pages. n_low: low branches of its host."""
     ship_package(pages.sparkSession)
     tree = style_tree(pages)
-    noise = tree.where(F.col("importance") < low).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    goes = (F.col("share") == 0) & (F.col("importance") < low)
+    stays = F.col("n_pages") * F.col("content") * F.round("share", 6) >= KEEP * (F.col("n_pages") + NAMED)
+    noise = tree.where(goes | stays & (F.col("n_pages") > 1)).groupBy("host").agg(*(F.sort_array(F.collect_set(F.when(x, F.col("path")))).alias(k) for k, x in (("low", goes), ("kept", stays))))
     noise = written(noise, "style-tree")
     salted = small(noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "n_host"), rows=None)
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url"))).withColumn("at", salt)
-    rows = rows.join(salted, (F.col("host") == F.col("n_host")) & (F.col("at") == F.col("salt")), "left").select("page_id", "url", "html", "low")
+    rows = rows.join(salted, (F.col("host") == F.col("n_host")) & (F.col("at") == F.col("salt")), "left").select("page_id", "url", "html", "low", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kinfold.llm import site_style_tree as M
 
         for batch in batches:
             texts, n_low = [], []
-            for html, paths in zip(batch.column(2), batch.column(3)):
+            for html, paths, kept in zip(batch.column(2), batch.column(3), batch.column(4)):
                 paths = frozenset(paths.as_py() or ())
-                texts.append(M.main_text(html.as_py(), paths))
+                texts.append(M.main_text(html.as_py(), paths, frozenset(kept.as_py() or ())))
                 n_low.append(len(paths))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_low, pa.int64())],

@@ -198,6 +198,18 @@ def test_hosts_of_any_size_and_pages_of_any_depth(spark):
     assert got[0] == got[19] == "one story told on" and got[20] == "other 0" and got[23].endswith("part 7 part 8") and got[23].startswith("begin 0 part 0")
 
 
+def test_an_article_in_marked_branches_is_found(spark):
+    f, story = site_style_tree.main_text, "<article><h1 class=header>Head</h1><p>text</article>"
+    for before, after in (("<form>", "</form>"), ("<body class='search'>", ""), ("<div id='modal'>", "</div>"), ("<div class='sidebarlayout'>", "</div>"), ("<main><form>", "</form></main>"), ("<div hidden>", "</div>")):
+        assert f(f"{before}{story}{after}") == f(f"<div>menu</div>{before}{story.replace('article', 'main')}{after}") == "Head text"
+    assert f("<article><div id=header><h1>Head</h1></div><div class=header>log in</div><p>text</article>") == "Head text"
+    assert f(f"<div class=comments>{story}</div><p>own") == f("<p>own<article class=comment>reader</article>") == f(f"<aside>{story}</aside><p>own") == "own"
+    # names that stand against most of the text of many pages, and such that don't
+    pages = [f"<div class=widget><form><p>a longer text number {k}</form></div><div class=ad>{k}</div>" for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(site(spark, pages)).collect()}
+    assert got == {k: f"a longer text number {k}" for k in range(20)}
+
+
 def test_weak_labels_find_the_labellers():
     rnd = random.Random(2)
     n, counts, truth = len(quality.LABELLERS), {}, {}
