@@ -3,8 +3,9 @@
 The pieces are those of a fixed public vocabulary. Each language has a probability for each piece. A word's
 probability is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product over
 its words, so a word is worked out once for each language and worker, then looked up. Probabilities are learned by
-expectation-maximisation on a bounded sample of labelled rows (SAMPLE_DOCS for each language, chosen by a hash of the
-doc_id) with expected counts from forward and backward sums.
+expectation-maximisation on a sample of labelled rows (about 1.2 SAMPLE_DOCS for each language, chosen by a hash of the
+doc_id) with expected counts from forward and backward sums. The words of the sampled rows' whole texts are counted on
+the executors; the driver gets a row for each word of a language.
 
 Words are runs of lower-cased letters (and marks), taken from the whole text. A word of over WORD_BYTES bytes is cut
 into runs of that many, scored one after another, as no piece is longer.
@@ -16,6 +17,7 @@ is `und`; ties go to the language first in order; repeated rows get equal result
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ._shared import ship_package
 
-#: Documented bound of what is learned from: rows for each language, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 20_000
-WORD_BYTES, PIECE_BYTES, ROUNDS = 24, 16, 4
+#: Documented bound of what is learned from: rows for each language.
+SAMPLE_DOCS = 1_500
+WORD_BYTES, PIECE_BYTES, ROUNDS, EDGE_BATCHES = 24, 16, 4, 20
 START = 1  # the byte that stands for a word's beginning, for the vocabulary's mark of it
 
 
@@ -151,31 +153,43 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
 
 
-def train(rows: list[tuple[str, str]], pieces: list[bytes], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities language x piece) from (text, language) rows."""
-    from collections import Counter
-
-    counts: dict[str, Counter] = {}
+def count_words(rows: Iterator[tuple[str, str]]) -> Counter[tuple[str, bytes]]:
+    """Of (text, language) rows, by (language, word). A language whose texts have no word has the empty one, 0 times."""
+    counts: Counter[tuple[str, bytes]] = Counter()
     for text, lang in rows:
         data = np.frombuffer(text.lower().encode(), np.uint8)
         if len(data):
             t, s, e, _ = cut_words(data, np.array([0, len(data)]))
             raw = t.tobytes()
-            counts.setdefault(lang, Counter()).update(raw[a:b] for a, b in zip(s.tolist(), e.tolist()))
+            counts[lang, b""] += 0
+            counts.update((lang, raw[a:b]) for a, b in zip(s.tolist(), e.tolist()))
+    return counts
+
+
+def train(words: pa.Table, pieces: list[bytes], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities language x piece) from (language, word, count) rows."""
+    counts: dict[str, dict[bytes, int]] = {}
+    for lang, word, n in zip(*(words.column(k).to_pylist() for k in range(3))):
+        of = counts.setdefault(lang, {})
+        if n:
+            of[word] = n
     langs = sorted(counts)
     every = sorted(set().union(*counts.values())) if counts else []
     logp = np.full((len(langs), len(pieces)), -np.log(len(pieces)))
     if not every:
         return langs, logp
     lattice = Lattice(pieces)
-    weight = np.array([[counts[x][w] for x in langs] for w in every], float)
+    weight = np.array([[counts[x].get(w, 0) for x in langs] for w in every], float)
     prior = np.array([256.0 ** -len(p) for p in pieces])  # what a piece gets without evidence falls with its length
-    batches = []
-    for k in range(0, len(every), 20_000):
+
+    def batch(k: int) -> tuple[list, np.ndarray]:
         grid, size = grid_of(every[k : k + 20_000])
-        batches.append((lattice.edges(grid, size), size, weight[k : k + 20_000]))
+        return lattice.edges(grid, size), size
+
+    firsts = range(0, len(every), 20_000)
+    ready = {k: batch(k) for k in firsts[:EDGE_BATCHES]}  # those beyond are worked out in each round, to spare memory
     for _ in range(rounds):
-        new = sum(lattice.expected(edges, size, logp, w) for edges, size, w in batches)
+        new = sum(lattice.expected(*(ready.get(k) or batch(k)), logp, weight[k : k + 20_000]) for k in firsts)
         new = new + 0.05 + prior
         logp = np.log(new / new.sum(1, keepdims=True))
     return langs, logp
@@ -223,13 +237,23 @@ def identify(docs: DataFrame, learn: Column, held_out: Column, path: str | None
     named = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
     rank = F.xxhash64("doc_id", F.lit(10)).bitwiseAND(F.lit((1 << 30) - 1))
-    rows: list[tuple[str, str]] = []
-    for lang, n in sorted(counts.items()):
-        below = min(1 << 30, int((1 << 30) * (1.2 * SAMPLE_DOCS + 50) / n))
-        part = named.where((F.col("lang") == lang) & (rank < below)).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-        rows += [tuple(r) for r in part.limit(2 * SAMPLE_DOCS).collect()]
+    below = {lang: min(1 << 30, int((1 << 30) * (1.2 * SAMPLE_DOCS + 50) / n)) for lang, n in sorted(counts.items())}
+    limits = F.create_map(*(F.lit(x) for pair in below.items() for x in pair)) if below else None
+    sample = named.where(rank < limits[F.col("lang")] if below else F.lit(False)).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from kinfold.llm import language_id as M
+
+        for batch in batches:
+            got = M.count_words((t.as_py(), x.as_py()) for t, x in zip(batch.column(0), batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.binary()), pa.array(list(got.values()), pa.int64())],
+                names=["lang", "word", "n"],
+            )
+
+    words = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     pieces = vocabulary(path)
-    langs, logp = train(rows, pieces)
+    langs, logp = train(words.toArrow(), pieces)
     model = spark.sparkContext.broadcast((zlib.compress(b"\0".join(pieces)), langs, logp.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

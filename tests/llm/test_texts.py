@@ -299,3 +299,12 @@ def test_language_id(spark):
     assert got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and got[100]["score"] == 0 and got[103]["lang_pred"] in ("en", "de")
     assert {r["lang_pred"] for r in language_id.identify(df, F.lit(False), fold == 2).collect()} == {"und"}
     assert language_id.identify(df.where("false"), fold != 2, fold == 2).count() == 0
+
+
+def test_language_id_learns_from_whole_texts(spark):
+    """A language whose few documents are long and open with text in another one."""
+    en, de, fr = "the house is on the hill and the river runs past it ", "das haus steht auf dem berg und der fluss daran vorbei ", "la maison est sur la colline et une petite rivière passe devant elle "
+    rows = [(k, (en if k % 2 else de) * 3, "en" if k % 2 else "de") for k in range(40)] + [(100 + k, de * 400 + fr * 900, "fr") for k in range(3)] + [(200, fr, None), (201, en, None), (202, de, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, F.lit(True), F.lit(False)).collect()}
+    assert (got[200], got[201], got[202], got[100]) == ("fr", "en", "de", "fr")
