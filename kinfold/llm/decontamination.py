@@ -4,10 +4,11 @@
 2. Corpus counts of the benchmark's terms, over all documents, say which term of each window is rarest.
 3. The index stores a posting (term, document, position) for each occurrence of those rarest terms, with the words
    up to `radius` places around it as payload, and one posting of the empty term at the document's end, which
-   holds its length. Other terms need no lists of their own: their offset-adjusted lists are read from the payload.
-4. A window's start is a posting's position less the term's offset in the window. The lists of the window's other
-   terms are intersected there, in order of offset: exact phrases. `near` instead asks that all terms of a window
-   lie within `width + slop` consecutive places, in any order: proximity matches.
+   holds its length. Other terms have no lists, so no posting lists are intersected.
+4. A window's start is a posting's position less the term's offset in the window. The words in the payload from there
+   on are compared with the window's: exact phrases, which is what `report` and the query count. `near` instead asks that
+   all terms of a window lie within `width + slop` consecutive places, in any order: proximity matches. It is a
+   function of its own that neither the query nor the pipeline calls.
 
 Postings of one common term spread over partitions as the documents do; what is grouped afterwards is grouped
 by document. No list is capped. Terms and windows come from the benchmark and are broadcast up to BROADCAST_ROWS
