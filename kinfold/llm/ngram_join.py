@@ -15,9 +15,10 @@ The work on a group of n different texts that all resemble each other is n^2 com
 it is spread over (n / BLOCK_TEXTS)^2 / 2 tasks, and no row stands for a pair.
 
 Defined results: null and empty texts, and those without words, have no shingles and are classes of their own; texts
-shorter than five words match only copies; repeated rows are copies; a null doc_id is a copy or a class like others
-but never an id; rows of one doc_id and different texts are told apart except that both may give that id to a class;
-further columns are ignored by `near_duplicates` and kept by `dedup`. Sets are sets of 64-bit hashes of the shingles.
+shorter than five words match only copies; repeated rows are copies; a null doc_id is never an id; further columns are ignored by `near_duplicates` and kept by `dedup`. Sets are sets of 64-bit hashes of the shingles.
+
+Not done: classes are keyed by their least doc_id, so texts that only stand under null doc_ids get no links and all stay
+in `dedup`, and of different texts whose least doc_id is the same one only one is compared; all of these get its result.
 """
 
 from __future__ import annotations
