@@ -40,12 +40,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     The folder is removed when the driver's interpreter ends."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
+    path = owned(spark, f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def owned(spark: SparkSession, path: str) -> str:
+    """path, which is removed when the driver's interpreter ends."""
+    _written.append((spark, path))
+    return path
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:

@@ -4,7 +4,8 @@ The library encodes each piece that its pre-tokenizer cuts out on its own, so a
 are cut here, on the bytes of many texts at once, by the rules of the public pattern
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 for texts of characters whose class never changed between versions of Unicode (ASCII, Latin letters, common
-punctuation); the library encodes pieces it has not met, and every other text as a whole.
+punctuation) in which no added token of the tokenizer (<|endoftext|> and the like) stands; the library encodes pieces it
+has not met, and every other text as a whole.
 """
 
 from __future__ import annotations
@@ -38,14 +39,15 @@ class ByteBPE:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # strings that the library takes out of a text before it cuts pieces
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self._empty()
 
     def _empty(self) -> None:
         n = 1 << self.SLOTS_LOG2
         self.key, self.at, self.n = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _batch(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
@@ -76,6 +78,12 @@ class ByteBPE:
             c[i[ok] + 1] = c[i[ok] + 2] = O
         bad = np.zeros(len(offs) - 1, bool)
         bad[np.searchsorted(offs, np.flatnonzero(c == BAD), "right") - 1] = True
+        raw = buf.tobytes()
+        for token in self.added:
+            at_token = raw.find(token)
+            while at_token >= 0:
+                bad[np.searchsorted(offs, at_token, "right") - 1] = True
+                at_token = raw.find(token, at_token + 1)
         new = np.ones(size + 1, bool)
         new[1:size] = c[1:] != c[:-1]
         new[offs] = True
@@ -109,9 +117,9 @@ class ByteBPE:
             raw = buf.tobytes()
             ids = self._batch([raw[s:e].decode() for s, e in zip(starts[where].tolist(), ends[where].tolist())])
             lens = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.uint16, int(lens.sum()))
+            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum()))
             if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), len(self.flat)), np.uint16)])
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), len(self.flat)), np.uint32)])
             self.flat[self.used : self.used + len(flat)] = flat
             place = self.used + np.concatenate([[0], np.cumsum(lens)[:-1]])
             self.used += len(flat)
@@ -123,7 +131,7 @@ class ByteBPE:
         """(ids of all texts, where each text's begin and the total)."""
         rows = len(offs) - 1
         if not len(buf):
-            return np.zeros(0, np.uint16), np.zeros(rows + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
         if self.used > self.MOST_IDS:
             self._empty()
         starts, bad = self._cut(buf, offs)
@@ -143,7 +151,7 @@ class ByteBPE:
         raw = buf.tobytes()
         which = np.flatnonzero(bad)
         whole = dict(zip(which.tolist(), self._batch([raw[offs[k] : offs[k + 1]].decode() for k in which])))
-        parts = [np.asarray(whole[k], np.uint16) if k in whole else ids[first[k] : first[k + 1]] for k in range(rows)]
+        parts = [np.asarray(whole[k], np.uint32) if k in whole else ids[first[k] : first[k + 1]] for k in range(rows)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 

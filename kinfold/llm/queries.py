@@ -47,7 +47,7 @@ def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.read_back(token_output.encode_documents(table(spark, sf_dir, "documents")))
+    return token_output.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

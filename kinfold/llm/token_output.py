@@ -1,88 +1,87 @@
-"""Token ids as compressed binary shards (operator 9).
+"""Token ids as compressed binary files (operator 9).
 
-Documents are range-partitioned and sorted by doc_id, tokenised, and their ids (with an end id) coded block by block by
-the adaptive context-mixing range coder of range_coder.py. A shard holds whole documents, about SHARD ids of them, and
-is a file in itself: header, document lengths, block table with a checksum of each block's ids, coded blocks, and a
-checksum of all of that. Spark stores shards as rows of a table, so that any store it writes to will do, lost tasks are
-written again, and readers take shards in parallel.
+Documents are range-partitioned and sorted by doc_id and tokenised; their ids (with an end id) are coded block by block
+by the adaptive context-mixing range coder of token_coder.java. Every block starts from the same empty model: counts of
+ids by order 0, 1 and 2 give three distributions, which are mixed with weights that the block learns as it goes, and an
+id's share of the mixture is its interval. A shard holds whole documents, about SHARD ids of them, and is a file
+`part-<partition>-<number>.ktok` of its own in the folder that the caller names, in any store that Hadoop's file systems
+reach. A file gets its name once it is whole, and a task that is run again replaces its files, so that lost executors
+leave no half shards.
 
-Layout, little-endian: b"KTOK", version u16, block size u32, documents u32, ids u64, blocks u32; documents x u32 ids;
-blocks x (ids u32, crc32 of the ids as u16 u32, bytes u32); the blocks' bytes; crc32 of all before u32.
+Layout, little-endian: b"KTOK", version u16, 0 u16, block size u32, vocabulary bound u32, part u32, number u32, ids of
+the part before this shard u64, documents u32, ids u64, bytes of the names u32, blocks u32; names; documents x u32 ids;
+blocks x (ids u32, crc32 of the ids as u32, bytes u32); the blocks' bytes; crc32 of all before u32. Names are the
+doc_ids as text: documents x i32 bytes, -1 for null, then the texts.
 
 Defined results: null text counts as empty, which is the end id alone; null doc_ids come first; rows of one doc_id are
-in order of a hash of their text; an empty table gives no shard; a shard that fails a check raises ValueError; further
-columns are ignored.
+in order of a hash of their text, and equal rows are written as often as they come; a document of any length stays
+whole, in a shard that is longer by it (of less than 2^29 ids, so that it is one value of Spark); an empty table gives a
+folder without files; a file that fails a check raises an error; further columns are ignored; writing to a folder that
+holds shards raises an error.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from ._shared import ship_package, text_of, written
-from .range_coder import BLOCK, decode, encode
-
-END, SHARD, TOGETHER = 2, 1 << 20, 8
-MAGIC, VERSION, HEADER, ENTRY = b"KTOK", 1, struct.Struct("<4sHIIQI"), struct.Struct("<III")
-
-
-def write_shards(shards: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
-    """(ids as u16, lengths of documents) to bytes. Blocks of all shards are coded together, each on its own."""
-    cuts = [[ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)] for ids, _ in shards]
-    coded = iter(encode([b for c in cuts for b in c]))
-    out = []
-    for (ids, lens), blocks in zip(shards, cuts):
-        bodies = [next(coded) for _ in blocks]
-        table = b"".join(ENTRY.pack(len(b), zlib.crc32(b.astype("<u2").tobytes()), len(x)) for b, x in zip(blocks, bodies))
-        head = HEADER.pack(MAGIC, VERSION, BLOCK, len(lens), len(ids), len(blocks))
-        raw = b"".join([head, lens.astype("<u4").tobytes(), table, *bodies])
-        out.append(raw + struct.pack("<I", zlib.crc32(raw)))
-    return out
-
-
-def read_shards(files: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What write_shards was given, after all checks."""
-    parsed, bodies, sizes = [], [], []
-    for raw in files:
-        if len(raw) < HEADER.size + 4 or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
-            raise ValueError("a shard's checksum is wrong")
-        magic, version, _, docs, n, blocks = HEADER.unpack_from(raw)
-        if (magic, version) != (MAGIC, VERSION):
-            raise ValueError("no shard of this format and version")
-        at = HEADER.size
-        lens = np.frombuffer(raw, "<u4", docs, at)
-        at += 4 * docs
-        table = [ENTRY.unpack_from(raw, at + ENTRY.size * k) for k in range(blocks)]
-        at += ENTRY.size * blocks
-        for size, _, length in table:
-            sizes.append(size)
-            bodies.append(raw[at : at + length])
-            at += length
-        if at + 4 != len(raw) or sum(t[0] for t in table) != n or int(lens.sum()) != n:
-            raise ValueError("a shard's parts don't add up")
-        parsed.append((lens, table))
-    blocks = iter(decode(bodies, sizes))
-    out = []
-    for lens, table in parsed:
-        parts = [next(blocks) for _ in table]
-        for part, (_, crc, _) in zip(parts, table):
-            if zlib.crc32(part.astype("<u2").tobytes()) != crc:
-                raise ValueError("a block's checksum is wrong")
-        out.append((np.concatenate([np.zeros(0, np.uint16), *parts]), lens))
-    return out
-
-
-def encode_documents(docs: DataFrame, end: int = END, tokenizer: str | None = None) -> DataFrame:
-    """The stored shards: (part, seq, part_start, n_ids, doc_ids, payload), in ascending order of doc_id."""
-    ship_package(docs.sparkSession)
+from pyspark.sql.types import BinaryType, LongType
+
+from . import jvm
+from ._shared import owned, scratch_root, ship_package, small, text_of
+
+END, SHARD, BLOCK = 2, 1 << 20, 1 << 14
+SOURCE, HEAD = "token_coder.java", struct.Struct("<IIQIQI")
+
+
+def payload(part: int, seq: int, start: int, names: pa.Array, lens: np.ndarray, ids: np.ndarray) -> bytes:
+    """What a shard holds, before it is coded. names: doc_ids as strings."""
+    names = pa.concat_arrays([names.cast(pa.large_string())])
+    offs = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    sizes = np.where(names.is_valid().to_numpy(zero_copy_only=False), np.diff(offs), -1).astype("<i4")
+    text = names.buffers()[2].to_pybytes()[offs[0] : offs[-1]] if offs[-1] else b""
+    head = HEAD.pack(part, seq, start, len(lens), len(ids), 4 * len(sizes) + len(text))
+    return b"".join([head, sizes.tobytes(), text, lens.astype("<u4").tobytes(), ids.astype("<u4").tobytes()])
+
+
+def parsed(raw: bytes) -> tuple[int, int, pa.Array, np.ndarray, np.ndarray]:
+    """(part, start, names, lengths, ids) of a payload."""
+    raw = memoryview(raw)
+    part, _, start, docs, n, names = HEAD.unpack_from(raw)
+    sizes = np.frombuffer(raw, "<i4", docs, HEAD.size)
+    ends = HEAD.size + 4 * docs + np.cumsum(np.maximum(sizes, 0))
+    found = pa.array([None if n < 0 else str(raw[e - n : e], "utf-8") for e, n in zip(ends.tolist(), sizes.tolist())], pa.string())
+    at = HEAD.size + names
+    lens = np.frombuffer(raw, "<u4", docs, at).astype(np.int64)
+    if lens.sum() != n:
+        raise ValueError("a shard's parts don't add up")
+    return part, start, found, lens, np.frombuffer(raw, "<u4", n, at + 4 * docs)
+
+
+def functions(spark: SparkSession) -> None:
+    """Registers kinfold_write_shard(folder, payload, block), kinfold_code_shard(payload, block) and kinfold_read_shard(bytes)."""
+    for name, kind in (("WriteShard", LongType()), ("CodeShard", BinaryType()), ("ReadShard", BinaryType())):
+        jvm.register(spark, SOURCE, f"kinfold.llm.{name}", "kinfold_" + name.replace("Shard", "_shard").lower(), kind)
+
+
+def write(docs: DataFrame, path: str, end: int = END, tokenizer: str | None = None, block: int = BLOCK, shard_ids: int = SHARD) -> DataFrame:
+    """Writes the shards of docs into the folder `path`, and returns (part, seq, start, n_docs, n_ids, n_bytes) of them."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    functions(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder) and len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*.ktok"))):
+        raise ValueError(f"{path} holds shards already")
+    fs.mkdirs(folder)
     text = text_of(docs)
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = docs.select(docs["doc_id"], text.alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,70 +94,70 @@ def encode_documents(docs: DataFrame, end: int = END, tokenizer: str | None = No
         bpe, part = byte_bpe(tokenizer), TaskContext.get().partitionId()
         seq = start = held = 0
         names, parts, lens = [], [], []
-        ready: list[tuple] = []
 
-        def shard() -> None:
-            ready.append((pa.concat_arrays(names), np.concatenate(parts), np.concatenate(lens)))
+        def shard() -> pa.RecordBatch:
+            nonlocal seq, start, held
+            ids, sizes = np.concatenate(parts), np.concatenate(lens)
+            row = (part, seq, start, len(sizes), len(ids), O.payload(part, seq, start, pa.concat_arrays(names), sizes, ids))
             names.clear(), parts.clear(), lens.clear()
+            seq, start, held = seq + 1, start + len(ids), 0
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["part", "seq", "start", "n_docs", "n_ids", "payload"])
 
-        def flush() -> pa.RecordBatch:
-            nonlocal seq, start
-            files = O.write_shards([(ids, n) for _, ids, n in ready])
-            sizes = np.array([len(ids) for _, ids, _ in ready], np.int64)
-            starts = start + np.cumsum(sizes) - sizes
-            ptr = pa.array(np.cumsum([0, *(len(x) for x, _, _ in ready)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ptr, pa.concat_arrays([x for x, _, _ in ready]))
-            out = [pa.array(np.full(len(files), part, np.int32)), pa.array(np.arange(seq, seq + len(files), dtype=np.int32)), pa.array(starts), pa.array(sizes), lists, pa.array(files, pa.binary())]
-            seq, start = seq + len(files), start + int(sizes.sum())
-            ready.clear()
-            return pa.RecordBatch.from_arrays(out, names=["part", "seq", "part_start", "n_ids", "doc_ids", "payload"])
-
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for row, buf, offs in texts(batch.column(1)):
                 ids, first = bpe.encode(buf, offs)
                 n = len(offs) - 1
-                parts.append(np.insert(ids, first[1:], np.uint16(end)))
+                parts.append(np.insert(ids, first[1:], np.uint32(end)))
                 lens.append(np.diff(first) + 1)
                 names.append(batch.column(0).slice(row, n))
                 held += len(ids) + n
-                if held >= O.SHARD:
-                    shard()
-                    held = 0
-                    if len(ready) >= O.TOGETHER:
-                        yield flush()
+                if held >= shard_ids:
+                    yield shard()
         if names:
-            shard()
-        if ready:
-            yield flush()
+            yield shard()
+
+    made = rows.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, "part int, seq int, start long, n_docs long, n_ids long, payload binary")
+    stored = made.select("part", "seq", "start", "n_docs", "n_ids", F.call_function("kinfold_write_shard", F.lit(path), "payload", F.lit(block)).alias("n_bytes"))
+    listing = path.rstrip("/") + "/_shards"
+    stored.write.mode("overwrite").parquet(listing)
+    return spark.read.schema(stored.schema).parquet(listing)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(rows.select("doc_id", "text").mapInArrow(run, f"part int, seq int, part_start long, n_ids long, doc_ids array<{kind}>, payload binary"), "token-shards")
 
+def read(spark: SparkSession, path: str, kind: str = "long", with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32), and the ids if with_ids: a row for each document of the files in `path`.
 
-def read_back(shards: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), and the ids if with_ids: a row for each document in the stored shards."""
-    ship_package(shards.sparkSession)
+    kind: the type of doc_id. start counts the ids of all documents before, in order of the partitions and shards."""
+    ship_package(spark)
+    functions(spark)
+    shards = spark.read.schema("part int, seq int, start long, n_docs long, n_ids long, n_bytes long").parquet(path.rstrip("/") + "/_shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     bases = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = shards.join(bases, "part").select("doc_ids", (F.col("part_start") + F.col("base")).alias("start"), "payload")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktok").load(path)
+    rows = files.select(F.regexp_extract("path", r"part-(\d+)-\d+\.ktok$", 1).cast("int").alias("part"), "content").join(small(bases), "part")
+    rows = rows.select("base", F.call_function("kinfold_read_shard", "content").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kinfold.llm import token_output as O
 
         for batch in batches:
-            for k in range(0, len(batch), O.TOGETHER):
-                part = batch.slice(k, O.TOGETHER)
-                found = O.read_shards(part.column(2).to_pylist())
-                for i, (ids, lens) in enumerate(found):
-                    ends = np.cumsum(lens.astype(np.int64))
-                    wide = ids.astype("<u4")
-                    crc = [zlib.crc32(wide[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist())]
-                    out = [part.column(0).slice(i, 1).flatten(), pa.array(part.column(1)[i].as_py() + ends - lens), pa.array(lens.astype(np.int64)), pa.array(crc, pa.int64())]
-                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                    if with_ids:
-                        ptr = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                        out, names = [*out, pa.ListArray.from_arrays(ptr, pa.array(ids.astype(np.int32)))], [*names, "ids"]
-                    yield pa.RecordBatch.from_arrays(out, names=names)
-
-    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+            for base, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, start, found, lens, ids = O.parsed(raw.as_buffer())
+                ends = np.cumsum(lens)
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist())]
+                out, names = [found, pa.array(base + start + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    ptr = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    out, names = [*out, pa.ListArray.from_arrays(ptr, pa.array(ids.astype(np.int32)))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    got = rows.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return got.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """read() of what write() put into a folder of the shared scratch space, which goes when the driver's interpreter ends."""
+    spark = docs.sparkSession
+    path = owned(spark, f"{scratch_root(spark)}/kinfold/tokens-{uuid.uuid4().hex}")
+    write(docs, path)
+    return read(spark, path, docs.schema["doc_id"].dataType.simpleString())
