@@ -9,8 +9,14 @@ is hot, and there are at most 4 x partitions of those, so that list can be broad
 salt that is part of the sort key, so that a hot text becomes up to SALTS runs in many ranges. The best rows of
 those runs, at most SALTS a hot text, are compared in full in a second, small content sort.
 
-Defined results: null text counts as empty; empty texts are equal to each other; a repeated row (same doc_id and
-text) counts towards group_size and one of its rows is kept; a null doc_id sorts after all others; further columns are ignored by `classes` and kept by `dedup`.
+`dedup` finds the rows that stay by a 64-bit hash of doc_id, normalised text and length, as `classes` finds hot texts;
+`classes` itself compares texts whole.
+
+Defined results: null text counts as empty; empty texts are equal to each other; an empty table gives an empty one; texts
+of any length are compared whole, with a prefix and a hash as range key; of rows that tie in code points and doc_id one
+is kept, whichever, and it is the same in spelling or equal but for white space; a repeated row (same doc_id and
+text) counts towards group_size and one of its rows is kept; a null doc_id sorts after all others; further columns,
+whatever their names, are ignored by `classes` and kept by `dedup`.
 """
 
 from __future__ import annotations
@@ -49,7 +55,9 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, norm_hash), a row for each row of docs."""
+    """(doc_id, keep_id, group_size, kept, text_sha256, norm_hash, n_cp), a row for each row of docs.
+
+    norm_hash: xxhash64 of the normalised text; n_cp: code points of the text as it is."""
     spark = docs.sparkSession
     text = text_of(docs, text_col)
     base = docs.select(docs[id_col].alias("doc_id"), normalised(text).alias("norm"), F.length(text).alias("n_cp"))
@@ -62,7 +70,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(F.col("hot_h").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id", "n_cp"), F.lit(SALTS)).cast("int")).alias("salt"),
     )
     runs = _runs(rows).select(
-        "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "salt", "h", "best_id", "best_len", "run_rows", "rn",
+        "doc_id", "n_cp", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "salt", "h", "best_id", "best_len", "run_rows", "rn",
         F.when((F.col("salt") >= 0) & (F.col("rn") == 1), F.col("norm")).alias("rep"),
     )
     runs = written(runs, "dedup-runs")
@@ -72,23 +80,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     merged = _runs(reps).select(
         F.col("text_sha256").alias("m_sha"), F.col("of_salt").alias("m_salt"), F.col("best_id").alias("m_id"), F.col("run_rows").alias("m_rows"),
+        (F.col("rn") == 1).alias("m_first"),
     )
     out = runs.join(merged, (runs.salt == merged.m_salt) & (runs.text_sha256 == merged.m_sha), "left")
     keep, rows_in = F.when(F.col("salt") >= 0, F.col("m_id")).otherwise(F.col("best_id")), F.coalesce("m_rows", "run_rows")
     return out.select(
         "doc_id", keep.alias("keep_id"), rows_in.cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keep) & (F.col("rn") == 1)).alias("kept"), "text_sha256", F.col("h").alias("norm_hash"),
+        ((F.col("rn") == 1) & ((F.col("salt") < 0) | F.col("m_first"))).alias("kept"), "text_sha256", F.col("h").alias("norm_hash"), "n_cp",
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of a repeated row (same doc_id and text) one stays."""
-    kept = classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("norm_hash").alias("_keep_h"))
-    h = F.xxhash64(normalised(text_of(docs, text_col)))
-    both = docs.withColumn("_h", h).withColumn("_id", docs[id_col])
-    both = both.join(kept, both["_id"].eqNullSafe(kept["_keep_id"]) & (both["_h"] == kept["_keep_h"]), "left_semi")
-    one = Window.partitionBy("_id", "_h").orderBy(F.desc(F.length(text_of(both, text_col))))
-    return both.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = classes(docs, id_col, text_col).where("kept").select(F.xxhash64("doc_id", "norm_hash", "n_cp").alias("key"))
+    text = text_of(docs, text_col)
+    # the row as one value, so that no column of docs can clash with the key
+    rows = docs.select(F.xxhash64(docs[id_col], F.xxhash64(normalised(text)), F.length(text)).alias("key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    one = Window.partitionBy("key").orderBy("key")
+    return rows.join(found, "key", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 #: For DuckDB, over the table documents.

@@ -39,7 +39,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.classes(table(spark, sf_dir, "documents")).drop("norm_hash")
+    return exact_dedup.classes(table(spark, sf_dir, "documents")).drop("norm_hash", "n_cp")
 
 
 def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:

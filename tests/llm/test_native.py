@@ -101,3 +101,23 @@ def test_revisits(spark):
     assert {k: v["status"] for k, v in got.items()} == {2: "resolved", 3: "validator_mismatch", 4: "no_earlier_response", 5: "unvalidated", 6: "no_earlier_response"}
     assert got[2]["headers"] == {"etag": 'W/"1"', "content-type": "t", "vary": "v", "date": "later"} and got[2]["response_id"] == 1 and got[2]["canonical_url"] == "a.com/x?a=1&b=2"
     assert warc_revisit.resolve(df.where("false")).count() == 0
+
+
+def test_hot_text_in_two_spellings_keeps_one_row(spark):
+    rows = [(0, "ab c"), (0, "abc"), *((k, "abc") for k in range(1, 2000)), (5, "x"), (5, "x"), (None, "y"), (None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_h": F.lit(7), "_id": F.lit(8), "_n": F.lit(9), "key": F.lit(1), "row": F.lit(2)})
+    kept = exact_dedup.classes(df).where("kept").select("doc_id", "keep_id", "group_size").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(0, 0, 2001), (5, 5, 2), (None, None, 2)], key=str)
+    got = exact_dedup.dedup(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(0, "ab c", 7, 8, 9, 1, 2), (5, "x", 7, 8, 9, 1, 2), (None, "y", 7, 8, 9, 1, 2)], key=str)
+
+
+def test_decontamination_beyond_a_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "q r s")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "q r s t"), (2, "clean one"), (None, "q R s"), (3, None)], "doc_id long, text string").withColumns({"h": F.lit(1), "key": F.lit(2), "t": F.lit(3)})
+    want = sorted(map(tuple, decontamination.report(docs, items).collect()), key=str)
+    left = sorted((tuple(r)[:2] for r in decontamination.clean(docs, items, min_items=1).collect()), key=str)
+    assert left == sorted([(2, "clean one"), (3, None)], key=str)
+    monkeypatch.setattr("kinfold.llm._shared.BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontamination.report(docs, items).collect()), key=str) == want
