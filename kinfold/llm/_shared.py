@@ -64,10 +64,14 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; beyond that Spark chooses a shuffled join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def fits(df: DataFrame) -> bool:
+    """Whether df has few enough rows to be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that Spark chooses a shuffled join."""
+    return F.broadcast(df) if (fits(df) if rows is None else rows <= BROADCAST_ROWS) else df
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -14,7 +14,9 @@ Postings of one common term spread over partitions as the documents do; what is
 by document. No list is capped. Terms and windows come from the benchmark and are broadcast up to BROADCAST_ROWS
 rows, joined by a shuffle beyond.
 
-Defined results: null and empty texts have no words; documents are told apart by doc_id and a hash of their text,
+Defined results: null and empty texts have no words; an empty benchmark hits nothing, and empty documents give an empty
+table; texts of any length are read whole; of windows with equally rare terms the first offset is taken, which
+changes no result; documents are told apart by doc_id and a hash of their text,
 so a repeated row has a result of its own; an item whose text repeats another's counts as an item of its own;
 items with a null item_id count in n_items as one item and are written as an empty string; further columns of
 either table are ignored.
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, fenced_words, small, text_of, words, written
+from ._shared import ascii_lower, fenced_words, fits, small, text_of, words, written
 
 WIDTH = 8
 
@@ -53,7 +55,9 @@ def anchored(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col
     """(gram, t, off): each distinct window with its rarest term by counts over all docs, and that term's offset."""
     grams = grams.select("gram").distinct()
     at = grams.select("gram", F.posexplode("gram").alias("off", "term")).withColumn("t", F.xxhash64("term"))
-    counts = _tokens(docs, id_col, text_col).select("t").join(small(at.select("t").distinct()), "t").groupBy("t").count()
+    terms, tokens = at.select("t").distinct(), _tokens(docs, id_col, text_col).select("t")
+    # terms too many to broadcast meet counts, not occurrences
+    counts = tokens.join(F.broadcast(terms), "t").groupBy("t").count() if fits(terms) else tokens.groupBy("t").count().join(terms, "t")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "t")).alias("r")
     return at.join(counts, "t", "left").groupBy("gram").agg(rarest).select("gram", F.col("r.t").alias("t"), F.col("r.off").alias("off"))
 
@@ -66,7 +70,13 @@ def build_index(docs: DataFrame, terms: DataFrame, radius: int, id_col: str = "d
     listed = terms.select("t", F.lit(False).alias("end")).distinct().union(end)
     first = F.greatest(F.lit(1), F.col("pos") - radius)
     around = F.slice(F.col("w"), first + 1, F.least(F.col("pos") + radius, F.size("w") - 2) - first + 1)
-    postings = _tokens(docs, id_col, text_col).join(small(listed), "t").select(
+    tokens = _tokens(docs, id_col, text_col)
+    if fits(listed):
+        postings = tokens.join(F.broadcast(listed), "t")
+    else:  # what is shuffled has its neighbours beside it, not its whole document
+        postings = tokens.select("t", "doc_id", "h", "pos", first.alias("_first"), around.alias("_around")).join(listed, "t")
+        first, around = F.col("_first"), F.col("_around")
+    postings = postings.select(
         "t", "end", "doc_id", "h", (F.col("pos") - 1).alias("pos"), F.when(~F.col("end"), first - 1).alias("from"),
         F.when(~F.col("end"), around).alias("around"),
     )
@@ -98,8 +108,8 @@ def near(index: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
     return at.withColumn("fits", fits).where(F.size("fits") > 0).select("doc_id", "h", "gram", (F.col("from") + F.element_at("fits", 1)).alias("start"))
 
 
-def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs."""
+def _report(docs: DataFrame, items: DataFrame, width: int, min_items: int) -> DataFrame:
+    """What `report` returns, and h, the hash of the text."""
     grams = written(windows_of(items, width), "windows")
     lists = written(anchored(docs, grams), "anchors")
     index = build_index(docs, lists, width - 1)
@@ -120,16 +130,23 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int
     out = rows.join(hit, rows["doc_id"].eqNullSafe(hit["k_id"]) & (rows["h"] == hit["k_h"]), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        "doc_id", rows["h"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (F.size(ids) >= min_items).alias("contaminated"),
     )
 
 
+def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = 2) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs."""
+    return _report(docs, items, width, min_items).drop("h")
+
+
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", width: int = WIDTH, min_items: int = 2) -> DataFrame:
-    """The rows of docs in which windows of fewer than min_items items occur, with all their columns."""
+    """The rows of docs in which windows of fewer than min_items items occur, with all their columns.
+
+    Rows are found again by a 64-bit hash of doc_id and text, so a clean row stays whatever other rows share its doc_id."""
     of = docs.select(docs[id_col].alias("doc_id"), docs["text"])
-    bad = report(of, items, width, min_items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = _report(of, items, width, min_items).where("contaminated").select(F.xxhash64("doc_id", "h").alias("key")).distinct()
+    return docs.join(bad, F.xxhash64(docs[id_col], F.xxhash64(text_of(docs))) == bad["key"], "left_anti")
 
 
 #: For DuckDB, over documents and benchmark.
