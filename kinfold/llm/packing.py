@@ -5,13 +5,16 @@
 2. How many pieces have each length is a table of at most `capacity` rows, whatever the input, and goes to the driver.
 3. Minimum bin slack: the longest remaining length opens a bin, and a subset-sum over the available lengths (a bitset,
    bounded by how many pieces each has) finds the fullest feasible combination, which is removed as often as
-   the counts allow. Each removal leaves some length with fewer pieces than the combination takes, so the number
-   of different combinations depends on the capacity, not on the input.
+   the counts allow. Each removal leaves some length with fewer pieces than the combination takes. The number of
+   different combinations is small beside the input, but grows with the number of pieces until every length is common;
+   the table of their places is broadcast only up to a checked size.
 4. The k-th piece of a length takes the k-th place that the combinations have for that length. Ranks are counted
    within (length, salt) and shifted by sums over that table, so a very common length is ranked by many tasks.
 
-Defined results: null text counts as empty, and an empty document is its end id alone; repeated rows and null
-doc_ids are packed like any others; further columns are ignored.
+Defined results: null text counts as empty, and an empty document is its end id alone; an empty table gives no
+sequence; a document of any length is cut into as many pieces as it needs; ties in length are ranked by doc_id, and equal
+rows in any order, which places alike pieces alike; repeated rows and null doc_ids are packed like any others; further
+columns are ignored. Ids are 32 bits wide, for a tokenizer of any vocabulary.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import ship_package, small, written
 
-CAPACITY, END, SALTS = 2048, 0, 64
+CAPACITY, END, SALTS, STRETCHES = 2048, 0, 64, 1 << 16
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -120,18 +123,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: s
     cutup = written(cutup, "pieces")
     sizes = written(cutup.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity x SALTS rows
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(
-        plan(counts, capacity), "p_length long, first_rank long, end_rank long, first_bin long, copies long, base long"
-    )
+    made = plan(counts, capacity)
+    # a stretch of ranks is part of the join's key, so that beyond the bound of a broadcast no length is one task's
+    stretch = max(1, sum(counts.values()) // STRETCHES)
+    rows = sum((end - 1) // stretch - first // stretch + 1 for _, first, end, *_ in made)
+    places = spark.createDataFrame(made, "p_length long, first_rank long, end_rank long, first_bin long, copies long, base long")
+    places = places.withColumn("p_stretch", F.explode(F.sequence(F.floor(F.col("first_rank") / stretch), F.floor((F.col("end_rank") - 1) / stretch))))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(F.col("length").alias("s_length"), F.col("salt").alias("s_salt"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cutup.withColumn("rn", F.row_number().over(within) - 1)
     ranked = ranked.join(small(shifts, rows=capacity * SALTS), (ranked.length == shifts.s_length) & (ranked.salt == shifts.s_salt))
-    ranked = ranked.withColumn("rank", F.col("rn") + F.col("shift"))
-    at = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
+    ranked = ranked.withColumn("rank", F.col("rn") + F.col("shift")).withColumn("stretch", F.floor(F.col("rank") / stretch))
+    at = (F.col("length") == F.col("p_length")) & (F.col("stretch") == F.col("p_stretch")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
     k = F.col("rank") - F.col("first_rank")
-    return ranked.join(F.broadcast(places), at).select(
+    return ranked.join(small(places, rows=rows), at).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_bin") + F.floor(k / F.col("copies"))).cast("long").alias("sequence_id"),
         (F.col("base") + F.pmod(k, F.col("copies")) * F.col("length")).cast("long").alias("offset"),
