@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from itertools import combinations
 from pathlib import Path
@@ -355,3 +356,56 @@ def test_language_id_learns_from_whole_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, F.lit(True), F.lit(False)).collect()}
     assert (got[200], got[201], got[202], got[100]) == ("fr", "en", "de", "fr")
+
+
+def test_texts_under_one_id_and_null_ids_are_told_apart(spark):
+    a, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, a), (1, other), (2, a + " more"), (None, other + " end"), (None, "null " + a[:40]), (None, "null " + a[:40]), (7, other + " end")]
+    for order in (rows, rows[::-1]):
+        df = docs(spark, order)
+        got = sorted((tuple(r) for r in ngram_join.near_duplicates(df).collect()), key=str)
+        assert got == sorted([(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 2), (None, 1, 1, 7), (7, 1, 1, 7), (None, None, 0, None), (None, None, 0, None)], key=str)
+        left = sorted((r["doc_id"], r["text"]) if r["doc_id"] else (None, r["text"]) for r in ngram_join.dedup(df).collect() if r["doc_id"])
+        assert left == [(1, other), (1, a)]
+        assert [r["text"] for r in ngram_join.dedup(df).collect() if r["doc_id"] is None] == ["null " + a[:40]]
+
+
+def test_a_long_text_and_its_near_copy(spark):
+    long = " ".join(f"x{k % 9001}" for k in range(200_000))
+    got = ngram_join.near_duplicates(docs(spark, [(1, long), (2, long + " tail"), (3, "short one")])).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
+def test_recall_of_the_join_on_data(spark):
+    """Of all pairs at the threshold in the test data, by brute force over shared shingles."""
+    from kinfold.llm._shared import table
+
+    df = table(spark, str(DATA / "sf0.001"), "documents")
+    sets = {}
+    for r in df.collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        if w:
+            sets.setdefault(tuple(w), r["doc_id"])
+    grams = {d: {w[i : i + 5] for i in range(max(1, len(w) - 4))} for w, d in sets.items()}
+    want = dict.fromkeys(grams, 0)
+    for a, b in combinations(grams, 2):
+        if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+            want[a] += 1
+            want[b] += 1
+    got = {r["copy_id"]: r["n_links"] for r in ngram_join.near_duplicates(df).collect() if r["doc_id"] in want}
+    assert sum(got[d] for d in want) >= 0.99 * sum(want.values()) > 0 and all(got[d] <= want[d] for d in want)
+
+
+def test_partners_within_and_across_blocks():
+    rnd = np.random.default_rng(4)
+    for size in (2, 5, 30):
+        keys = rnd.integers(0, 3, (size * 4, 4))
+        band = np.repeat(rnd.integers(0, 4, 4), size)
+        keys[np.arange(len(keys)), band] = 9
+        block, across = rnd.integers(0, 2, len(keys)), np.repeat([True, False, True, False], size)
+        first = np.arange(4) * size
+        got = ngram_join.with_partners(keys, band, block, across, first)
+        for k in range(len(keys)):
+            g = k // size
+            want = any((not across[k] or block[j] != block[k]) and (keys[j, : band[k]] != keys[k, : band[k]]).all() for j in range(g * size, g * size + size) if j != k)
+            assert got[k] == want
