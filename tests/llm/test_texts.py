@@ -284,18 +284,66 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert quality.assess(docs(spark, [])).count() == 0
 
 
-def test_counterfactual_penalty_shrinks_group_mentions():
-    rnd = np.random.default_rng(0)
-    rows, y = [], []
-    for _ in range(1500):  # feature 0: an insult; 1 and 2: groups, of which 1 is mostly met in toxic texts
+def toxicity_rows(texts, y, identity):
+    table, pattern = bytewords.word_table(), toxicity.swapper(identity)
+    own = [toxicity.slots_of(t, table) for t in texts]
+    copies = [[toxicity.slots_of(c, table) for c in toxicity.counterfactuals(t, identity, pattern)] for t in texts]
+    known = np.unique(np.concatenate(own))
+    of = lambda a, b: np.searchsorted(known, x[np.isin(x, known)]) if len(x := np.setdiff1d(a, b)) else x
+    rows = toxicity.Rows(y, [np.searchsorted(known, x) for x in own], [[(of(c, x), of(x, c)) for c in cs] for x, cs in zip(own, copies)])
+    return rows, known
+
+
+GROUPS = (("people", "muslims", "jews", "gays"),)
+
+
+def biased_texts():
+    """Toxic texts, of which most mention one group and most have an insult; clean ones seldom mention that group."""
+    rnd = random.Random(0)
+    texts, y = [], []
+    for _ in range(1500):
         toxic = rnd.random() < 0.3
-        group = 1 if rnd.random() < (0.9 if toxic else 0.1) else 2
-        rows.append([group, *([0] if toxic and rnd.random() < 0.6 else []), int(rnd.integers(3, 50))])
+        group = "muslims" if rnd.random() < (0.9 if toxic else 0.05) else rnd.choice(["people", "jews", "gays"])
+        filler = " ".join(f"w{rnd.randrange(60)}x" for _ in range(6))
+        texts.append(f"{filler} {group}" + (" moron" if toxic and rnd.random() < 0.7 else ""))
         y.append(float(toxic))
-    ptr = np.cumsum([0, *map(len, rows)])
-    of = lambda c: toxicity.fit(np.array(y), np.concatenate(rows), ptr, [np.array([1, 2])], 50, c)[0]
-    free, bound = of(0.0), of(5.0)
-    assert abs(bound[1] - bound[2]) < 0.3 * abs(free[1] - free[2]) and bound[0] > 1
+    return texts, y
+
+
+def test_counterfactual_copies_swap_every_term():
+    identity = (("women", "men"), ("jews",))
+    pattern = toxicity.swapper(identity)
+    assert toxicity.counterfactuals("Women, men and JEWS; womenfolk", identity, pattern, 2) == ["men, women and jews; womenfolk"] * 2
+    assert toxicity.counterfactuals("nobody", identity, pattern) == [] and toxicity.counterfactuals("women", (), toxicity.swapper(())) == []
+
+
+def test_counterfactual_penalty_lowers_false_positives_on_neutral_mentions():
+    texts, y = biased_texts()
+    rows, known = toxicity_rows(texts, y, GROUPS)
+    score = {}
+    for c in (0.0, 5.0):
+        w, bias = toxicity.fit(rows, len(known), c)
+        weights = dict(zip(known.tolist(), w.tolist()))
+        logit = lambda t: bias + sum(weights.get(x, 0.0) for x in toxicity.slots_of(t, bytewords.word_table()).tolist())  # noqa: B023, E731
+        score[c] = {g: [logit(f"w{k}x w{k + 1}x {g} w{k + 2}x") for k in range(50)] for g in GROUPS[0]} | {"toxic": [logit(f"{g} moron") for g in GROUPS[0]], "w": w}
+    false = {c: sum(v >= 0 for v in score[c]["muslims"]) for c in score}
+    spread = {c: max(abs(np.mean(score[c][a]) - np.mean(score[c][b])) for a, b in combinations(GROUPS[0], 2)) for c in score}
+    assert false[0.0] >= 25 and false[5.0] == 0 and spread[5.0] < 0.2 * spread[0.0] and min(score[5.0]["toxic"]) > 0
+    # a ridge shrinks the insult's weights too, and leaves the groups apart beside them
+    ridge, _ = toxicity.fit(rows, len(known), 0.0, l2=50.0)
+    insult, one, two = (np.searchsorted(known, toxicity.slots_of(x, bytewords.word_table())) for x in ("moron", "muslims", "jews"))
+    apart = lambda w: abs(w[one].sum() - w[two].sum()) / w[insult].sum()
+    assert apart(score[5.0]["w"]) < 0.1 < 0.3 < apart(ridge)
+
+
+def test_toxicity_odd_tables(spark):
+    rows = [(k % 150, f"plain text number w{k % 37} here muslims" + (" moron" if k % 3 == 0 else "")) for k in range(300)] + [(900, "moron " * 50_000)]
+    df = docs(spark, rows).withColumns({"_y": F.lit(1), "y": F.lit(1), "id": F.lit(5), "toxic": F.lit("t"), "slots": F.lit(0)})
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)] * 2, "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    model = toxicity.train(df, labels, F.lit(True))
+    got = toxicity.score(df, model, F.lit(False)).collect()
+    assert len(got) == 301 and {(r["doc_id"], r["predicted"]) for r in got} == {(k, int(k % 3 == 0)) for k in range(150)} | {(900, 1)}
+    assert toxicity.score(df.where("false"), toxicity.train(df.where("false"), labels, F.lit(True)), F.lit(False)).count() == 0
 
 
 def test_toxicity(spark):
@@ -311,16 +359,13 @@ def test_toxicity(spark):
 
 
 def test_toxicity_by_beginnings(spark):
-    """Insults that share their beginning and nothing else, in small letters and capitals; identity terms don't begin."""
+    """Insults that share their beginning and nothing else, in small letters and capitals."""
     tail = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
     rows = [(k, f"plain text here {'RÉEUXA' if k % 8 == 0 else 'réeuxa'}{tail(k)}" if k % 4 == 0 else f"plain text here {tail(k)}") for k in range(600)]
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
     df, fold = docs(spark, rows), language_id.remainder(F.col("doc_id"), 5)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.train(df, labels, fold != 0), fold == 0).collect()}
     assert all(got[k] == (k % 4 == 0) for k in range(600))
-    buf, table = np.frombuffer(b"muslims other", np.uint8), bytewords.word_table()
-    free, bound = (toxicity.features(buf, np.array([0, len(buf)]), table, x) for x in (np.zeros(0, np.uint64), toxicity.term_hashes(["muslims"])))
-    assert len(free[0]) - len(bound[0]) == sum(n <= len("muslims") for n in toxicity.PREFIXES)
 
 
 def test_forward_sums_all_segmentations():
