@@ -5,17 +5,21 @@ probability is the sum over all its segmentations into pieces, by the forward al
 its words, so a word is worked out once for each language and worker, then looked up. Probabilities are learned by
 expectation-maximisation on a sample of labelled rows (about 1.2 SAMPLE_DOCS for each language, chosen by a hash of the
 doc_id) with expected counts from forward and backward sums. The words of the sampled rows' whole texts are counted on
-the executors; the driver gets a row for each word of a language.
+the executors; the driver gets a row for each word of a language. There is a model for each value of `lang`, so that
+their number is a property of the labels, not of the corpus's size.
 
-Words are runs of lower-cased letters (and marks), taken from the whole text. A word of over WORD_BYTES bytes is cut
-into runs of that many, scored one after another, as no piece is longer.
+Words are runs of lower-cased letters and marks with a letter among them, taken from the whole text; anything else
+(digits, dashes, quotes, signs, emoji) separates words. A word of any length is summed over as a whole: those of less
+than SHORT bytes many at once, those of less than MIDDLE many at once in logarithms, longer ones one by one.
 
 Defined results: null text, or one with no letter, is `und` with score 0; without any labelled row every text
-is `und`; ties go to the language first in order; repeated rows get equal results; further columns are ignored.
+is `und`; an empty table gives an empty one; texts of any length are read whole; ties go to the language first in order;
+repeated rows get equal results; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +34,8 @@ from ._shared import ship_package
 
 #: Documented bound of what is learned from: rows for each language.
 SAMPLE_DOCS = 1_500
-WORD_BYTES, PIECE_BYTES, ROUNDS, EDGE_BATCHES = 24, 16, 4, 20
+SHORT, MIDDLE, ROUNDS, EDGE_BATCHES = 64, 512, 4, 20
+TOGETHER = 1024  # words of middle length
 START = 1  # the byte that stands for a word's beginning, for the vocabulary's mark of it
 
 
@@ -50,17 +55,20 @@ def vocabulary(path: str | None = None) -> list[bytes]:
         p = sp.id_to_piece(k)
         body = p.removeprefix("▁").lower()
         raw = body.encode()
-        if body.isalpha() and len(raw) < PIECE_BYTES:
+        if body.isalpha():
             found.add((bytes([START]) if p != p.removeprefix("▁") else b"") + raw)
     return sorted(found)
 
 
-def letters_table() -> np.ndarray:
-    t = np.zeros(256, np.uint8)
-    t[0x61:0x7B] = np.arange(0x61, 0x7B)
-    t[0x41:0x5B] = np.arange(0x61, 0x7B)
-    t[0x80:] = np.arange(0x80, 0x100)
-    return t
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Of each code point: 2 for letters, 1 for marks, 0 for the rest."""
+    if not _kinds:
+        of = {"L": 2, "M": 1}
+        _kinds.append(np.fromiter((of.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000))
+    return _kinds[0]
 
 
 class Lattice:
@@ -69,7 +77,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes]):
         self.n = len(pieces)
         self.most = max(map(len, pieces))
-        self.p = np.cumprod(np.concatenate([[1], np.full(64, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        self.p = np.cumprod(np.array([1] + [0x9E3779B97F4A7C15] * self.most, np.uint64), dtype=np.uint64)
         keys = np.array([self._key(np.frombuffer(x, np.uint8)[None, :].astype(np.uint64))[0] for x in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
@@ -128,6 +136,69 @@ class Lattice:
         return counts
 
 
+    def log_sums(self, edges: list, size: np.ndarray, logp: np.ndarray, back: bool = False) -> np.ndarray:
+        """Logarithms of the forward (or backward) sums of many words, place x word x language."""
+        n = len(size)
+        sums = np.full((int(size.max(initial=1)) + 1, n, len(logp)), -np.inf)
+        if back:
+            sums[size, np.arange(n)] = 0.0
+        else:
+            sums[0] = 0.0
+        for start, end, w, k in reversed(edges) if back else edges:
+            a, b = (end, start) if back else (start, end)
+            sums[b, w] = np.logaddexp(sums[b, w], sums[a, w] + logp[:, k].T)
+        return sums
+
+    def log_expected(self, edges: list, size: np.ndarray, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """`expected` by log_sums."""
+        alpha, beta = self.log_sums(edges, size, logp), self.log_sums(edges, size, logp, True)
+        total, counts = alpha[size, np.arange(len(size))], np.zeros_like(logp)
+        for start, end, w, k in edges:
+            share = np.exp(alpha[start, w] + logp[:, k].T + beta[end, w] - total[w]) * weight[w]
+            for j in range(len(logp)):
+                counts[j] += np.bincount(k, share[:, j], self.n)
+        return counts
+
+    def long_edges(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces) of all pieces in one word with its mark, in order of their ends."""
+        from kinfold.llm.bytewords import _BYTES, mix
+
+        chars = np.frombuffer(bytes([START]) + word, np.uint8).astype(np.uint64)
+        p, q = _BYTES.get(len(chars) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * p[: len(chars)])])
+        out = []
+        for k in range(1, min(self.most, len(chars)) + 1):
+            first = np.arange(len(chars) - k + 1)
+            key = mix((sums[first + k] - sums[first]) * q[first] + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+            at = np.minimum(np.searchsorted(self.keys, key), self.n - 1)
+            hit = self.keys[at] == key
+            out.append((first[hit], first[hit] + k, self.ids[at[hit]]))
+        starts, ends, pieces = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ends[order], pieces[order]
+
+    def long_forward(self, starts: np.ndarray, ends: np.ndarray, pieces: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Logarithms of the forward sums, place x language; the last is the word's."""
+        size = int(ends[-1])
+        alpha, cost, at = np.full((size + 1, len(logp)), -np.inf), logp[:, pieces].T, np.searchsorted(ends, np.arange(size + 2))
+        alpha[0] = 0.0
+        for e in range(1, size + 1):
+            x = alpha[starts[at[e] : at[e + 1]]] + cost[at[e] : at[e + 1]]
+            top = x.max(0)
+            alpha[e] = top + np.log(np.exp(x - top).sum(0))
+        return alpha
+
+    def long_expected(self, word: bytes, logp: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts of pieces, language x piece, in `weight` (of each language) such words."""
+        starts, ends, pieces = self.long_edges(word)
+        alpha = self.long_forward(starts, ends, pieces, logp)
+        # the backward sums are the forward sums of the word from its end
+        size, back = int(ends[-1]), np.argsort(-starts, kind="stable")
+        beta = self.long_forward(size - ends[back], size - starts[back], pieces[back], logp)[::-1]
+        share = np.exp(alpha[starts] + logp[:, pieces].T + beta[ends] - alpha[-1]) * weight
+        return np.stack([np.bincount(pieces, share[:, j], self.n) for j in range(len(logp))])
+
+
 def grid_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Words with the mark of their beginning, as a matrix of bytes."""
     size = np.array([len(w) + 1 for w in words], np.int64)
@@ -138,15 +209,21 @@ def grid_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grid, size
 
 
-def cut_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, starts, ends, first of each text) of the words, cut to WORD_BYTES."""
+def cut_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first of each text) of the words in lower-cased texts."""
     from kinfold.llm.bytewords import segments
 
-    t = letters_table()[buf]
-    starts, ends, _ = segments(t != 0, offs)
-    n = -(-(ends - starts) // WORD_BYTES)
-    s = np.repeat(starts, n) + WORD_BYTES * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    return t, s, np.minimum(s + WORD_BYTES, np.repeat(ends, n)), np.searchsorted(s, offs)
+    if len(buf) and buf.max() >= 0x80:
+        kind = kinds()[np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)]
+        first = np.flatnonzero((buf & 0xC0) != 0x80)
+        kind = np.repeat(kind, np.diff(np.append(first, len(buf))))
+    else:
+        kind = kinds()[buf]
+    starts, ends, at = segments(kind > 0, offs)
+    if len(starts):  # marks alone are no word
+        real = np.maximum.reduceat(kind, starts) == 2
+        starts, ends = starts[real], ends[real]
+    return starts, ends, np.searchsorted(starts, offs)
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -159,8 +236,8 @@ def count_words(rows: Iterator[tuple[str, str]]) -> Counter[tuple[str, bytes]]:
     for text, lang in rows:
         data = np.frombuffer(text.lower().encode(), np.uint8)
         if len(data):
-            t, s, e, _ = cut_words(data, np.array([0, len(data)]))
-            raw = t.tobytes()
+            s, e, _ = cut_words(data, np.array([0, len(data)]))
+            raw = data.tobytes()
             counts[lang, b""] += 0
             counts.update((lang, raw[a:b]) for a, b in zip(s.tolist(), e.tolist()))
     return counts
@@ -174,7 +251,7 @@ def train(words: pa.Table, pieces: list[bytes], rounds: int = ROUNDS) -> tuple[l
         if n:
             of[word] = n
     langs = sorted(counts)
-    every = sorted(set().union(*counts.values())) if counts else []
+    every = sorted(set().union(*counts.values()), key=lambda w: (len(w) >= SHORT, len(w) >= MIDDLE, w)) if counts else []
     logp = np.full((len(langs), len(pieces)), -np.log(len(pieces)))
     if not every:
         return langs, logp
@@ -182,14 +259,20 @@ def train(words: pa.Table, pieces: list[bytes], rounds: int = ROUNDS) -> tuple[l
     weight = np.array([[counts[x].get(w, 0) for x in langs] for w in every], float)
     prior = np.array([256.0 ** -len(p) for p in pieces])  # what a piece gets without evidence falls with its length
 
+    short, middle = (sum(len(w) < k for w in every) for k in (SHORT, MIDDLE))
+
     def batch(k: int) -> tuple[list, np.ndarray]:
-        grid, size = grid_of(every[k : k + 20_000])
+        grid, size = grid_of(every[k : min(k + 20_000, short)])
         return lattice.edges(grid, size), size
 
-    firsts = range(0, len(every), 20_000)
+    firsts = range(0, short, 20_000)
     ready = {k: batch(k) for k in firsts[:EDGE_BATCHES]}  # those beyond are worked out in each round, to spare memory
     for _ in range(rounds):
-        new = sum(lattice.expected(*(ready.get(k) or batch(k)), logp, weight[k : k + 20_000]) for k in firsts)
+        new = sum(lattice.expected(*(ready.get(k) or batch(k)), logp, weight[k : min(k + 20_000, short)]) for k in firsts)
+        for k in range(short, middle, TOGETHER):
+            grid, size = grid_of(every[k : min(k + TOGETHER, middle)])
+            new = new + lattice.log_expected(lattice.edges(grid, size), size, logp, weight[k : k + len(size)])
+        new = new + sum(lattice.long_expected(every[k], logp, weight[k]) for k in range(middle, len(every)))
         new = new + 0.05 + prior
         logp = np.log(new / new.sum(1, keepdims=True))
     return langs, logp
@@ -208,7 +291,7 @@ class Scorer:
     def words(self, t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         from kinfold.llm.bytewords import span_hashes
 
-        h = span_hashes(t, starts, ends) | np.uint64(1)
+        h = span_hashes(t.astype(np.uint16) + np.uint16(1), starts, ends) | np.uint64(1)
         slot = (h >> np.uint64(64 - self.SLOTS_LOG2)).astype(np.int64)
         out = self.value[slot].astype(np.float64)
         miss = np.flatnonzero(self.key[slot] != h)
@@ -217,8 +300,15 @@ class Scorer:
             where, raw = miss[first], t.tobytes()
             order = np.argsort(ends[where] - starts[where], kind="stable")  # words of like length share a matrix
             got = np.zeros((len(where), len(self.logp)))
-            for k in range(0, len(order), 8192):
-                some = order[k : k + 8192]
+            short, middle = np.searchsorted((ends - starts)[where[order]], (SHORT, MIDDLE)).tolist()
+            for k in range(short, middle, TOGETHER):
+                some = order[k : min(k + TOGETHER, middle)]
+                grid, size = grid_of([raw[s:e] for s, e in zip(starts[where[some]].tolist(), ends[where[some]].tolist())])
+                got[some] = self.lattice.log_sums(self.lattice.edges(grid, size), size, self.logp)[size, np.arange(len(size))]
+            for k in order[middle:]:
+                got[k] = self.lattice.long_forward(*self.lattice.long_edges(raw[starts[where[k]] : ends[where[k]]]), self.logp)[-1]
+            for k in range(0, short, 8192):
+                some = order[k : min(k + 8192, short)]
                 grid, size = grid_of([raw[s:e] for s, e in zip(starts[where[some]].tolist(), ends[where[some]].tolist())])
                 got[some] = self.lattice.forward(self.lattice.edges(grid, size), size, self.logp)[0]
             out[miss] = got[inv]
@@ -267,17 +357,15 @@ def identify(docs: DataFrame, learn: Column, held_out: Column, path: str | None
                 n = len(offs) - 1
                 best, score = np.full(n, -1), np.zeros(n)
                 if scorer is not None and len(buf):
-                    t, starts, ends, at = M.cut_words(buf, offs)
+                    starts, ends, at = M.cut_words(buf, offs)
                     c = np.zeros((len(starts) + 1, len(langs)))
-                    np.cumsum(scorer.words(t, starts, ends), axis=0, out=c[1:])
+                    np.cumsum(scorer.words(buf, starts, ends), axis=0, out=c[1:])
                     total = c[at[1:]] - c[at[:-1]]
                     post = np.exp(total - total.max(1, keepdims=True))
                     post /= post.sum(1, keepdims=True)
-                    raw = buf.tobytes()
-                    for k in range(n):
-                        if at[k + 1] > at[k] and any(map(str.isalpha, raw[offs[k] : offs[k + 1]].decode())):
-                            best[k] = post[k].argmax()
-                            score[k] = post[k, best[k]]
+                    some = np.flatnonzero(at[1:] > at[:-1])
+                    best[some] = post[some].argmax(1)
+                    score[some] = post[some, best[some]]
                 names = np.array([*langs, "und"], object)[best]
                 part = batch.slice(row, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -1,30 +1,39 @@
-"""Not-modified revisits of web archives resolved to full responses (operator 8). Only DataFrame functions.
+"""Not-modified revisits of web archives resolved to full responses (operator 8). The join is of DataFrame functions only.
 
 A revisit record says that its url's content was what an earlier capture had. It is joined, as of its time, to the
 latest strictly earlier full response of the same canonical url; its validators are checked against that
 response's, and the headers that a not-modified answer may renew are merged over the response's.
 
-The as-of join never sorts a whole url in one task: time is cut into SEGMENTS spans. Within (url, span) a running
-maximum finds the latest response; the latest of each earlier span comes from a table of one row for each (url, span),
-at most SEGMENTS rows a url, combined before its shuffle. A url with a third of all records is up to SEGMENTS groups.
+The as-of join never sorts a whole url in one task: time is cut into SEGMENTS spans that hold equal shares of all records
+(at approximate quantiles, so that a few stray times, as 1970, don't make one span of all others). Within (url, span) a
+running maximum finds the latest response; the latest of each earlier span comes from a table of one row for each (url,
+span), at most SEGMENTS rows a url, combined before its shuffle. A url with a third of all records is up to SEGMENTS groups.
+
+`read_warc` makes such records from WARC files.
 
 Status: `resolved`; `validator_mismatch` if the latest earlier response has another entity tag (compared weakly), or
 where one of the two has none, another Last-Modified; `unvalidated` if no validator could be compared, which
 resolves by time alone; `no_earlier_response`.
 
 Defined results: a null url or time finds no response; responses of one url and time: the greatest record_id counts;
-null headers count as none; header names are compared in lower case, and a name that occurs twice after that keeps
+an empty table gives an empty one; urls and headers of any length are compared whole; ports 80 and 443 are default
+ports whatever the scheme, which is dropped; null headers count as none; header names are compared in lower case, and a name that occurs twice after that keeps
 its last value; repeated revisits get a row each; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import ship_package, written
 
-SEGMENTS = 1024
+SEGMENTS, FAN = 256, 16
 #: The fields that a 304 answer carries to renew a stored response (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -48,6 +57,17 @@ def _lower_names(headers: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, value))
 
 
+def _span(us: Column, cuts: list[int]) -> Column:
+    """How many of the cuts are at or before a time, found in two steps of about FAN comparisons."""
+    groups = [cuts[k : k + FAN] for k in range(0, len(cuts), FAN)]
+    longs = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    if not groups:
+        return F.lit(0)
+    before = F.size(F.filter(longs([g[-1] for g in groups]), lambda c: c <= us))
+    rest = F.coalesce(F.try_element_at(F.array(*map(longs, groups)), before + 1), longs([]))
+    return F.when(us.isNotNull(), before * FAN + F.size(F.filter(rest, lambda c: c <= us)))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """records: record_id, url, ts, kind (`response` or `revisit`), headers map, digest, length.
 
@@ -55,9 +75,9 @@ def resolve(records: DataFrame) -> DataFrame:
     r = records.select("record_id", canonical_url(records["url"]).alias("canonical_url"), "ts", "kind", _lower_names(records["headers"]).alias("h"), "digest", "length")
     r = r.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     r = written(r.withColumn("etag", F.regexp_replace(F.col("h")["etag"], "^W/", "")).withColumn("modified", F.col("h")["last-modified"]), "captures")
-    first, last = r.agg(F.min("us"), F.max("us")).first()
-    width = max(1, ((last or 0) - (first or 0)) // SEGMENTS + 1)
-    r = r.withColumn("span", F.floor((F.col("us") - (first or 0)) / width))
+    shares = [k / SEGMENTS for k in range(1, SEGMENTS)]
+    cuts = r.agg(F.percentile_approx("us", shares, 10 * SEGMENTS).alias("cuts")).first()["cuts"] or []
+    r = r.withColumn("span", _span(F.col("us"), sorted(set(cuts))))
     known = r.where("canonical_url IS NOT NULL AND us IS NOT NULL")
     found = F.struct("us", "record_id", "etag", "modified", "digest", "length", F.map_entries("h").alias("entries"))
     response = F.when(F.col("kind") == "response", found)
@@ -88,6 +108,56 @@ def resolve(records: DataFrame) -> DataFrame:
     )
 
 
+def parse_warc(raw: bytes) -> Iterator[tuple]:
+    """(record_id, url, ts, kind, headers, digest, length) of a WARC file's responses and revisits, gzipped or not.
+
+    Raises ValueError at bytes that are no record. length: of the payload; headers: of the http message."""
+    if raw[:2] == b"\x1f\x8b":
+        parts = []
+        while raw:  # each record is a member of its own
+            d = zlib.decompressobj(31)
+            parts += [d.decompress(raw), d.flush()]
+            raw = d.unused_data
+        raw = b"".join(parts)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b"\r\n\r\n", at)
+        if not raw.startswith(b"WARC/", at) or end < 0:
+            raise ValueError(f"no WARC record at byte {at}")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
+        size = int(head["content-length"])
+        block = raw[end + 4 : end + 4 + size]
+        if len(block) < size:
+            raise ValueError(f"the WARC record at byte {at} is cut short")
+        at = end + 4 + size
+        while raw[at : at + 2] == b"\r\n":
+            at += 2
+        if head.get("warc-type") in ("response", "revisit"):
+            http, _, body = block.partition(b"\r\n\r\n")
+            fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])] if http.startswith(b"HTTP/") else []
+            when = datetime.fromisoformat(head["warc-date"].replace("Z", "+00:00")) if "warc-date" in head else None
+            yield (head.get("warc-record-id", "").strip("<>") or None, head.get("warc-target-uri", "").strip("<>") or None, when, head["warc-type"], list(dict(fields).items()), head.get("warc-payload-digest"), len(body))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files, for `resolve`. Files are read in parallel, each whole by one task (up to 2^31 bytes)."""
+    ship_package(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from kinfold.llm import warc_revisit as W
+
+        kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64()]
+        for batch in batches:
+            for raw in batch.column(0):
+                rows = list(W.parse_warc(raw.as_py()))
+                for k in range(0, len(rows), 4096):
+                    columns = zip(*rows[k : k + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["record_id", "url", "ts", "kind", "headers", "digest", "length"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "record_id string, url string, ts timestamp, kind string, headers map<string,string>, digest string, length long")
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Records of a crawl made from every page: its full response, a revisit a day later by another form of its url, whose
     tag is stale for every seventh page, and for every fifth page a revisit before the response."""

@@ -121,3 +121,48 @@ def test_decontamination_beyond_a_broadcast(spark, monkeypatch):
     assert left == sorted([(2, "clean one"), (3, None)], key=str)
     monkeypatch.setattr("kinfold.llm._shared.BROADCAST_ROWS", 0)
     assert sorted(map(tuple, decontamination.report(docs, items).collect()), key=str) == want
+
+
+def test_revisits_of_one_url_against_brute_force(spark, monkeypatch):
+    """Ties, repeated revisits and stray times; many spans of few records."""
+    import random
+
+    monkeypatch.setattr(warc_revisit, "SEGMENTS", 40)
+    rnd = random.Random(8)
+    times = [0, 5, *(1_700_000_000 + rnd.randrange(200) for _ in range(298))]
+    rows = [(k, "http://h.org/" + "p" * 3000 if k % 3 else f"http://h.org/{k % 5}", t, rnd.choice(["response", "revisit"]), {"etag": f'"{rnd.randrange(3)}"'} if k % 4 else None) for k, t in enumerate(times)]
+    rows += rows[-5:]
+    df = spark.createDataFrame(rows, "record_id long, url string, s long, kind string, headers map<string,string>")
+    df = df.withColumns({"ts": F.timestamp_seconds("s"), "digest": F.lit("d"), "length": F.lit(1).cast("long"), "r": F.lit(1), "us": F.lit("x")})
+    want = []
+    for k, url, t, kind, h in rows:
+        if kind == "revisit":
+            found = max(((r[2], r[0], r[4]) for r in rows if r[1] == url and r[3] == "response" and r[2] < t), default=None, key=lambda x: x[:2])
+            status = "no_earlier_response" if not found else "unvalidated" if not h or not found[2] else "resolved" if h == found[2] else "validator_mismatch"
+            want.append((k, status, found[1] if found and status in ("resolved", "unvalidated") else None))
+    got = [(r["record_id"], r["status"], r["response_id"]) for r in warc_revisit.resolve(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_warc_files_are_read(spark, tmp_path):
+    import gzip
+
+    def record(kind, rid, when, block):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{rid}>\r\nWARC-Target-URI: http://a.org/x\r\nWARC-Date: {when}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    parts = [
+        record("warcinfo", "i", "2024-01-01T00:00:00Z", b"software: x"),
+        record("response", "a", "2024-01-01T00:00:00Z", b'HTTP/1.1 200 OK\r\nETag: "1"\r\nVary: v\r\n\r\n\r\n\r\nbody\xff'),
+        record("revisit", "b", "2024-01-02T00:00:00.5Z", b'HTTP/1.1 304 Not Modified\r\nETag: W/"1"\r\nDate: later\r\n\r\n'),
+    ]
+    (tmp_path / "one.warc").write_bytes(b"".join(parts[:2]))
+    (tmp_path / "two.warc.gz").write_bytes(b"".join(map(gzip.compress, [parts[0], parts[2]])))
+    records = warc_revisit.read_warc(spark, tmp_path.as_uri())
+    assert {r["record_id"]: (r["kind"], r["length"]) for r in records.collect()} == {"urn:a": ("response", 9), "urn:b": ("revisit", 0)}
+    (got,) = warc_revisit.resolve(records).collect()
+    assert (got["status"], got["response_id"], got["headers"]) == ("resolved", "urn:a", {"etag": 'W/"1"', "vary": "v", "date": "later"})
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc_revisit.parse_warc(b"junk"))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc_revisit.parse_warc(parts[1][:-12]))

@@ -379,7 +379,43 @@ def test_forward_sums_all_segmentations():
     words = [b"a", b"ab", b"aba", b"bbab"]
     grid, size = language_id.grid_of(words)
     got, _ = lattice.forward(lattice.edges(grid, size), size, np.log(p)[None, :])
-    assert np.allclose(got[:, 0], np.log([total(b"\x01" + w) for w in words]))
+    want = np.log([total(b"\x01" + w) for w in words])
+    assert np.allclose(got[:, 0], want)
+    logp, edges = np.log(np.stack([p, p[::-1]])), lattice.edges(grid, size)
+    assert np.allclose(lattice.log_sums(edges, size, logp)[size, np.arange(4), 0], want)
+    assert np.allclose([lattice.long_forward(*lattice.long_edges(w), logp)[-1, 0] for w in words], want)
+    weight = np.array([[1.0, 2.0], [0.5, 1.0], [3.0, 0.0], [1.0, 1.0]])
+    counts = lattice.expected(edges, size, logp, weight)
+    assert np.allclose(lattice.log_expected(edges, size, logp, weight), counts)
+    assert np.allclose(sum(lattice.long_expected(w, logp, x) for w, x in zip(words, weight)), counts)
+
+
+def test_words_are_whole_and_of_letters_only():
+    text = "donaudampfschifffahrtsgesellschaft достопримечательность «a–b»🙂c 12\u0301 e\u0301 \u4e2d\u6587"
+    buf = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = language_id.cut_words(buf, np.array([0, len(buf)]))
+    found = [buf[s:e].tobytes().decode() for s, e in zip(starts, ends)]
+    assert found == ["donaudampfschifffahrtsgesellschaft", "достопримечательность", "a", "b", "c", "e\u0301", "\u4e2d\u6587"]
+    pieces = language_id.vocabulary()
+    assert max(map(len, pieces)) > 16 and len(language_id.Lattice(pieces).keys) == len(set(pieces))
+
+
+def test_long_words_of_every_tier_are_learned_and_scored(spark):
+    rnd = random.Random(2)
+    word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    rows = [(k, word("abcd" if k % 2 else "wxyz", n), "x" if k % 2 else "y") for k, n in enumerate([5, 70, 600, 40, 300, 2000] * 10)]
+    rows += [(900, word("abcd", 3000), None), (901, word("wxyz", 100), None), (902, "Привет", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, F.lit(True), F.lit(False)).collect()}
+    assert (got[900], got[901]) == ("x", "y") and all(got[k] == ("x" if k % 2 else "y") for k in range(60)) and got[902] != "und"
+
+
+def test_repeated_rows_and_other_scripts(spark):
+    ru, el = "дом стоит на холме и река течёт мимо него", "το σπίτι είναι στο λόφο και το ποτάμι περνά"
+    rows = [(k % 15, ru if k % 2 else el, "ru" if k % 2 else "el") for k in range(60)] + [(70, "мимо дом", None), (71, "—…«»", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"text_": F.lit(1), "score": F.lit("a"), "word": F.lit(2)})
+    got = [(r["doc_id"], r["lang_pred"]) for r in language_id.identify(df, F.lit(True), F.lit(False)).collect()]
+    assert len(got) == 62 and ((70, "ru") in got) and ((71, "und") in got)
 
 
 def test_language_id(spark):
