@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,12 +52,31 @@ def owned(spark: SparkSession, path: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written_alone(make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(make() as a table in the shared folder, what removes it). What make() wrote on its way is removed at once."""
+    first = len(_written)
+    out = written(make(), label)
+    for spark, path in _written[first:-1]:
+        _remove(spark, path)
+    del _written[first:-1]
+    own = _written[-1]
+
+    def remove() -> None:
+        _remove(*own)
+        _written.remove(own)
+
+    return out, remove
+
+
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone already
             return
 

@@ -7,7 +7,7 @@
 3. A logistic scorer over hashed features (character-class trigrams of the text, and what bin each of its statistics
    falls into) is trained on the posteriors of at most SAMPLE documents, chosen by a hash of the doc_id, and scores all.
 
-Defined results: null and empty texts, and texts without words, are bad for certain (score 0, rejected), whatever else is
+Defined results: null and empty texts, and texts without letters and digits, are bad for certain (score 0, rejected), whatever else is
 learned; in an empty table nothing is learned and nothing returned; a text of any length is looked at as a whole, in
 features of fixed number; a score of exactly 0.5 is not rejected; repeated rows get equal results; further columns,
 whatever their names, are kept by `keep` and ignored by `assess`.
@@ -89,7 +89,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if m > 1:
             stats[i, 5] = 1 - len(np.unique(lines[l_at[i] : l_at[i + 1]])) / m
     stats[:, 6] = np.bincount(of, lone & (last == BAR), n) / one
-    stats[:, 7] = words == 0
+    stats[:, 7] = by_kind[:, [UPPER, LOWER, DIGIT, HIGH]].sum(1) == 0
     out = np.zeros((n, DIMS), np.float32)
     if len(k) > 2:
         inside = row[2:] == row[:-2]
