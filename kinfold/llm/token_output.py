@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from pyspark.sql.types import BinaryType, LongType
 from . import jvm
 from ._shared import owned, scratch_root, ship_package, small, text_of
 
-END, SHARD, BLOCK = 2, 1 << 20, 1 << 14
+END, SHARD, BLOCK = 2, 1 << 19, 1 << 14
+#: Ids that a task reads, about.
+TASK = 8 << 20
 SOURCE, HEAD = "token_coder.java", struct.Struct("<IIQIQI")
 
 
@@ -64,6 +67,18 @@ def parsed(raw: bytes) -> tuple[int, int, pa.Array, np.ndarray, np.ndarray]:
     return part, start, found, lens, np.frombuffer(raw, "<u4", n, at + 4 * docs)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python in batches of fewer rows, which are bytes that JVM and worker hold twice each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def functions(spark: SparkSession) -> None:
     """Registers kinfold_write_shard(folder, payload, block), kinfold_code_shard(payload, block) and kinfold_read_shard(bytes)."""
     for name, kind in (("WriteShard", LongType()), ("CodeShard", BinaryType()), ("ReadShard", BinaryType())):
@@ -105,7 +120,7 @@ def write(docs: DataFrame, path: str, end: int = END, tokenizer: str | None = No
 
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for row, buf, offs in texts(batch.column(1)):
+            for row, buf, offs in texts(batch.column(1), 1 << 20):
                 ids, first = bpe.encode(buf, offs)
                 n = len(offs) - 1
                 parts.append(np.insert(ids, first[1:], np.uint32(end)))
@@ -120,7 +135,8 @@ def write(docs: DataFrame, path: str, end: int = END, tokenizer: str | None = No
     made = rows.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, "part int, seq int, start long, n_docs long, n_ids long, payload binary")
     stored = made.select("part", "seq", "start", "n_docs", "n_ids", F.call_function("kinfold_write_shard", F.lit(path), "payload", F.lit(block)).alias("n_bytes"))
     listing = path.rstrip("/") + "/_shards"
-    stored.write.mode("overwrite").parquet(listing)
+    with small_batches(spark):
+        stored.write.mode("overwrite").parquet(listing)
     return spark.read.schema(stored.schema).parquet(listing)
 
 
@@ -133,7 +149,8 @@ def read(spark: SparkSession, path: str, kind: str = "long", with_ids: bool = Fa
     shards = spark.read.schema("part int, seq int, start long, n_docs long, n_ids long, n_bytes long").parquet(path.rstrip("/") + "/_shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     bases = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktok").load(path)
+    ids = shards.agg(F.sum("n_ids")).first()[0] or 0
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktok").load(path).coalesce(max(1, ids // TASK))  # files are small for Spark's scans
     rows = files.select(F.regexp_extract("path", r"part-(\d+)-\d+\.ktok$", 1).cast("int").alias("part"), "content").join(small(bases), "part")
     rows = rows.select("base", F.call_function("kinfold_read_shard", "content").alias("payload"))
 
