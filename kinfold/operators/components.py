@@ -9,47 +9,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-
 SALTS = 64
 
 
-def _large_star(edges: DataFrame, n_edges: int, parts: int) -> DataFrame:
-    """A node with over a quarter of a partition's share of the edges is a hub: there are at most 8 x parts of those, so
+def _beside_least(rows: DataFrame, nodes: DataFrame, n_edges: int, parts: int) -> DataFrame:
+    """rows (u, v) with m, of nodes (u, m, n), as (v, m).
+
+    A node with over a quarter of a partition's share of the edges is a hub: there are at most 8 x parts of those, so
     their list is broadcast, and their edges and minima meet on SALTS keys instead of one."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    nodes = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     is_hub = F.col("n") > max(64, n_edges // (4 * parts))
     hubs = nodes.where(is_hub).select(F.col("u").alias("hub"))
     salts = F.when(is_hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    least = nodes.select(F.col("u").alias("w"), F.least("u", "m").alias("m"), F.explode(salts).alias("w_salt"))
-    up = both.where("v > u").join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
-    up = up.withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")))
-    met = up.join(least, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("w_salt")))
-    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = nodes.select(F.col("u").alias("w"), "m", F.explode(salts).alias("w_salt"))
+    rows = rows.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    rows = rows.withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")))
+    return rows.join(least, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("w_salt"))).select("v", "m").where("v <> m")
+
+
+def _large_star(edges: DataFrame, n_edges: int, parts: int) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    nodes = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    return _beside_least(both.where("v > u"), nodes, n_edges, parts).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int, parts: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-    moved = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+    nodes = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _beside_least(down, nodes, n_edges, parts).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(nodes.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, src: str, dst: str, keep: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> tuple[DataFrame, int, bool]:
     """((node, component), rounds, converged). component: the least node that it can reach, which has a row too.
 
-    keep: writes a DataFrame where executors can be lost without losing it, and returns it read again. Edges with a
-    null end are ignored; a node without edges to another has no row."""
-    now = keep(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
-    mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    before, parts = now.agg(*mark).first(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keep: writes a DataFrame where executors can be lost without losing it, and returns it read again; how many edges
+    there are, and a checksum of them, are observed in that write. Edges with a null end are ignored; a node without edges
+    to another has no row."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        df = keep(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        return df, (seen.get["n"], seen.get["sum"])
+
+    now, before = kept(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     rounds, converged = 0, before[0] == 0
     while not converged and rounds < max_rounds:
-        now = keep(_small_star(_large_star(now, before[0], parts)))
-        after, rounds = now.agg(*mark).first(), rounds + 1
-        converged, before = after == before, after
+        now, after = kept(_small_star(_large_star(now, before[0], parts), before[0], parts))
+        converged, before, rounds = after == before, after, rounds + 1
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), rounds, converged

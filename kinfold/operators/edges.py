@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..model import Metadata
@@ -81,22 +81,38 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(left, "left_entity_key", "left_semi").join(right, "right_entity_key", "left_semi")
 
 
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(src, entity_key): each edge both ways, once."""
+    ways = [F.struct(F.col(a).alias("src"), F.col(b).alias("entity_key")) for a, b in (("left_entity_key", "right_entity_key"), ("right_entity_key", "left_entity_key"))]
+    return edges.select(F.explode(F.array(*ways)).alias("e")).select("e.*").distinct()
+
+
+def heard(labels: DataFrame, both: DataFrame) -> DataFrame:
+    """The least label among a node's neighbours."""
+    return both.join(labels.select(F.col("entity_key").alias("src"), "label"), "src").groupBy("entity_key").agg(F.min("label").alias("heard"))
+
+
 def propagate(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """One round: the least of a node's own label and its neighbours'."""
-    both = edges.select(F.col("left_entity_key").alias("src"), F.col("right_entity_key").alias("entity_key"))
-    both = both.union(edges.select(F.col("right_entity_key").alias("src"), F.col("left_entity_key").alias("entity_key"))).distinct()
-    heard = both.join(labels.select(F.col("entity_key").alias("src"), "label"), "src").groupBy("entity_key").agg(F.min("label").alias("heard"))
-    return labels.join(heard, "entity_key", "left").select("entity_key", F.least("label", F.coalesce("heard", "label")).alias("label"))
+    return labels.join(heard(labels, neighbours(edges)), "entity_key", "left").select("entity_key", F.least("label", F.coalesce("heard", "label")).alias("label"))
+
+
+def propagated(nodes: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
+    """Labels after a fixed number of rounds in one plan, for graphs whose clusters are known to be that narrow."""
+    labels, both = nodes.select("entity_key", F.col("entity_key").alias("label")), neighbours(edges)
+    for _ in range(passes):
+        labels = labels.join(heard(labels, both), "entity_key", "left").select("entity_key", F.least("label", F.coalesce("heard", "label")).alias("label"))
+    return labels
 
 
 def hash_min(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], max_iters: int = 30) -> tuple[DataFrame, int, bool]:
-    """(labels, rounds with the last unchanged one, converged)."""
-    pairs = keep(edges.select("left_entity_key", "right_entity_key").distinct())
-    labels = keep(nodes.select("entity_key", F.col("entity_key").alias("label")))
+    """(labels, rounds with the last unchanged one, converged). Only labels that changed are sent on."""
+    both = keep(neighbours(edges))
+    labels = keep(nodes.select("entity_key", F.col("entity_key").alias("label"), F.lit(True).alias("changed")))
     for k in range(1, max_iters + 1):
-        after = keep(propagate(labels, pairs).select("entity_key", F.col("label").alias("after")))
-        changed = labels.join(after, "entity_key").where("label <> after").limit(1).count()
-        labels = after.withColumnRenamed("after", "label")
-        if not changed:
-            return labels, k, True
-    return labels, max_iters, False
+        seen, lower = Observation(), F.coalesce(F.col("heard") < F.col("label"), F.lit(False))
+        after = labels.join(heard(labels.where("changed"), both), "entity_key", "left").select("entity_key", F.when(lower, F.col("heard")).otherwise(F.col("label")).alias("label"), lower.alias("changed"))
+        labels = keep(after.observe(seen, F.count_if("changed").alias("n")))
+        if not seen.get["n"]:
+            return labels.drop("changed"), k, True
+    return labels.drop("changed"), max_iters, False

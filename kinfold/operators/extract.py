@@ -31,13 +31,18 @@ def watermark_predicate(source: Source, mode: str, last: str | None) -> Column |
     return F.expr(source.watermark_column) >= bound
 
 
+def changed(frames: Dict[str, DataFrame], meta: Metadata, mode: str, marks: Dict[str, str]) -> dict[str, DataFrame]:
+    """The sources' rows since their marks; a source without a watermark column gives all of its rows."""
+    since = {s.table_id: watermark_predicate(s, mode, marks.get(s.table_id)) for s in meta.active_sources()}
+    return {k: frames[k] if p is None else frames[k].where(p) for k, p in since.items()}
+
+
 def entities(spark: SparkSession, frames: Dict[str, DataFrame], meta: Metadata, run_id: str = "", mode: str = "FULL", marks: Dict[str, str] | None = None) -> DataFrame:
     """A row for each source row since its table's mark; rows whose key is null are left out."""
     parts = []
+    since = changed(frames, meta, mode, marks or {})
     for s in meta.active_sources():
-        rows, since = frames[s.table_id], watermark_predicate(s, mode, (marks or {}).get(s.table_id))
-        if since is not None:
-            rows = rows.where(since)
+        rows = since[s.table_id]
         mark = F.expr(s.watermark_column).cast("timestamp") if s.watermark_column else F.lit(None).cast("timestamp")
         parts.append(rows.select(F.lit(run_id).alias("run_id"), F.lit(s.table_id).alias("table_id"), entity_key(s.table_id, s.entity_key_expr).alias("entity_key"), mark.alias("watermark_value")))
     return _union(spark, parts, ENTITIES).where("entity_key IS NOT NULL")
@@ -76,14 +81,19 @@ def excluded(ids: DataFrame, exclusions: tuple[Exclusion, ...]) -> Column:
     return hit
 
 
-def without_excluded(ids: DataFrame, exclusions: tuple[Exclusion, ...], most_inline: int = 500) -> DataFrame:
-    """A long list of exact values is joined instead, a list of patterns is always part of the filter."""
+def flagged(ids: DataFrame, exclusions: tuple[Exclusion, ...], most_inline: int = 500) -> DataFrame:
+    """ids with `excluded`. A long list of exact values is joined, a list of patterns is always part of the projection."""
     exact = [e for e in exclusions if e.match_type.upper() == "EXACT"]
     if len(exact) <= most_inline:
-        return ids.where(~excluded(ids, exclusions))
+        return ids.withColumn("excluded", excluded(ids, exclusions))
     listed = ids.sparkSession.createDataFrame([(e.identifier_type, e.pattern) for e in exact], "identifier_type string, identifier_value_norm string").distinct()
     rest = tuple(e for e in exclusions if e.match_type.upper() != "EXACT")
-    return ids.join(listed, ["identifier_type", "identifier_value_norm"], "left_anti").where(~excluded(ids, rest)).select(ids.columns)
+    both = ids.join(listed.withColumn("listed", F.lit(True)), ["identifier_type", "identifier_value_norm"], "left")
+    return both.select(*ids.columns, (F.coalesce("listed", F.lit(False)) | excluded(ids, rest)).alias("excluded"))
+
+
+def without_excluded(ids: DataFrame, exclusions: tuple[Exclusion, ...], most_inline: int = 500) -> DataFrame:
+    return flagged(ids, exclusions, most_inline).where("NOT excluded").drop("excluded")
 
 
 def attributes(spark: SparkSession, frames: Dict[str, DataFrame], meta: Metadata, names: tuple[str, ...]) -> DataFrame:

@@ -26,13 +26,11 @@ def vacuum(store: StateStore) -> int:
     """Removes versions that neither the pointer nor a snapshot names. Only while nobody reads old versions."""
     import json
 
-    live = set(store.pointer().values())
+    pointers = [store.pointer()]
     snaps = store._path(f"{store.root}/_snapshots")
     if store.fs.exists(snaps):
-        for s in store.fs.listStatus(snaps):
-            stream = store.fs.open(s.getPath())
-            live |= set(json.loads(store.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).values())
-            stream.close()
+        pointers += [json.loads(store.text(s.getPath())) for s in store.fs.listStatus(snaps)]
+    live = {path for p in pointers for parts in p.values() for rows, keys, _ in parts for path in (rows, keys) if path}
     gone, names = 0, {p.rstrip("/").rsplit("/", 2)[-2] + "/" + p.rstrip("/").rsplit("/", 1)[-1] for p in live}
     for table in store.fs.listStatus(store._path(store.root)):
         name = table.getPath().getName()

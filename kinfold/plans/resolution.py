@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 import warnings
@@ -10,7 +11,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Metadata, RunConfig
@@ -22,6 +23,7 @@ from ..sources.metadata import validate
 from ..sources.state import SCHEMAS, StateStore, upserted, upserted_edges
 
 MEMBERS, CLUSTERS, EDGES, GOLDEN = "identity_resolved_membership_current", "identity_clusters_current", "identity_edges_current", "golden_profile_current"
+IDENTIFIERS = "identifiers_current"
 
 
 @dataclass
@@ -47,6 +49,12 @@ class _Scratch:
         df.write.parquet(path)
         return self.store.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The work table, and its rows and further aggregates, observed while it is written."""
+        seen = Observation()
+        df = self(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in more.items())))
+        return df, seen.get
+
     def drop(self) -> None:
         self.store.fs.delete(self.store._path(self.root), True)
 
@@ -86,9 +94,7 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
             "warnings": json.dumps(result.warnings), "watermarks_json": json.dumps(c.get("watermarks") or {}), "error_message": error, "error_stage": where[0] if error else None, "created_at": end,
         }
         rows = [{"run_id": run_id, "rows_in": None, "notes": None} | s for s in result.stages]
-        store.append("run_history", spark.createDataFrame([history], SCHEMAS["run_history"]))
-        if rows:
-            store.append("stage_metrics", spark.createDataFrame(rows, SCHEMAS["stage_metrics"]))
+        store.append_all({"run_history": spark.createDataFrame([history], SCHEMAS["run_history"])} | ({"stage_metrics": spark.createDataFrame(rows, SCHEMAS["stage_metrics"])} if rows else {}))
 
     try:
         report = validate(meta, frames)
@@ -98,46 +104,68 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
         marks = {r["table_id"]: str(r["last_watermark_value"]) for r in store.read("run_state", now).collect() if r["last_watermark_value"] is not None}
 
         with stage("entity_extraction") as s:
-            delta = keep(extract.entities(spark, frames, meta, run_id, config.mode, marks))
-            s["rows_out"] = result.counts["entities"] = delta.count()
+            delta, seen = keep.counted(extract.entities(spark, frames, meta, run_id, config.mode, marks))
+            s["rows_out"] = result.counts["entities"] = seen["rows"]
         with stage("identifier_extraction") as s:
-            every = extract.identifiers(spark, frames, meta)
-            flagged = keep(every.withColumn("excluded", extract.excluded(every, meta.exclusions)))
-            s["rows_out"], result.counts["excluded"] = flagged.agg(F.count("*"), F.count_if("excluded")).first()
-            ids = flagged.where("NOT excluded").drop("excluded")
+            made_by = hashlib.sha256(repr((meta.active_sources(), meta.rules, meta.mappings, meta.exclusions)).encode()).hexdigest()[:16]
+            known = store.read(IDENTIFIERS, now) if config.mode.upper() != "FULL" and IDENTIFIERS in now else None
+            if known is not None and known.where(F.col("made_by") != made_by).isEmpty():
+                rows_of = extract.changed(frames, meta, config.mode, marks)  # the others are in the state
+            else:
+                known, rows_of = None, frames
+            flagged = extract.flagged(extract.identifiers(spark, rows_of, meta), meta.exclusions).withColumn("made_by", F.lit(made_by))
+            flagged, seen = keep.counted(flagged, excluded=F.count_if("excluded"))
+            s["rows_out"], result.counts["excluded"] = seen["rows"], seen["excluded"]
+            changed = delta.select("entity_key").distinct()
+            every = flagged if known is None else known.join(changed, "entity_key", "left_anti").unionByName(flagged)
+            ids = every.where("NOT excluded").drop("excluded", "made_by")
         with stage("edge_building") as s:
             if config.mode.upper() != "FULL":
-                ids = E.members(ids, E.delta_values(ids, delta))
-            ids = keep(ids)
+                mine = flagged.where("NOT excluded") if known is not None else ids
+                ids = keep(E.members(ids, E.delta_values(mine, delta)))
             groups = keep(E.group_sizes(ids))
-            skipped = keep(E.oversized(ids, groups, meta, run_id, ts))
-            result.counts["skipped"] = skipped.count()
-            new = keep(E.star_edges(ids, groups, meta, config.dedup_edges).select(*E.EDGE, ts.alias("first_seen_ts"), ts.alias("last_seen_ts")))
-            s["rows_out"] = result.counts["edges"] = new.count()
-            old = store.read(EDGES, now)
-            result.counts["edges_updated"] = new.select(*E.EDGE).distinct().join(old, E.EDGE, "left_semi").count()
-            edges = keep(upserted_edges(old, new, E.EDGE))
+            skipped, seen = keep.counted(E.oversized(ids, groups, meta, run_id, ts))
+            result.counts["skipped"] = seen["rows"]
+            new, seen = keep.counted(E.star_edges(ids, groups, meta, config.dedup_edges).select(*E.EDGE, ts.alias("first_seen_ts"), ts.alias("last_seen_ts")))
+            s["rows_out"] = result.counts["edges"] = seen["rows"]
+            if EDGES in now:
+                old, fresh_keys = store.read(EDGES, now), new.select(*E.EDGE).distinct()
+                again, seen = keep.counted(old.join(fresh_keys, E.EDGE, "left_semi"))
+                result.counts["edges_updated"] = seen["rows"]
+                seen_edges = keep(upserted_edges(again, new, E.EDGE))
+                edges = old.join(fresh_keys, E.EDGE, "left_anti").unionByName(seen_edges)
+            else:
+                result.counts["edges_updated"], seen_edges = 0, new if config.dedup_edges else keep(upserted_edges(new.limit(0), new, E.EDGE))
+                edges = seen_edges
         with stage("label_propagation") as s:
             before = store.read(MEMBERS, now)
             touched = E.impacted_nodes(new)
-            nodes = keep(E.one_hop(touched, edges) if config.subgraph == "one_hop" else E.closure(touched, before))
-            sub = E.induced(edges, nodes)
+            if MEMBERS not in now and config.subgraph != "one_hop":  # the first run: the graph is all there is
+                nodes, seen = keep.counted(touched)
+                sub = edges
+            else:
+                nodes, seen = keep.counted(E.one_hop(touched, edges) if config.subgraph == "one_hop" else E.closure(touched, before))
+                sub = E.induced(edges, nodes)
             labels, result.lp_iterations, result.converged = labels_of(nodes, sub, config, keep)
-            s["rows_out"] = nodes.count()
+            s["rows_out"] = seen["rows"]
             if not result.converged:
                 if config.on_nonconverged == "raise":
                     raise RuntimeError(f"labels still change after {result.lp_iterations} rounds")
                 result.warnings.append(f"labels still change after {result.lp_iterations} rounds")
         with stage("output_generation") as s:
-            fresh = delta.join(before.join(nodes, "entity_key", "left_anti"), "entity_key", "left_anti") if config.subgraph != "one_hop" else delta
+            first = MEMBERS not in now
+            fresh = delta if first or config.subgraph == "one_hop" else delta.join(before.join(nodes, "entity_key", "left_anti"), "entity_key", "left_anti")
             update = keep(C.membership(labels, fresh).withColumn("updated_ts", ts))
-            members = keep(upserted(before, update, ["entity_key"]))
-            ids_new = update.select("resolved_id").distinct()
-            left = before.join(update.select("entity_key"), "entity_key", "left_semi").select("resolved_id").distinct()
-            impacted = keep(ids_new if config.keep_orphans else ids_new.union(left).distinct())
-            sizes = keep(C.cluster_sizes(members, impacted))
-            result.counts["clusters"] = sizes.count()
-            result.counts["large"] = sizes.where(F.col("cluster_size") >= config.large_cluster_threshold).count()
+            large = F.count_if(F.col("cluster_size") >= config.large_cluster_threshold)
+            if first:  # every cluster is new
+                members, impacted = update, None
+            else:
+                members = upserted(before, update, ["entity_key"])
+                ids_new = update.select("resolved_id").distinct()
+                left = before.join(update.select("entity_key"), "entity_key", "left_semi").select("resolved_id").distinct()
+                impacted = keep(ids_new if config.keep_orphans else ids_new.union(left).distinct())
+            sizes, seen = keep.counted(C.cluster_sizes(members, impacted), large=large)
+            result.counts["clusters"], result.counts["large"] = seen["rows"], seen["large"]
             if config.dry_run:
                 d = keep(dryrun.diff(members, before, sizes.unionByName(store.read(CLUSTERS, now).select("resolved_id", "cluster_size").join(sizes, "resolved_id", "left_anti")), store.read(CLUSTERS, now), delta, run_id, ts))
                 row = dryrun.summary(d).first().asDict()
@@ -146,30 +174,30 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
                 store.append("dry_run_results", d)
                 store.append("dry_run_summary", spark.createDataFrame([total], SCHEMAS["dry_run_summary"]))
             else:
-                inside = members.join(impacted, "resolved_id", "left_semi")
+                touched_of = lambda df, how: df if impacted is None else df.join(impacted, "resolved_id", how)
+                inside = members if impacted is None else keep(touched_of(members, "left_semi"))
                 stats = C.edge_stats(inside, edges, config.edge_count)
                 scored = C.confidence(sizes, stats, config.reasons).drop("edge_count").withColumn("updated_ts", ts)
-                rest = store.read(CLUSTERS, now)
-                rest = rest.join(impacted, "resolved_id", "left_anti")
                 meta_a = extract.probed_attributes(frames, meta)
                 names = tuple(dict.fromkeys([r.attribute for r in meta.survivorship] or [a.name for a in meta_a.attributes if a.name != "record_updated_at"]))
                 golden = C.golden_profiles(inside, extract.attributes(spark, frames, meta_a, names), C.survivorship_of(meta, names)).withColumn("updated_ts", ts)
-                old_golden = store.read(GOLDEN, now).join(impacted, "resolved_id", "left_anti")
                 at = delta.groupBy("table_id").agg(F.max("watermark_value").alias("last_watermark_value")).where("last_watermark_value IS NOT NULL")
                 marks_new = keep(at.select("table_id", "last_watermark_value", F.lit(run_id).alias("last_run_id"), ts.alias("last_run_ts")))
                 result.counts["watermarks"] = {r["table_id"]: str(r["last_watermark_value"]) for r in marks_new.collect()}
                 audit = new.groupBy("rule_id").agg(F.count("*").alias("edges_created")).select(F.lit(run_id).alias("run_id"), "rule_id", "edges_created", ts.alias("started_at"), ts.alias("ended_at"))
+                resolved = sizes.select("resolved_id") if impacted is None else impacted
                 put = {
-                    EDGES: edges, MEMBERS: members, CLUSTERS: rest.unionByName(scored), GOLDEN: old_golden.unionByName(golden, allowMissingColumns=True),
-                    "run_state": upserted(store.read("run_state", now), marks_new, ["table_id"]),
-                    "rule_match_audit_current": store.read("rule_match_audit_current", now).unionByName(audit),
-                    "skipped_identifier_groups": store.read("skipped_identifier_groups", now).unionByName(skipped),
+                    EDGES: (seen_edges, seen_edges.select(*E.EDGE)), MEMBERS: (update, update.select("entity_key")), CLUSTERS: (scored, resolved), GOLDEN: (golden, resolved),
+                    "run_state": (marks_new, marks_new.select("table_id")),
                 }
+                more = {"rule_match_audit_current": audit, "skipped_identifier_groups": skipped}
                 values = {"entities_processed": result.counts["entities"], "edges_created": result.counts["edges"], "clusters_impacted": result.counts["clusters"], "lp_iterations": result.lp_iterations,
                           "groups_skipped": result.counts["skipped"], "values_excluded": result.counts["excluded"], "large_clusters": result.counts["large"]}
                 rows = [(str(uuid.uuid4()), run_id, "idr_" + k, float(v), "gauge" if k in ("large_clusters", "lp_iterations") else "counter", json.dumps({"mode": config.mode}), datetime.fromisoformat(run_ts), None) for k, v in values.items()]
-                put["metrics_export"] = store.read("metrics_export", now).unionByName(spark.createDataFrame(rows, SCHEMAS["metrics_export"]))
-                store.commit({name: store.stage(name, df) for name, df in put.items()})
+                more["metrics_export"] = spark.createDataFrame(rows, SCHEMAS["metrics_export"])
+                parts = {name: store.stage_merge(name, df, keys, now) for name, (df, keys) in put.items()}
+                parts[IDENTIFIERS] = ("replace", store.stage(IDENTIFIERS, flagged)) if known is None else store.stage_merge(IDENTIFIERS, flagged, changed, now)
+                store.commit(parts | {name: ("append", store.stage(name, df)) for name, df in more.items()}, now)
             s["rows_out"] = result.counts["clusters"]
         if result.counts["skipped"]:
             result.warnings.append(f"{result.counts['skipped']} groups skipped")

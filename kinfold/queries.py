@@ -155,7 +155,7 @@ def k05_edge_upsert_first_last_seen(spark, sf):
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY GROUP BY 1")
 def k08_retention(spark, sf):
     ev, store = t(spark, sf, "events"), StateStore(spark, folder(spark, "state"))
-    store.commit({"events": store.stage("events", ev.select("event_id", "ts", "event_type"))})
+    store.replace("events", ev.select("event_id", "ts", "event_type"))
     bound = ev.agg((F.max("ts") - F.expr("INTERVAL 5 DAY")).alias("b")).first()["b"]
     store.purge("events", "ts", str(bound))
     return store.read("events").groupBy("event_type").agg(F.count("*").alias("n"))
