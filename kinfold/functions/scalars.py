@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column
@@ -101,3 +103,20 @@ def slugify(s: str) -> str:
     s = re.sub(r"[ -]+", "_", s.lower())
     s = re.sub(r"[^a-z0-9_]+", "", s)
     return "_" + s if re.match("[0-9]", s) else s
+
+
+def surrogate_key_of_columns(*_) -> None:
+    """The macro's former name, which is an error as it was there."""
+    raise ValueError("surrogate_key_of_columns was replaced by surrogate_key")
+
+
+def pretty_time(when: datetime | None = None, format: str = "%H:%M:%S") -> str:
+    return (when or datetime.now()).strftime(format)
+
+
+def pretty_log_format(message: str, when: datetime | None = None) -> str:
+    return f"{pretty_time(when)} + {message}"
+
+
+def log_info(message: str) -> None:
+    logging.getLogger("kinfold").info(pretty_log_format(message))

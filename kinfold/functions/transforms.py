@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,6 +93,42 @@ def results_as_dict(df: DataFrame) -> dict[str, list]:
     return {c: [r[i] for r in rows] for i, c in enumerate(df.columns)}
 
 
+def not_in(df: DataFrame, column: str, other: DataFrame, field: str) -> DataFrame:
+    """NOT IN with SQL's nulls: no row if `other` has a null, none whose own value is null unless `other` is empty.
+
+    The nulls are counted beside the join, so that it stays an equi-join and isn't planned as a nested loop."""
+    counts = other.agg(F.count("*").alias("_all"), F.count_if(F.col(field).isNull()).alias("_none"))
+    rows = df.crossJoin(F.broadcast(counts)).where((F.col("_all") == 0) | ((F.col("_none") == 0) & F.col(column).isNotNull())).drop("_all", "_none")
+    values = other.select(F.col(field).alias("_v"))
+    return rows.join(values, F.col(column) == F.col("_v"), "left_anti")
+
+
+def natural_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """On all columns that both have, each of which comes once."""
+    shared = [c for c in a.columns if c in b.columns]
+    return a.join(b, shared) if shared else a.crossJoin(b)
+
+
+def numbered(df: DataFrame, order: Sequence[str], keep: Callable[[DataFrame], DataFrame], name: str = "row_id") -> DataFrame:
+    """row_number() over the whole table, without bringing it to one task: rows are sorted in ranges and numbered in each,
+    and a range's first number comes from a table of one row for each. keep: writes a DataFrame and returns it read again."""
+    ranged = keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rows = ranged.join(F.broadcast(firsts), "_part")
+    return rows.withColumn(name, F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_first")
+
+
+def tables(spark: SparkSession, database: str, pattern: str = "%", prefix: str = "", exclude: str = "", kinds: Sequence[str] = ()) -> DataFrame:
+    """(name, kind) of the catalog's tables by a LIKE pattern and a prefix without regard to case, and by kind (MANAGED,
+    EXTERNAL, VIEW, TEMPORARY). The catalog's listing is the driver's."""
+    rows = spark.createDataFrame([(x.name, x.tableType) for x in spark.catalog.listTables(database)], "name string, kind string")
+    found = rows.where(F.col("name").ilike(pattern) & F.lower("name").startswith(prefix.lower()))
+    found = found.where(~F.col("name").ilike(exclude)) if exclude else found
+    return found.where(F.col("kind").isin(*kinds)) if kinds else found
+
+
 def relations_by_pattern(spark: SparkSession, database: str, pattern: str, exclude: str = "") -> list[str]:
     """Names of tables that match a LIKE pattern without regard to case."""
     rows = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)], "name string").where(F.col("name").ilike(pattern))

@@ -37,6 +37,14 @@ def summary(d: DataFrame) -> DataFrame:
     )
 
 
+def reshaped(proposed: DataFrame, current: DataFrame) -> DataFrame:
+    """(merged_clusters, split_clusters): proposed clusters with entities of several current ones, and the reverse."""
+    p, c = proposed.select("entity_key", F.col("resolved_id").alias("p")), current.select("entity_key", F.col("resolved_id").alias("c"))
+    pairs = p.join(c, "entity_key").select("p", "c").distinct()
+    of = lambda k, name: pairs.groupBy(k).count().agg(F.count_if(F.col("count") > 1).alias(name))
+    return of("p", "merged_clusters").crossJoin(F.broadcast(of("c", "split_clusters")))
+
+
 def gate(row, max_moved: int = 10_000, max_cluster: int = 50_000) -> bool:
     """Whether a live run may follow a dry run with this summary."""
     return row["moved_entities"] <= max_moved and row["largest_proposed_cluster"] <= max_cluster

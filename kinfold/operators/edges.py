@@ -23,7 +23,7 @@ def max_group_size(meta: Metadata) -> Column:
 
 
 def delta_values(ids: DataFrame, delta: DataFrame) -> DataFrame:
-    return ids.join(delta.select("entity_key").distinct(), "entity_key", "left_semi").select(*VALUE).distinct()
+    return ids.where("identifier_value_norm IS NOT NULL").join(delta.select("entity_key").distinct(), "entity_key", "left_semi").select(*VALUE).distinct()
 
 
 def members(ids: DataFrame, values: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def members(ids: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def group_sizes(ids: DataFrame) -> DataFrame:
-    return ids.groupBy(*GROUP).agg(F.count("*").alias("group_size"), F.min("entity_key").alias("anchor"))
+    return ids.where("identifier_value_norm IS NOT NULL").groupBy(*GROUP).agg(F.count("*").alias("group_size"), F.min("entity_key").alias("anchor"))
 
 
 def oversized(ids: DataFrame, groups: DataFrame, meta: Metadata, run_id: str = "", at: Column | None = None, sample: int = 5) -> DataFrame:
@@ -58,6 +58,11 @@ def star_edges(ids: DataFrame, groups: DataFrame, meta: Metadata, dedup: bool =
     return e.distinct() if dedup else e
 
 
+def by_type(edges: DataFrame) -> DataFrame:
+    """Edges of the persistent model, whose rule is named after the type of identifier."""
+    return edges.withColumn("rule_id", F.concat(F.lit("rule_"), "identifier_type")).distinct()
+
+
 def impacted_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("left_entity_key", "right_entity_key")).alias("entity_key")).distinct()
 

@@ -49,7 +49,8 @@ def entities(spark: SparkSession, frames: Dict[str, DataFrame], meta: Metadata,
 
 
 def identifiers(spark: SparkSession, frames: Dict[str, DataFrame], meta: Metadata) -> DataFrame:
-    """A row for each entity, active rule and mapped value that is not null, in the rule's canonical form.
+    """A row for each entity, active rule and mapped value, in the rule's canonical form; without nulls, unless the rule
+    doesn't require values. Nulls never form groups.
 
     The rules are driver-side values, so the canonical form is part of the projection and needs no join."""
     parts = []
@@ -58,13 +59,26 @@ def identifiers(spark: SparkSession, frames: Dict[str, DataFrame], meta: Metadat
             F.struct(
                 F.lit(r.rule_id).alias("rule_id"), F.lit(m.identifier_type).alias("identifier_type"),
                 canonicalize(F.expr(m.expr).cast("string"), r.canonicalize).alias("identifier_value_norm"), F.lit(bool(m.is_hashed)).alias("is_hashed"),
+                F.lit(bool(r.require_non_null)).alias("required"),
             )
             for m in meta.mappings_of(s.table_id) for r in meta.active_rules(m.identifier_type)
         ]
         if items:
             rows = frames[s.table_id].select(entity_key(s.table_id, s.entity_key_expr).alias("entity_key"), F.explode(F.array(*items)).alias("i"))
-            parts.append(rows.select(F.lit(s.table_id).alias("table_id"), "entity_key", "i.*"))
-    return _union(spark, parts, IDENTIFIERS).where("identifier_value_norm IS NOT NULL AND entity_key IS NOT NULL")
+            rows = rows.where("entity_key IS NOT NULL AND (i.identifier_value_norm IS NOT NULL OR NOT i.required)")
+            parts.append(rows.select(F.lit(s.table_id).alias("table_id"), "entity_key", F.col("i").dropFields("required").alias("i")).select("table_id", "entity_key", "i.*"))
+    return _union(spark, parts, IDENTIFIERS)
+
+
+def source_plan(spark: SparkSession, meta: Metadata, state: DataFrame) -> DataFrame:
+    """(table_id, table, entity_key_expr, watermark_column, lookback_minutes, last_watermark_value) of the active sources;
+    the mark is EPOCH for one that was never read. Raises ValueError if there is none."""
+    rows = [(s.table_id, s.table, s.entity_key_expr, s.watermark_column, s.lookback_minutes) for s in meta.active_sources()]
+    if not rows:
+        raise ValueError("no active source")
+    plan = spark.createDataFrame(rows, "table_id string, table string, entity_key_expr string, watermark_column string, lookback_minutes int")
+    mark = F.coalesce("last_watermark_value", F.lit(EPOCH).cast("timestamp")).alias("last_watermark_value")
+    return plan.join(state.select("table_id", "last_watermark_value"), "table_id", "left").select(*plan.columns, mark)
 
 
 def excluded(ids: DataFrame, exclusions: tuple[Exclusion, ...]) -> Column:

@@ -30,6 +30,10 @@ def cluster_health(clusters: DataFrame) -> DataFrame:
     ).orderBy("size_bucket")
 
 
+#: The wording of severities and the recommendation below, and the statuses that a run ends with.
+SUCCEEDED, FAILED = ("SUCCESS", "SUCCESS_WITH_WARNINGS"), ("FAILED", "ERROR")
+
+
 def identifier_issues(ids: DataFrame, above: int = 100) -> DataFrame:
     n = F.col("entity_count")
     severity = F.when(n > 10_000, "CRITICAL: Excessive matches (>10K)").when(n > 1000, "WARNING: High matches (>1K)").when(n > 100, "INFO: Elevated matches (>100)").otherwise("OK")
@@ -48,7 +52,7 @@ def rule_effectiveness(rules: DataFrame, audit: DataFrame) -> DataFrame:
 
 def run_trends(history: DataFrame) -> DataFrame:
     return history.groupBy(F.to_date("started_at").alias("run_date")).agg(
-        F.count("*").alias("run_count"), F.count_if(F.col("status") == "SUCCESS").alias("success_count"), F.count_if(F.col("status") == "ERROR").alias("error_count"),
+        F.count("*").alias("run_count"), F.count_if(F.col("status").isin(*SUCCEEDED)).alias("success_count"), F.count_if(F.col("status").isin(*FAILED)).alias("error_count"),
         F.avg("duration_seconds").alias("avg_duration_seconds"), F.sum("entities_processed").alias("total_entities"), F.sum("edges_created").alias("total_edges"),
     ).orderBy(F.desc("run_date"))
 

@@ -170,7 +170,8 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
                 d = keep(dryrun.diff(members, before, sizes.unionByName(store.read(CLUSTERS, now).select("resolved_id", "cluster_size").join(sizes, "resolved_id", "left_anti")), store.read(CLUSTERS, now), delta, run_id, ts))
                 row = dryrun.summary(d).first().asDict()
                 result.summary = row | {"edges_would_create": result.counts["edges"], "groups_would_skip": result.counts["skipped"], "values_would_exclude": result.counts["excluded"]}
-                total = {"run_id": run_id, "merged_clusters": 0, "split_clusters": 0, "execution_time_seconds": (datetime.now(UTC) - began).total_seconds(), "created_at": datetime.fromisoformat(run_ts)} | result.summary
+                result.summary |= dryrun.reshaped(members, before).first().asDict()
+                total = {"run_id": run_id, "execution_time_seconds": (datetime.now(UTC) - began).total_seconds(), "created_at": datetime.fromisoformat(run_ts)} | result.summary
                 store.append("dry_run_results", d)
                 store.append("dry_run_summary", spark.createDataFrame([total], SCHEMAS["dry_run_summary"]))
             else:

@@ -206,7 +206,7 @@ def p12_delta_values(spark, sf):
     return E.delta_values(ids, ids.where("table_id = 'ev'"))
 
 
-@query(f"WITH {IDS} SELECT k AS entity_key, ty AS identifier_type, v AS identifier_value_norm FROM ids WHERE (ty, v) IN (SELECT ty, v FROM ids WHERE table_id = 'ev')")
+@query(f"WITH {IDS} SELECT k AS entity_key, ty AS identifier_type, v AS identifier_value_norm FROM ids JOIN (SELECT DISTINCT ty, v FROM ids WHERE table_id = 'ev') USING (ty, v)")
 def p13_members_for_delta(spark, sf):
     ids = ids_of(spark, sf)
     return E.members(ids, E.delta_values(ids, ids.where("table_id = 'ev'"))).select("entity_key", "identifier_type", "identifier_value_norm")
@@ -341,13 +341,15 @@ def p43_rule_audit(spark, sf):
     return edges_of(spark, sf).groupBy("rule_id").agg(F.count("*").alias("edges_created"))
 
 
-P44 = "cur AS (SELECT 'cust:' || c_custkey AS k, 'cust:' || (c_custkey - c_custkey % 3) AS c FROM customer WHERE c_custkey % 5 <> 0), pro AS (SELECT 'cust:' || c_custkey AS k, 'cust:' || (c_custkey - c_custkey % 2) AS c FROM customer WHERE c_custkey % 7 <> 0)"
+P44 = "cur AS (SELECT DISTINCT 'cust:' || o_custkey AS k, 'cust:' || (o_custkey - o_custkey % 3) AS c FROM orders UNION ALL SELECT 'sup:' || s_suppkey, 'sup:' || s_nationkey FROM supplier), pro AS (SELECT 'cust:' || c_custkey AS k, 'cust:' || (c_custkey - c_custkey % 2) AS c FROM customer)"
 
 
 def _two_states(spark, sf):
-    c = t(spark, sf, "customer")
-    of = lambda df, m: df.selectExpr("concat('cust:', c_custkey) AS entity_key", f"concat('cust:', c_custkey - c_custkey % {m}) AS resolved_id")
-    return of(c.where("c_custkey % 7 <> 0"), 2), of(c.where("c_custkey % 5 <> 0"), 3)
+    """Proposed: all customers. Current: those who ordered, in other clusters, and the suppliers, who are gone."""
+    of = lambda df, kind, key, cluster: df.selectExpr(f"concat('{kind}:', {key}) AS entity_key", f"concat('{kind}:', {cluster}) AS resolved_id")
+    pro = of(t(spark, sf, "customer"), "cust", "c_custkey", "c_custkey - c_custkey % 2")
+    cur = of(t(spark, sf, "orders"), "cust", "o_custkey", "o_custkey - o_custkey % 3").distinct()
+    return pro, cur.unionByName(of(t(spark, sf, "supplier"), "sup", "s_suppkey", "s_nationkey"))
 
 
 @query(f"""WITH {P44}, ps AS (SELECT c, count(*) AS n FROM pro GROUP BY c), cs AS (SELECT c, count(*) AS n FROM cur GROUP BY c)
@@ -386,12 +388,12 @@ def run_full_clusters(spark, sf):
 
 @query(f"{BASE} SELECT k AS entity_key, c AS resolved_id FROM mem")
 def run_incremental_equals_full(spark, sf):
-    """Orders and their lines come in a later, incremental run."""
+    """Three slices of time: a full run over the first, and incremental runs that start from the marks of the run before."""
     store, f = StateStore(spark, folder(spark, "state")), frames(spark, sf)
-    first = {k: (v.where("o_orderkey % 2 = 0") if k == "ord" else v.where("l_orderkey % 2 = 0") if k == "li" else v) for k, v in f.items()}
-    run(spark, META, first, store, RunConfig(algorithm="alternating"), run_ts="2024-06-01 00:00:00")
-    store.replace("run_state", store.read("run_state").where("false"))
-    run(spark, META, f, store, RunConfig(mode="INCR", algorithm="alternating"), run_ts="2024-06-02 00:00:00")
+    until = {"ord": ("o_orderdate", "1997-01-01", "1999-06-01"), "li": ("l_shipdate", "1997-03-01", "1999-03-01"), "ev": ("ts", "2024-01-10", "2024-01-20")}
+    for k in (1, 2, 3):
+        seen = {x: df.where(F.col(until[x][0]) < F.lit(until[x][k]).cast("timestamp")) if x in until and k < 3 else df for x, df in f.items()}
+        run(spark, META, seen, store, RunConfig(mode="FULL" if k == 1 else "INCR", algorithm="alternating"), run_ts=f"2024-06-0{k} 00:00:00")
     return store.read(MEMBERS).select("entity_key", "resolved_id")
 
 
@@ -708,9 +710,9 @@ def v32_recency(spark, sf):
     return K.recency(t(spark, sf, "events"), "ts", "day", 1, F.lit("2030-01-01").cast("timestamp"), ["user_id"]).select("user_id", "most_recent")
 
 
-@query("SELECT user_id AS id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 3)")
+@query("SELECT user_id AS id FROM events WHERE event_type <> 'error' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 3)")
 def v33_relationships_where(spark, sf):
-    return K.relationships_where(t(spark, sf, "events"), "user_id", t(spark, sf, "customer"), "c_custkey", "event_id % 2 = 0", "c_nationkey > 3")
+    return K.relationships_where(t(spark, sf, "events"), "user_id", t(spark, sf, "customer"), "c_custkey", "event_type <> 'error'", "c_nationkey > 3")
 
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b + 1 <> o_orderkey")
@@ -761,12 +763,12 @@ def r04_rule_effectiveness(spark, sf):
 
 def history_like(spark, sf):
     e = t(spark, sf, "events")
-    status = F.when(F.col("event_id") % 5 == 0, "ERROR").otherwise("SUCCESS")
+    status = F.when(F.col("event_id") % 5 == 0, "FAILED").when(F.col("event_id") % 5 == 1, "SUCCESS_WITH_WARNINGS").otherwise("SUCCESS")
     return e.select(F.col("event_id").cast("string").alias("run_id"), F.lit("INCR").alias("run_mode"), status.alias("status"), F.col("ts").alias("started_at"), F.col("ts").alias("ended_at"), F.col("value").alias("duration_seconds"),
                     F.col("user_id").alias("entities_processed"), F.col("event_id").alias("edges_created"), F.col("event_id").alias("clusters_impacted"), F.lit(3).cast("long").alias("lp_iterations"), F.lit(4).cast("long").alias("source_tables_processed"), F.lit("none").alias("error_message"))
 
 
-@query("SELECT event_id::VARCHAR AS run_id, 'INCR' AS run_mode, CASE WHEN event_id % 5 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status, ts AS started_at, ts AS ended_at, value AS duration_seconds, user_id AS entities_processed, event_id AS edges_created, event_id AS clusters_impacted, 3::BIGINT AS lp_iterations, 4::BIGINT AS source_tables_processed, 'none' AS error_message FROM events")
+@query("SELECT event_id::VARCHAR AS run_id, 'INCR' AS run_mode, CASE WHEN event_id % 5 = 0 THEN 'FAILED' WHEN event_id % 5 = 1 THEN 'SUCCESS_WITH_WARNINGS' ELSE 'SUCCESS' END AS status, ts AS started_at, ts AS ended_at, value AS duration_seconds, user_id AS entities_processed, event_id AS edges_created, event_id AS clusters_impacted, 3::BIGINT AS lp_iterations, 4::BIGINT AS source_tables_processed, 'none' AS error_message FROM events")
 def r01_run_summary(spark, sf):
     return R.run_summary(history_like(spark, sf))
 

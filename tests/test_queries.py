@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from kinfold import more_queries  # noqa: F401  (adds to QUERIES)
 from kinfold.queries import QUERIES, SQL
 
 WHOLE = {n for n in QUERIES if n[:3] in ("p25", "p28", "p31", "p32", "p34", "p36", "p40", "p41") or n.startswith("run_")}
