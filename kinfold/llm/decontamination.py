@@ -1,14 +1,17 @@
 """Benchmark decontamination over a positional inverted index (operator 4). Only DataFrame functions.
 
 1. The benchmark's items become windows (`width` consecutive words; an item of fewer words is one window).
-2. Corpus counts of the benchmark's terms, over all documents, say which term of each window is rarest.
-3. The index stores a posting (term, document, position) for each occurrence of those rarest terms, with the words
-   up to `radius` places around it as payload, and one posting of the empty term at the document's end, which
-   holds its length. Other terms have no lists, so no posting lists are intersected.
-4. A window's start is a posting's position less the term's offset in the window. The words in the payload from there
-   on are compared with the window's: exact phrases, which is what `report` and the query count. `near` instead asks that
-   all terms of a window lie within `width + slop` consecutive places, in any order: proximity matches. It is a
-   function of its own that neither the query nor the pipeline calls.
+2. Corpus counts of the benchmark's terms, over all documents, rank the terms of each window by how rare they are.
+3. The index stores a posting (term, document, position) for each occurrence of a term that is among the LISTS rarest of
+   some window; postings of a window's rarest term have the words up to `radius` places around them as payload. One
+   posting of the empty term at the document's end holds its length.
+4. A window's start is a posting's position less the term's offset in the window. The starts that the rarest term's list
+   gives are intersected with the lists of the next rarest terms, adjusted by their offsets, one after another; what is
+   left has all LISTS terms in place, and the payload says whether the window's other words are there too: exact phrases,
+   which is what `report` and the query count. `near` instead asks that all terms of a window lie within `width + slop`
+   consecutive places around its rarest term, in any order: proximity matches. It is a function of its own that neither
+   the query nor the pipeline calls. The commonest terms of a window have no lists: their postings would be most of the
+   corpus, and the payload holds them where they count.
 
 Postings of one common term spread over partitions as the documents do; what is grouped afterwards is grouped
 by document. No list is capped. Terms and windows come from the benchmark and are broadcast up to BROADCAST_ROWS
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import ascii_lower, fenced_words, fits, small, text_of, words, written
 
-WIDTH = 8
+WIDTH, LISTS = 8, 3
 
 
 def windows_of(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,22 +55,28 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchored(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gram, t, off): each distinct window with its rarest term by counts over all docs, and that term's offset."""
+    """(gram, t, off, more): each distinct window with its rarest term by counts over all docs, that term's offset, and the
+    (t, off) of its next rarest terms: LISTS - 1 of them, the rarest again where a window has too few words."""
     grams = grams.select("gram").distinct()
     at = grams.select("gram", F.posexplode("gram").alias("off", "term")).withColumn("t", F.xxhash64("term"))
     terms, tokens = at.select("t").distinct(), _tokens(docs, id_col, text_col).select("t")
     # terms too many to broadcast meet counts, not occurrences
     counts = tokens.join(F.broadcast(terms), "t").groupBy("t").count() if fits(terms) else tokens.groupBy("t").count().join(terms, "t")
-    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "t")).alias("r")
-    return at.join(counts, "t", "left").groupBy("gram").agg(rarest).select("gram", F.col("r.t").alias("t"), F.col("r.off").alias("off"))
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "t"))).alias("r")  # of a window's words
+    by = at.join(counts, "t", "left").groupBy("gram").agg(ranked)
+    more = F.array(*(F.coalesce(F.try_element_at("r", F.lit(k + 1)), F.element_at("r", 1)) for k in range(1, LISTS)))
+    return by.select("gram", F.col("r")[0]["t"].alias("t"), F.col("r")[0]["off"].alias("off"), F.transform(more, lambda x: F.struct(x["t"].alias("t"), x["off"].alias("off"))).alias("more"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored postings (t, doc_id, h, pos, from, around) of `terms`, and of the empty term at each document's end.
+def build_index(docs: DataFrame, lists: DataFrame, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored postings (t, end, doc_id, h, pos, from, around) of the terms in `lists`, and of the empty term at each
+    document's end.
 
-    pos counts from 0 here; t is the term's hash; around holds the words, as written, from place `from` on."""
-    end = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("t"), F.lit(True).alias("end"))
-    listed = terms.select("t", F.lit(False).alias("end")).distinct().union(end)
+    pos counts from 0 here; t is the term's hash; around holds the words, as written, from place `from` on, where the term
+    is the rarest of a window, and is null elsewhere."""
+    end = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("t"), F.lit(True).alias("end"), F.lit(False).alias("rarest"))
+    terms = lists.select("t", F.lit(True).alias("rarest")).union(lists.select(F.explode("more.t"), F.lit(False)))
+    listed = terms.groupBy("t").agg(F.max("rarest").alias("rarest")).select("t", F.lit(False).alias("end"), "rarest").union(end)
     first = F.greatest(F.lit(1), F.col("pos") - radius)
     around = F.slice(F.col("w"), first + 1, F.least(F.col("pos") + radius, F.size("w") - 2) - first + 1)
     tokens = _tokens(docs, id_col, text_col)
@@ -77,14 +86,14 @@ def build_index(docs: DataFrame, terms: DataFrame, radius: int, id_col: str = "d
         postings = tokens.select("t", "doc_id", "h", "pos", first.alias("_first"), around.alias("_around")).join(listed, "t")
         first, around = F.col("_first"), F.col("_around")
     postings = postings.select(
-        "t", "end", "doc_id", "h", (F.col("pos") - 1).alias("pos"), F.when(~F.col("end"), first - 1).alias("from"),
-        F.when(~F.col("end"), around).alias("around"),
+        "t", "end", "doc_id", "h", (F.col("pos") - 1).alias("pos"), F.when(F.col("rarest"), first - 1).alias("from"),
+        F.when(F.col("rarest"), around).alias("around"),
     )
     return written(postings, "postings")
 
 
 def _placed(index: DataFrame, lists: DataFrame) -> DataFrame:
-    lower = index.where("NOT end").withColumn("around", F.transform("around", ascii_lower))
+    lower = index.where("around IS NOT NULL").withColumn("around", F.transform("around", ascii_lower))
     return lower.join(small(lists), "t")
 
 
@@ -92,6 +101,11 @@ def exact(index: DataFrame, lists: DataFrame) -> DataFrame:
     """(doc_id, h, gram, start, m): every occurrence of a window."""
     start = F.col("pos") - F.col("off")
     at = _placed(index, lists).withColumn("start", start).where((F.col("start") >= F.col("from")))
+    postings = index.where("NOT end").select(F.col("t").alias("p_t"), F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("pos").alias("p_pos"))
+    for k in range(LISTS - 1):
+        term = F.col("more")[k]
+        there = (term["t"] == F.col("p_t")) & F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h")) & (F.col("start") + term["off"] == F.col("p_pos"))
+        at = at.join(postings, there, "left_semi")
     hit = F.slice(F.col("around"), F.col("start") - F.col("from") + 1, F.size("gram")) == F.col("gram")
     return at.where(hit).select("doc_id", "h", "gram", "start", F.size("gram").alias("m"))
 

@@ -244,10 +244,12 @@ def _classified(docs: DataFrame, threshold: float, recall: float, width: int) ->
     copies = copies.select("sig1", "sig2", "copy_id", F.xxhash64("row.doc_id", "row.h").alias("key"), "n", "bands", F.monotonically_increasing_id().alias("cid"))
     copies = written(copies, "copies")  # which makes the numbers last
     members = copies.select("cid", F.posexplode("bands").alias("band", "bh"))
-    shared = members.groupBy("band", "bh").agg(F.count("*").alias("m")).where("m > 1")
+    # written, so that a join on the buckets has a shuffle on either side, of which Spark splits the skewed parts
+    shared = written(members.groupBy("band", "bh").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     met = members.join(shared, ["band", "bh"]).join(copies.select("cid", "bands"), "cid")
     homes = written(_homes(met), "homes")
     sizes = homes.join(copies.select("cid", "n"), "cid").groupBy("band", "bh").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
+    sizes = written(sizes, "sizes")
     placed = homes.join(sizes, ["band", "bh"]).groupBy("cid").agg(F.collect_list(F.struct("band", "bh", "n_blocks")).alias("at"))  # at most `bands` of a text
     placed = written(placed.join(copies.select("cid", "key", "bands"), "cid"), "placed")
     # of the texts only those with a partner go on, each once
