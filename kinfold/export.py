@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import html
 import json
+import logging
+import threading
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Mapping
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +61,54 @@ class PrometheusText(Exporter):
         self.path = path
 
     def export(self, metrics: list[dict]) -> bool:
-        lines = []
-        for m in metrics:
-            labels = ",".join(f'{k}="{v}"' for k, v in (json.loads(m["dimensions"] or "{}") | {"run_id": m["run_id"]}).items())
-            lines.append(f"{m['metric_name']}{{{labels}}} {m['metric_value']}")
         with open(self.path, "w") as f:
-            f.write("\n".join(lines) + "\n")
+            f.write(prometheus_text(metrics))
         return True
 
 
+def prometheus_text(metrics: list[dict]) -> str:
+    lines = []
+    for m in metrics:
+        labels = ",".join(f'{k}="{v}"' for k, v in (json.loads(m["dimensions"] or "{}") | {"run_id": m["run_id"]}).items())
+        lines.append(f"{m['metric_name']}{{{labels}}} {m['metric_value']}")
+    return "\n".join(lines) + "\n"
+
+
+class PrometheusEndpoint(Exporter):
+    """Serves the metrics of the last export at /metrics until `close`."""
+
+    name = "prometheus_endpoint"
+
+    def __init__(self, port: int = 9090, host: str = ""):
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        endpoint, self.text = self, ""
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self) -> None:
+                found = self.path.split("?")[0] == "/metrics"
+                body = endpoint.text.encode() if found else b""
+                self.send_response(200 if found else 404)
+                self.send_header("Content-Type", "text/plain; version=0.0.4")
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *_) -> None: ...
+
+        self.server = ThreadingHTTPServer((host, port), Handler)
+        self.port = self.server.server_address[1]
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def export(self, metrics: list[dict]) -> bool:
+        self.text = prometheus_text(metrics)
+        return True
+
+    def close(self) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
 class Datadog(Webhook):
     name = "datadog"
 
@@ -77,7 +120,7 @@ class Datadog(Webhook):
             return r.status < 300
 
 
-EXPORTERS: dict[str, type[Exporter]] = {c.name: c for c in (Stdout, Webhook, PrometheusText, Datadog)}
+EXPORTERS: dict[str, type[Exporter]] = {c.name: c for c in (Stdout, Webhook, PrometheusText, PrometheusEndpoint, Datadog)}
 
 
 def export_pending(store: StateStore, exporter: Exporter, now: str, limit: int = 1000) -> int:
@@ -98,6 +141,21 @@ def export_pending(store: StateStore, exporter: Exporter, now: str, limit: int =
     return len(pending)
 
 
+def export_forever(store: StateStore, exporter: Exporter, seconds: float, limit: int = 1000, rounds: int | None = None) -> int:
+    """Exports what is pending every so many seconds, for ever or for so many rounds; how many metrics went out. A round
+    that fails is told in the log and made up for in the next."""
+    sent = k = 0
+    while rounds is None or k < rounds:
+        if k:
+            time.sleep(seconds)
+        k += 1
+        try:
+            sent += export_pending(store, exporter, datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), limit)
+        except OSError as e:
+            logging.getLogger("kinfold").warning("export failed: %s", e)
+    return sent
+
+
 def dashboard(store: StateStore, rows: int = 20) -> str:
     """A page of small reports; each is an aggregate or a top list."""
     now = store.pointer()
