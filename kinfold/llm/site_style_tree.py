@@ -22,7 +22,8 @@
 Text: blocks in page order joined by one space; white space in a block becomes one space; character references are
 decoded. If a page has an article (or main) element, the blocks are those inside; else those of the body.
 
-Defined results: null and empty html give an empty text; text without markup is one block; unclosed and stray tags are
+Defined results: null and empty html give an empty text; an empty table gives an empty one; pages of any length and depth
+are parsed whole; pages that tie in everything count once in the tree and get equal texts; text without markup is one block; unclosed and stray tags are
 closed where html says so; null urls share a host of their own; repeated rows get equal results; further columns are
 ignored.
 """

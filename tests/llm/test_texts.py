@@ -490,3 +490,89 @@ def test_partners_within_and_across_blocks():
             g = k // size
             want = any((not across[k] or block[j] != block[k]) and (keys[j, : band[k]] != keys[k, : band[k]]).all() for j in range(g * size, g * size + size) if j != k)
             assert got[k] == want
+
+
+def test_packing_needs_few_sequences():
+    """Against exact search on small cases, and against the least number that the lengths allow on many pieces."""
+    rnd = random.Random(9)
+
+    def least(items, room):
+        best = len(items)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(items):
+                best = len(bins)
+                return
+            for i in sorted({b: i for i, b in enumerate(bins)}.values()):
+                if bins[i] + items[k] <= room:
+                    place(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, items[k]])
+
+        place(0, [])
+        return best
+
+    used = lambda items, room: sum((r1 - r0) // k for n, r0, r1, _, k, off in packing.plan({n: items.count(n) for n in set(items)}, room) if off == 0)
+    mine = exact = 0
+    for _ in range(150):
+        items = sorted((rnd.randint(1, 15) for _ in range(rnd.randint(1, 9))), reverse=True)
+        a, b = used(items, 20), least(items, 20)
+        assert b <= a <= b + 1
+        mine, exact = mine + a, exact + b
+    assert mine <= 1.02 * exact
+    for _ in range(3):
+        items = [min(2048, int(rnd.lognormvariate(5.5, 1.2)) + 1) for _ in range(5000)]
+        assert used(items, 2048) <= -(-sum(items) // 2048) + 1
+
+
+def test_packing_of_the_test_data(spark):
+    from kinfold.llm._shared import table
+
+    got = packing.pack(table(spark, str(DATA / "sf0.001"), "documents")).agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
+    assert got["bins"] <= -(-got["n"] // 2048) + 1
+
+
+def test_quality_of_labelled_documents(spark):
+    """The labels of the test data, which the operator never sees."""
+    from kinfold.llm._shared import table
+
+    sf = str(DATA / "sf0.01")
+    got = quality.assess(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").groupBy("quality").agg(F.avg(F.col("rejected").cast("int")).alias("share"), F.count("*").alias("n"))
+    share = {r["quality"]: r["share"] for r in got.where("quality IS NOT NULL").collect()}
+    assert share[1] <= 0.01 and share[0] >= 0.95
+
+
+def test_quality_odd_rows(spark):
+    good = "The river runs past the old mill and the road goes on to the town where people meet on market days."
+    rows = [(k, good.replace("mill", f"mill {k}")) for k in range(200)] + [(300, None), (301, ""), (302, " \n\t"), (303, "?! ..."), (5, "$$$$ ~~~~ #### " * 40), (400, (good + " ") * 20_000), (1, good.replace("mill", "mill 1"))]
+    df = docs(spark, rows).withColumns({"h": F.lit(1), "pattern": F.lit("p"), "key": F.lit(0)})
+    got = quality.assess(df).collect()
+    assert all(r["rejected"] and r["score"] == 0 and r["weak_bad"] == 1 for r in got if r["doc_id"] in (300, 301, 302, 303)) and len(got) == len(rows)
+    one = [(r["score"], r["pattern"]) for r in got if r["doc_id"] == 1]
+    assert len(one) == 2 and one[0] == one[1]
+    left = quality.keep(df)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.where("doc_id < 300").collect()) == sorted([*range(200), 1])
+    assert quality.assess(df.where("false")).count() == 0
+
+
+def test_held_out_toxicity_and_language(spark):
+    from kinfold.llm import queries as llm
+    from kinfold.llm._shared import table
+
+    sf = str(DATA / "sf0.01")
+    tox = llm.op6_toxicity(spark, sf).where("held_out").join(table(spark, sf, "labels").where("toxic IS NOT NULL"), "doc_id").select("predicted", "toxic").collect()
+    assert len(tox) > 40 and sum(r["predicted"] > r["toxic"] for r in tox) <= 1 and sum(r["predicted"] == r["toxic"] for r in tox) >= 0.93 * len(tox)
+    lang = llm.op10_language_id(spark, sf).where("held_out").join(table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", "lang", "text"), "doc_id").where("lang_pred <> 'und'").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in lang) >= 0.99 * len(lang) > 150
+
+
+def test_pages_that_tie_and_long_pages(spark):
+    long = "<body><article>" + "<p>line of text</p>" * 60_000 + "</article></body>"
+    rows = [(1, "http://a.org/x", long), (2, "http://a.org/y", "<article><p>one</p></article>"), (2, "http://a.org/y", "<article><p>one</p></article>"), (3, None, "<p>no url")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "path": F.lit(2), "n": F.lit(3), "low": F.lit("l")})
+    got = site_style_tree.extract(df).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 4 and text[1] == " ".join(["line of text"] * 60_000) and (text[2], text[3]) == ("one", "no url")
+    assert site_style_tree.extract(df.where("false")).count() == 0
