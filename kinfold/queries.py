@@ -82,10 +82,25 @@ def _keep(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
-def members_of(spark: SparkSession, sf: str) -> DataFrame:
-    comps, _, _ = components(edges_of(spark, sf), "left_entity_key", "right_entity_key", _keep(spark))
+def graph_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, members), the edges written once for all that reads them."""
+    keep = _keep(spark)
+    edges = keep(edges_of(spark, sf))
+    comps, rounds, converged = components(edges, "left_entity_key", "right_entity_key", keep)
+    if not converged:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     labels = comps.select(F.col("node").alias("entity_key"), F.col("component").alias("label"))
-    return C.membership(labels, X.entities(spark, frames(spark, sf), META))
+    return edges, C.membership(labels, X.entities(spark, frames(spark, sf), META))
+
+
+def members_of(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_of(spark, sf)[1]
+
+
+def kept_graph_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """graph_of for queries that read the members several times."""
+    edges, members = graph_of(spark, sf)
+    return edges, _keep(spark)(members)
 
 
 IDS = """ids AS (
@@ -289,7 +304,8 @@ STATS = "st AS (SELECT c, count(DISTINCT ty) AS div, count(*) AS ec FROM (SELECT
 
 @query(f"{BASE}, {STATS} SELECT c AS resolved_id, div AS edge_diversity, ec AS edge_count FROM st")
 def p32_edge_stats(spark, sf):
-    return C.edge_stats(members_of(spark, sf), edges_of(spark, sf))
+    edges, members = graph_of(spark, sf)
+    return C.edge_stats(members, edges)
 
 
 CONF = "cf AS (SELECT c, n, coalesce(div, 0) AS div, CASE WHEN n <= 1 THEN 1.0 ELSE least(1.0, coalesce(ec, 0) / (n - 1)) END::DOUBLE AS den, (SELECT greatest(1, max(div)) FROM st) AS top FROM sz LEFT JOIN st USING (c))"
@@ -299,8 +315,8 @@ CONF = "cf AS (SELECT c, n, coalesce(div, 0) AS div, CASE WHEN n <= 1 THEN 1.0 E
 CASE WHEN n = 1 THEN 1.0 ELSE round(0.5::DOUBLE * div / top + 0.35::DOUBLE * den + 0.15::DOUBLE, 3) END::DOUBLE AS confidence_score,
 CASE WHEN n = 1 THEN 'SINGLETON_NO_MATCH_REQUIRED' WHEN div >= 2 THEN div || ' identifier types' ELSE 'Single identifier type' END AS primary_reason FROM cf""")
 def p34_confidence(spark, sf):
-    m = members_of(spark, sf)
-    return C.confidence(C.cluster_sizes(m), C.edge_stats(m, edges_of(spark, sf))).drop("edge_count")
+    edges, m = kept_graph_of(spark, sf)
+    return C.confidence(C.cluster_sizes(m), C.edge_stats(m, edges)).drop("edge_count")
 
 
 @query(f"""{BASE}, {STATS}, {CONF} SELECT c AS resolved_id,
@@ -308,8 +324,8 @@ CASE WHEN n = 1 THEN 'SINGLETON_NO_MATCH_REQUIRED' WHEN div >= 3 AND den >= 0.8
 WHEN div = 1 AND den >= 0.8 THEN 'Single identifier type, high density' WHEN div = 1 AND den < 0.5 THEN 'Single identifier type, chain pattern'
 ELSE div || ' identifier type(s), ' || CASE WHEN den >= 0.5 THEN 'moderate' ELSE 'low' END || ' density' END AS primary_reason FROM cf""")
 def p36_detailed_reason(spark, sf):
-    m = members_of(spark, sf)
-    return C.confidence(C.cluster_sizes(m), C.edge_stats(m, edges_of(spark, sf)), reasons="detailed").select("resolved_id", "primary_reason")
+    edges, m = kept_graph_of(spark, sf)
+    return C.confidence(C.cluster_sizes(m), C.edge_stats(m, edges), reasons="detailed").select("resolved_id", "primary_reason")
 
 
 ATTR = """attr AS (SELECT 'cust:' || c_custkey AS k, 1 AS tr, TIMESTAMP '1900-01-01' AS ru, c_name AS name, c_mktsegment AS segment FROM customer
@@ -321,14 +337,14 @@ UNION ALL SELECT 'ev:' || event_id, 4, ts, NULL, event_type FROM events)"""
 a AS (SELECT c, name FROM x WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY ru DESC, k) = 1), b AS (SELECT c, segment FROM x WHERE segment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY ru DESC, k) = 1)
 SELECT m.c AS resolved_id, a.name AS name_primary, b.segment AS segment_primary FROM (SELECT DISTINCT c FROM mem) m LEFT JOIN a USING (c) LEFT JOIN b USING (c)""")
 def p40_golden_recency(spark, sf):
-    return C.golden_profiles(members_of(spark, sf), X.attributes(spark, frames(spark, sf), META, ("name", "segment")), META.survivorship)
+    return C.golden_profiles(kept_graph_of(spark, sf)[1], X.attributes(spark, frames(spark, sf), META, ("name", "segment")), META.survivorship)
 
 
 @query(f"""{BASE}, {ATTR}, x AS (SELECT c, attr.* FROM attr JOIN mem USING (k)),
 b AS (SELECT c, segment FROM x WHERE segment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY tr, ru DESC, k) = 1)
 SELECT m.c AS resolved_id, b.segment AS segment_primary FROM (SELECT DISTINCT c FROM mem) m LEFT JOIN b USING (c)""")
 def p41_golden_trust_recency(spark, sf):
-    return C.golden_profiles(members_of(spark, sf), X.attributes(spark, frames(spark, sf), META, ("segment",)), (Survivorship("segment", "SOURCE_PRIORITY + MOST_RECENT"),))
+    return C.golden_profiles(kept_graph_of(spark, sf)[1], X.attributes(spark, frames(spark, sf), META, ("segment",)), (Survivorship("segment", "SOURCE_PRIORITY + MOST_RECENT"),))
 
 
 @query(f"WITH {ENT} SELECT table_id, max(wm) AS last_watermark_value FROM ent GROUP BY 1 HAVING max(wm) IS NOT NULL")
