@@ -42,12 +42,21 @@ def _small_star(edges: DataFrame, n_edges: int, parts: int) -> DataFrame:
     return moved.union(nodes.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _numbered(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(edges with numbers for nodes, (name, id)). Minima of numbers are combined by hash, those of strings by sorting."""
+    names = edges.select(F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("id", F.monotonically_increasing_id())
+    names = keep(names)  # which makes the numbers last
+    for end in ("u", "v"):
+        edges = edges.join(names.withColumnRenamed("name", end), end).drop(end).withColumnRenamed("id", end)
+    return edges, names
+
+
 def components(edges: DataFrame, src: str, dst: str, keep: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> tuple[DataFrame, int, bool]:
     """((node, component), rounds, converged). component: the least node that it can reach, which has a row too.
 
     keep: writes a DataFrame where executors can be lost without losing it, and returns it read again; how many edges
     there are, and a checksum of them, are observed in that write. Edges with a null end are ignored; a node without edges
-    to another has no row."""
+    to another has no row. Nodes that are no integers get numbers for the rounds."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -55,10 +64,19 @@ def components(edges: DataFrame, src: str, dst: str, keep: Callable[[DataFrame],
         df = keep(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
         return df, (seen.get["n"], seen.get["sum"])
 
-    now, before = kept(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
+    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
+    names = None
+    if now.schema["u"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        now, names = _numbered(keep(now), keep)
+    now, before = kept(now)
     rounds, converged = 0, before[0] == 0
     while not converged and rounds < max_rounds:
         now, after = kept(_small_star(_large_star(now, before[0], parts), before[0], parts))
         converged, before, rounds = after == before, after, rounds + 1
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), rounds, converged
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    if names is None:
+        return found, rounds, converged
+    named = keep(found.join(names, found["node"] == names["id"]).select("name", "component"))
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    return named.join(least, "component").select(F.col("name").alias("node"), F.col("least").alias("component")), rounds, converged
