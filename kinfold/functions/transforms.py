@@ -35,10 +35,22 @@ def deduplicate(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[C
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Rows that a function may bring to the driver.
+MOST_ROWS = 100_000
+
+
+def _brought(df: DataFrame, what: str) -> list:
+    """df's rows on the driver; more than MOST_ROWS are an error, not a cut."""
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"{what} has more than {MOST_ROWS} rows, too many for the driver")
+    return rows
+
+
 def column_values(df: DataFrame, column: str, max_records: int | None = None, where: str | None = None, default: list | None = None) -> list:
     """Distinct values, most frequent first, ties in order of value."""
     rows = (df.where(where) if where else df).groupBy(column).count().orderBy(F.desc("count"), column)
-    found = [r[0] for r in (rows.limit(max_records) if max_records else rows).collect()]
+    found = [r[0] for r in _brought(rows.limit(max_records) if max_records else rows, f"the list of values of {column}")]
     return found or (default or [])
 
 
@@ -89,7 +101,7 @@ def single_value(df: DataFrame, default=None):
 
 
 def results_as_dict(df: DataFrame) -> dict[str, list]:
-    rows = df.collect()
+    rows = _brought(df, "the result")
     return {c: [r[i] for r in rows] for i, c in enumerate(df.columns)}
 
 

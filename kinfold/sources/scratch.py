@@ -1,7 +1,8 @@
-"""A folder that driver and executors share, for state that a query makes for itself."""
+"""A folder that driver and executors share, for state that a query makes for itself. It goes when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -16,4 +17,21 @@ def folder(spark: SparkSession, label: str) -> str:
     if not root:
         local = spark.sparkContext.master.split("[")[0] == "local"
         root = Path(tempfile.gettempdir(), f"kinfold-{os.getpid()}").as_uri() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kinfold"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone already
+            return
+
+
+atexit.register(_sweep)

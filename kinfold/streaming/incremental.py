@@ -1,4 +1,6 @@
-"""Incremental runs driven by a stream: each micro-batch that brings rows starts an incremental run over the sources.
+"""Incremental runs driven by a stream, and a stream of the runs' history.
+
+Each micro-batch that brings rows starts an incremental run over the sources.
 
 Merges are retroactive, so the clusters' state stays in the state store, not in a streaming operator."""
 
@@ -12,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Metadata, RunConfig
 from ..plans.resolution import run
-from ..sources.state import StateStore
+from ..sources.state import SCHEMAS, StateStore
 
 
 def follow(spark: SparkSession, stream: DataFrame, meta: Metadata, frames: Callable[[], Mapping[str, DataFrame]], store: StateStore, checkpoint: str, config: RunConfig = RunConfig(), trigger: Mapping | None = None) -> StreamingQuery:
@@ -22,3 +24,10 @@ def follow(spark: SparkSession, stream: DataFrame, meta: Metadata, frames: Calla
             run(spark, meta, frames(), store, replace(config, mode="INCR"), run_id=f"run_stream_{number:012d}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def history(store: StateStore, lookback: str = "7 days") -> DataFrame:
+    """A stream of the runs' history, each run once, for alerts: new parts of the table are new files to Spark. A part that
+    was written anew repeats its rows, which are told by run_id among those that ended within `lookback`."""
+    rows = store.spark.readStream.schema(SCHEMAS["run_history"]).parquet(f"{store.root}/run_history/v-*")
+    return rows.withWatermark("ended_at", lookback).dropDuplicatesWithinWatermark(["run_id"])

@@ -110,3 +110,25 @@ def test_unconverged_runs_warn_or_raise(spark, tmp_path):
     assert not r.converged and r.status == "SUCCESS_WITH_WARNINGS"
     with pytest.warns(UserWarning), pytest.raises(RuntimeError):
         run(spark, META, {"t": df}, s, RunConfig(max_iters=1, on_nonconverged="raise"))
+
+
+def test_stream_of_the_history_tells_each_run_once(spark, tmp_path):
+    from kinfold.sources.state import SCHEMAS, StateStore
+    from kinfold.streaming.incremental import history
+
+    store, at = StateStore(spark, f"{tmp_path.as_uri()}/state"), f"{tmp_path.as_uri()}/checkpoint"
+
+    def add(run_id, status):
+        rows = spark.createDataFrame([(run_id, status)], "run_id string, status string").withColumn("ended_at", F.lit("2024-06-01 10:00:00").cast("timestamp"))
+        store.append("run_history", spark.createDataFrame([], SCHEMAS["run_history"]).unionByName(rows, allowMissingColumns=True))
+
+    def alerts():
+        failed, got = history(store).where("status = 'FAILED'"), []
+        failed.writeStream.foreachBatch(lambda df, k: got.extend(r["run_id"] for r in df.collect())).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+        return sorted(got)
+
+    add("a", "SUCCESS"), add("b", "FAILED")
+    assert alerts() == ["b"]
+    store.replace("run_history", store.read("run_history"))  # repeats all rows
+    add("c", "FAILED")
+    assert alerts() == ["c"]
