@@ -37,7 +37,7 @@ from ._shared import ship_package, text_of, written
 SAMPLE, MIN_DOCS = 20_000, 4
 SLOT_BITS, PREFIXES = 22, (4, 5, 6, 7, 8, 9)
 SLOTS = 1 << SLOT_BITS
-L1, L2, COUNTERFACTUAL, COPIES, EPOCHS = 4.0, 1.0, 5.0, 3, 6
+L1, L2, COUNTERFACTUAL, COPIES, EPOCHS, POSITIVE = 6.0, 1.0, 5.0, 3, 6, 1.0
 
 #: Terms that may stand for each other: people and groups of people, in the corpus's languages.
 IDENTITY = (
@@ -110,8 +110,8 @@ class Rows:
         self.y, self.slots, self.swaps = np.asarray(y, float), slots, swaps
 
 
-def fit(rows: Rows, dims: int, counterfactual: float = COUNTERFACTUAL, seed: int = 7, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(weights, intercept)."""
+def fit(rows: Rows, dims: int, counterfactual: float = COUNTERFACTUAL, seed: int = 7, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, positive: float = POSITIVE) -> tuple[np.ndarray, float]:
+    """(weights, intercept). positive: what a toxic text counts, a clean one counting 1."""
     y = rows.y
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
@@ -135,9 +135,10 @@ def fit(rows: Rows, dims: int, counterfactual: float = COUNTERFACTUAL, seed: int
             x = rows.slots[i]
             wx = weights(x)
             p = 1 / (1 + np.exp(-np.clip(bias + wx.sum(), -35, 35)))
-            move(x, wx, p - y[i])
-            bias_n += (p - y[i]) ** 2
-            bias -= 0.1 * (p - y[i]) / (1 + np.sqrt(bias_n))
+            g = (p - y[i]) * (positive if y[i] else 1.0)
+            move(x, wx, g)
+            bias_n += g * g
+            bias -= 0.1 * g / (1 + np.sqrt(bias_n))
             if counterfactual:
                 for gained, lost in rows.swaps[i]:
                     x = np.concatenate([gained, lost])
@@ -149,6 +150,13 @@ def fit(rows: Rows, dims: int, counterfactual: float = COUNTERFACTUAL, seed: int
     return weights(slice(None)), bias
 
 
+def _slices(column: pa.ChunkedArray | pa.Array, of=lambda values: values.to_numpy()) -> list:
+    """The lists of a column as views of one array; of(values): what a column of lists of lists is made of."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, at = of(column.values), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, identity: tuple[tuple[str, ...], ...] = IDENTITY, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, their weights, intercept)."""
     spark = docs.sparkSession
@@ -208,10 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, identity: tuple[tup
             )
 
     got = seen.mapInArrow(narrowed, "y int, slots array<int>, gained array<array<int>>, lost array<array<int>>").toArrow()
-    y, own, gained, lost = (got.column(k).to_pylist() for k in range(4))
-    as_ids = lambda x: np.asarray(x, np.int64)
-    order = sorted(range(len(y)), key=lambda k: (own[k], y[k]))  # whatever order the tasks ended in
-    rows = Rows(np.array([y[k] for k in order]), [as_ids(own[k]) for k in order], [[(as_ids(a), as_ids(b)) for a, b in zip(gained[k], lost[k])] for k in order])
+    y, own = got.column(0).to_numpy(), _slices(got.column(1))
+    sides = [_slices(got.column(k), _slices) for k in (2, 3)]
+    order = sorted(range(len(y)), key=lambda k: (zlib.crc32(own[k].tobytes()), len(own[k]), y[k]))  # whatever order the tasks ended in
+    rows = Rows(y[order], [own[k] for k in order], [list(zip(sides[0][k], sides[1][k])) for k in order])
     w, bias = fit(rows, len(known), counterfactual)
     some = np.flatnonzero(w)
     return known[some], w[some], bias
