@@ -9,8 +9,8 @@
    gives are intersected with the lists of the next rarest terms, adjusted by their offsets, one after another; what is
    left has all LISTS terms in place, and the payload says whether the window's other words are there too: exact phrases,
    which is what `report` and the query count. `near` instead asks that all terms of a window lie within `width + slop`
-   consecutive places around its rarest term, in any order: proximity matches. It is a function of its own that neither
-   the query nor the pipeline calls. The commonest terms of a window have no lists: their postings would be most of the
+   consecutive places around its rarest term, in any order: proximity matches. `matches` returns both kinds; the query
+   and the pipeline count exact phrases only. The commonest terms of a window have no lists: their postings would be most of the
    corpus, and the payload holds them where they count.
 
 Postings of one common term spread over partitions as the documents do; what is grouped afterwards is grouped
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import ascii_lower, fenced_words, fits, small, text_of, words, written
 
-WIDTH, LISTS = 8, 3
+WIDTH, LISTS = 8, 2
 
 
 def windows_of(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +154,16 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int
     return _report(docs, items, width, min_items).drop("h")
 
 
+def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 2) -> DataFrame:
+    """(doc_id, item_id, gram, start, kind): where windows occur. kind `exact`: as a phrase, from word `start` on; `near`:
+    around one of their rarest terms, all of the window's terms lie within len(gram) + slop words from `start` on."""
+    grams = written(windows_of(items, width), "windows")
+    lists = written(anchored(docs, grams), "anchors")
+    index = build_index(docs, lists, width - 1 + slop)
+    kinds = [df.select("doc_id", "gram", "start", F.lit(kind).alias("kind")) for kind, df in (("exact", exact(index, lists)), ("near", near(index, lists, slop)))]
+    return kinds[0].unionAll(kinds[1]).distinct().join(small(grams), "gram").select("doc_id", "item_id", "gram", "start", "kind")
+
+
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", width: int = WIDTH, min_items: int = 2) -> DataFrame:
     """The rows of docs in which windows of fewer than min_items items occur, with all their columns.
 

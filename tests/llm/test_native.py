@@ -166,3 +166,11 @@ def test_warc_files_are_read(spark, tmp_path):
         list(warc_revisit.parse_warc(b"junk"))
     with pytest.raises(ValueError, match="cut short"):
         list(warc_revisit.parse_warc(parts[1][:-12]))
+
+
+def test_matches_of_both_kinds(spark):
+    items = spark.createDataFrame([("i", "alpha beta gamma delta"), ("j", "one two")], "item_id string, text string")
+    rows = [(1, "x alpha beta gamma delta y"), (2, "alpha new beta gamma more delta"), (3, "delta gamma beta alpha"), (4, "alpha beta"), (5, "one between two"), (None, "ONE two")]
+    got = {(r["doc_id"], r["item_id"], r["kind"], r["start"]) for r in decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), items, 4, 2).collect()}
+    assert {x for x in got if x[2] == "exact"} == {(1, "i", "exact", 1), (None, "j", "exact", 0)}
+    assert {x[:2] for x in got if x[2] == "near"} == {(1, "i"), (2, "i"), (3, "i"), (5, "j"), (None, "j")}
