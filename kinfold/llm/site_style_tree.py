@@ -16,8 +16,8 @@
    text. What class, id or role say, and forms, is prior evidence: such a branch goes, unless on the host's pages it
    has high importance and most of the text (NAMED, KEEP). An article is looked for in forms and in branches with a
    name that may mean a page's layout too; it, and what holds it, is never removed; its branches are judged as any others.
-3. Pages meet the low paths of their host (spread over SALTS keys, so that a large host's pages are not one task's)
-   and are parsed again without those branches.
+3. Pages meet the low paths of their host (broadcast up to BROADCAST_BYTES; beyond, spread over SALTS keys, so that a
+   large host's pages are not one task's) and are parsed again without those branches.
 
 Text: blocks in page order joined by one space; white space in a block becomes one space; character references are
 decoded. If a page has an article (or main) element, the blocks are those inside; else those of the body.
@@ -39,9 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ship_package, small, written
+from ._shared import ship_package, written
 
 SALTS = 64
+#: Bytes that the paths of all hosts may have to be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: A branch is removed below this importance.
 LOW = 0.3
 #: That a branch is text is believed like so many pages' evidence, plus the logarithm of how rare the branch is on its
@@ -373,10 +375,16 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     stays = F.col("n_pages") * F.col("content") * F.round("share", 6) >= KEEP * (F.col("n_pages") + NAMED)
     noise = tree.where(goes | stays & (F.col("n_pages") > 1)).groupBy("host").agg(*(F.sort_array(F.collect_set(F.when(x, F.col("path")))).alias(k) for k, x in (("low", goes), ("kept", stays))))
     noise = written(noise, "style-tree")
-    salted = small(noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "n_host"), rows=None)
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url"))).withColumn("at", salt)
-    rows = rows.join(salted, (F.col("host") == F.col("n_host")) & (F.col("at") == F.col("salt")), "left").select("page_id", "url", "html", "low", "kept")
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    noise = noise.withColumnRenamed("host", "n_host")
+    size = noise.agg(F.sum(F.length("n_host") + 8 * (F.size("low") + F.size("kept")) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(noise), F.col("host") == F.col("n_host"), "left")
+    else:  # a large host's pages meet its paths on SALTS keys
+        noise = noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("at", at).join(noise, (F.col("host") == F.col("n_host")) & (F.col("at") == F.col("salt")), "left")
+    rows = rows.select("page_id", "url", "html", "low", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kinfold.llm import site_style_tree as M

@@ -576,3 +576,12 @@ def test_pages_that_tie_and_long_pages(spark):
     text = {r["page_id"]: r["text"] for r in got}
     assert len(got) == 4 and text[1] == " ".join(["line of text"] * 60_000) and (text[2], text[3]) == ("one", "no url")
     assert site_style_tree.extract(df.where("false")).count() == 0
+
+
+def test_paths_too_large_to_broadcast(spark, monkeypatch):
+    page = "<body><div class=top>same on every page</div><div class=text>text number {}</div></body>"
+    df = spark.createDataFrame([(k, "http://a.org/x", page.format(k)) for k in range(20)], "page_id long, url string, html string")
+    want = sorted(map(tuple, site_style_tree.extract(df).collect()))
+    assert want[3][2] == "text number 3"
+    monkeypatch.setattr(site_style_tree, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, site_style_tree.extract(df).collect())) == want
