@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     The folder is removed when the driver's interpreter ends."""
     spark = df.sparkSession
     path = owned(spark, f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python in batches of fewer rows, whose bytes JVM and worker hold twice each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def owned(spark: SparkSession, path: str) -> str:
     """path, which is removed when the driver's interpreter ends."""
     _written.append((spark, path))

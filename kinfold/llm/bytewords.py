@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone. Temporary arrays take about 40 times that.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 U = np.uint64
 

@@ -26,7 +26,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
 from . import jvm
-from ._shared import owned, scratch_root, ship_package, small, text_of
+from ._shared import owned, scratch_root, ship_package, small, small_batches, text_of
 
 END, SHARD, BLOCK = 2, 1 << 19, 1 << 14
 #: Ids that a task reads, about.
@@ -67,18 +66,6 @@ def parsed(raw: bytes) -> tuple[int, int, pa.Array, np.ndarray, np.ndarray]:
     return part, start, found, lens, np.frombuffer(raw, "<u4", n, at + 4 * docs)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Whole texts go to Python in batches of fewer rows, which are bytes that JVM and worker hold twice each."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def functions(spark: SparkSession) -> None:
     """Registers kinfold_write_shard(folder, payload, block), kinfold_code_shard(payload, block) and kinfold_read_shard(bytes)."""
     for name, kind in (("WriteShard", LongType()), ("CodeShard", BinaryType()), ("ReadShard", BinaryType())):
