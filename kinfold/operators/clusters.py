@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..model import Metadata, Survivorship
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    return labels.select("entity_key", F.col("label").alias("resolved_id"))
+
+
+def lone(labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """Each entity without a label as its own cluster."""
+    alone = entities.select("entity_key").distinct().join(labels, "entity_key", "left_anti")
+    return alone.withColumn("resolved_id", F.col("entity_key"))
+
+
 def membership(labels: DataFrame, entities: DataFrame) -> DataFrame:
     """Each labelled node, and each entity without one as its own cluster."""
-    alone = entities.select("entity_key").distinct().join(labels, "entity_key", "left_anti")
-    return labels.select("entity_key", F.col("label").alias("resolved_id")).unionByName(alone.withColumn("resolved_id", F.col("entity_key")))
+    return labelled(labels).unionByName(lone(labels, entities))
 
 
 def cluster_sizes(members: DataFrame, impacted: DataFrame | None = None) -> DataFrame:
@@ -19,12 +28,17 @@ def cluster_sizes(members: DataFrame, impacted: DataFrame | None = None) -> Data
     return rows.groupBy("resolved_id").agg(F.count("*").alias("cluster_size"))
 
 
-def edge_stats(members: DataFrame, edges: DataFrame, count: str = "doubled") -> DataFrame:
+def edge_stats(members: DataFrame, edges: DataFrame, count: str = "doubled", whole: bool = False) -> DataFrame:
     """Types and edges of each cluster. An OR of two ends would be planned as a nested loop; two equi-joins are not.
 
-    doubled: an edge counts at both of its ends; unique: once."""
+    doubled: an edge counts at both of its ends; unique: once. whole: both ends of every edge are in one cluster, so that
+    edges are counted by their left ends before anything is joined."""
     m = members.select(F.col("entity_key").alias("k"), "resolved_id")
     kinds = edges.select(F.col("left_entity_key").alias("k"), "identifier_type")
+    if whole:
+        per_key = kinds.groupBy("k", "identifier_type").agg(F.count("*").alias("n"))
+        by_type = per_key.join(m, "k").groupBy("resolved_id", "identifier_type").agg((F.sum("n") * (2 if count == "doubled" else 1)).alias("n"))
+        return by_type.groupBy("resolved_id").agg(F.count("*").alias("edge_diversity"), F.sum("n").alias("edge_count"))
     if count == "doubled":
         kinds = kinds.union(edges.select(F.col("right_entity_key").alias("k"), "identifier_type"))
     # counted by (cluster, type) first: few rows for each, whatever the cluster's size

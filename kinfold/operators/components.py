@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
@@ -42,21 +42,57 @@ def _small_star(edges: DataFrame, n_edges: int, parts: int) -> DataFrame:
     return moved.union(nodes.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _numbered(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(edges with numbers for nodes, (name, id)). Minima of numbers are combined by hash, those of strings by sorting."""
-    names = edges.select(F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("id", F.monotonically_increasing_id())
-    names = keep(names)  # which makes the numbers last
-    for end in ("u", "v"):
-        edges = edges.join(names.withColumnRenamed("name", end), end).drop(end).withColumnRenamed("id", end)
-    return edges, names
+def _anchored(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], drop: Callable[..., None]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, names) of edges (u, v) whose nodes are no integers: each is put down to one of its anchors, the u's.
+
+    nodes: (node, a, prev), with the node's first anchor where prev is null, else an anchor and the one before it at the same
+    node: links (u, v). A u is an anchor of its own. names: (a, least), the least name beside an anchor. Anchors are hashes,
+    taken again with another seed if two names share one."""
+    for seed in range(100):
+        a = F.xxhash64(F.lit(seed), F.col("u")).alias("a")
+        by = edges.groupBy(a).agg(F.min(F.least("u", "v")).alias("least"), F.min("u").alias("lo"), F.max("u").alias("hi"))
+        seen = Observation()
+        names = keep(by.observe(seen, F.count_if(F.col("lo") != F.col("hi")).alias("shared")).select("a", "least"))
+        if not seen.get["shared"]:
+            break
+        drop(names)
+    rows = edges.select(F.col("v").alias("node"), a).union(edges.select(F.col("u").alias("node"), a).distinct())
+    prev = F.lag("a").over(Window.partitionBy("node").orderBy("a"))
+    rows = rows.withColumn("prev", prev).where("prev IS NULL OR prev <> a")
+    nodes = keep(rows.select(F.when(F.col("prev").isNull(), F.col("node")).alias("node"), "a", "prev"))
+    return nodes, nodes.where("prev IS NOT NULL").select(F.col("prev").alias("u"), F.col("a").alias("v")), names
 
 
 def components(edges: DataFrame, src: str, dst: str, keep: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> tuple[DataFrame, int, bool]:
     """((node, component), rounds, converged). component: the least node that it can reach, which has a row too.
 
     keep: writes a DataFrame where executors can be lost without losing it, and returns it read again; how many edges
-    there are, and a checksum of them, are observed in that write. Edges with a null end are ignored; a node without edges
-    to another has no row. Nodes that are no integers get numbers for the rounds."""
+    there are, and a checksum of them, are observed in that write. keep.drop, if it has one, removes such a table. Edges with
+    a null end are ignored; a node without edges to another has no row. Of nodes that are no integers, the rounds join
+    anchors only: a star's members follow theirs. Such edges are read twice, so that they should be a table."""
+    drop = getattr(keep, "drop", lambda *tables: None)
+    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    if now.schema["u"].dataType.typeName() in ("long", "integer", "short", "byte"):
+        now, rounds, converged = _stars(now.distinct(), keep, drop, max_rounds)
+        return _labelled(now), rounds, converged
+    nodes, links, names = _anchored(now, keep, drop)
+    now, rounds, converged = _stars(links.distinct(), keep, drop, max_rounds)
+    found = _labelled(now).withColumnRenamed("node", "a")
+    rooted = keep(names.join(found, "a", "left").select("a", F.coalesce("component", "a").alias("root"), "least"))
+    drop(now, names)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    labels = keep(rooted.select("a", "root").join(least, "root").select("a", "component"))
+    drop(rooted)
+    return nodes.where("prev IS NULL").join(labels, "a").select("node", "component"), rounds, converged
+
+
+def _labelled(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def _stars(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], drop: Callable[..., None], max_rounds: int) -> tuple[DataFrame, int, bool]:
+    """(edges (node, root) as a table, rounds, converged)."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -64,19 +100,12 @@ def components(edges: DataFrame, src: str, dst: str, keep: Callable[[DataFrame],
         df = keep(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
         return df, (seen.get["n"], seen.get["sum"])
 
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
-    names = None
-    if now.schema["u"].dataType.typeName() not in ("long", "integer", "short", "byte"):
-        now, names = _numbered(keep(now), keep)
-    now, before = kept(now)
+    between = keep if hasattr(keep, "drop") else lambda df: df  # a table, so that one step's shuffles go before the next
+    now, before = kept(edges)
     rounds, converged = 0, before[0] == 0
     while not converged and rounds < max_rounds:
-        now, after = kept(_small_star(_large_star(now, before[0], parts), before[0], parts))
+        old, large = now, between(_large_star(now, before[0], parts))
+        now, after = kept(_small_star(large, before[0], parts))
+        drop(old, large)
         converged, before, rounds = after == before, after, rounds + 1
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-    if names is None:
-        return found, rounds, converged
-    named = keep(found.join(names, found["node"] == names["id"]).select("name", "component"))
-    least = named.groupBy("component").agg(F.min("name").alias("least"))
-    return named.join(least, "component").select(F.col("name").alias("node"), F.col("least").alias("component")), rounds, converged
+    return now, rounds, converged

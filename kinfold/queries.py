@@ -20,7 +20,7 @@ from .operators import extract as X
 from .operators import reports as R
 from .operators.components import components
 from .plans.resolution import CLUSTERS, EDGES, GOLDEN, MEMBERS, run
-from .sources.scratch import folder
+from .sources.scratch import Scratch, folder
 from .sources.state import SCHEMAS, StateStore, upserted, upserted_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,37 +70,39 @@ def edges_of(spark: SparkSession, sf: str) -> DataFrame:
     return E.star_edges(ids, E.group_sizes(ids), META)
 
 
-def _keep(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    root = folder(spark, "query")
+def _keep(spark: SparkSession) -> Scratch:
+    return Scratch(spark, folder(spark, "query"))
 
-    def keep(df: DataFrame) -> DataFrame:
-        keep.n += 1
-        df.write.parquet(f"{root}/{keep.n}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{keep.n}")
 
-    keep.n = 0
-    return keep
+def _labels_of(edges: DataFrame, keep: Scratch) -> DataFrame:
+    comps, rounds, converged = components(edges, "left_entity_key", "right_entity_key", keep)
+    if not converged:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
+    return comps.select(F.col("node").alias("entity_key"), F.col("component").alias("label"))
+
+
+def _members_of(spark: SparkSession, sf: str, edges: DataFrame, keep: Scratch, last: bool) -> DataFrame:
+    """Members whose labels and lone entities are tables. last: nothing reads the edges after this."""
+    clear = keep.since()
+    comps = _labels_of(edges, keep)
+    if last:
+        keep.drop(edges)
+    labels = keep(comps)
+    clear(labels)
+    lone = keep(C.lone(labels, X.entities(spark, frames(spark, sf), META)))
+    return C.labelled(labels).unionByName(lone)
 
 
 def graph_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, members), the edges written once for all that reads them."""
+    """(edges, members), written once for all that reads them."""
     keep = _keep(spark)
     edges = keep(edges_of(spark, sf))
-    comps, rounds, converged = components(edges, "left_entity_key", "right_entity_key", keep)
-    if not converged:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
-    labels = comps.select(F.col("node").alias("entity_key"), F.col("component").alias("label"))
-    return edges, C.membership(labels, X.entities(spark, frames(spark, sf), META))
+    return edges, _members_of(spark, sf, edges, keep, last=False)
 
 
 def members_of(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_of(spark, sf)[1]
-
-
-def kept_graph_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """graph_of for queries that read the members several times."""
-    edges, members = graph_of(spark, sf)
-    return edges, _keep(spark)(members)
+    keep = _keep(spark)
+    return _members_of(spark, sf, keep(edges_of(spark, sf).select("left_entity_key", "right_entity_key")), keep, last=True)
 
 
 IDS = """ids AS (
@@ -286,7 +288,11 @@ def p25_hash_min(spark, sf):
 
 @query(f"{BASE} SELECT k AS entity_key, c AS label FROM lab")
 def p25_star_components(spark, sf):
-    return components(edges_of(spark, sf), "left_entity_key", "right_entity_key", _keep(spark))[0].select(F.col("node").alias("entity_key"), F.col("component").alias("label"))
+    keep = _keep(spark)
+    edges = keep(edges_of(spark, sf).select("left_entity_key", "right_entity_key"))
+    labels = _labels_of(edges, keep)
+    keep.drop(edges)
+    return labels
 
 
 @query(f"{BASE} SELECT k AS entity_key, c AS resolved_id FROM mem")
@@ -315,7 +321,7 @@ CONF = "cf AS (SELECT c, n, coalesce(div, 0) AS div, CASE WHEN n <= 1 THEN 1.0 E
 CASE WHEN n = 1 THEN 1.0 ELSE round(0.5::DOUBLE * div / top + 0.35::DOUBLE * den + 0.15::DOUBLE, 3) END::DOUBLE AS confidence_score,
 CASE WHEN n = 1 THEN 'SINGLETON_NO_MATCH_REQUIRED' WHEN div >= 2 THEN div || ' identifier types' ELSE 'Single identifier type' END AS primary_reason FROM cf""")
 def p34_confidence(spark, sf):
-    edges, m = kept_graph_of(spark, sf)
+    edges, m = graph_of(spark, sf)
     return C.confidence(C.cluster_sizes(m), C.edge_stats(m, edges)).drop("edge_count")
 
 
@@ -324,7 +330,7 @@ CASE WHEN n = 1 THEN 'SINGLETON_NO_MATCH_REQUIRED' WHEN div >= 3 AND den >= 0.8
 WHEN div = 1 AND den >= 0.8 THEN 'Single identifier type, high density' WHEN div = 1 AND den < 0.5 THEN 'Single identifier type, chain pattern'
 ELSE div || ' identifier type(s), ' || CASE WHEN den >= 0.5 THEN 'moderate' ELSE 'low' END || ' density' END AS primary_reason FROM cf""")
 def p36_detailed_reason(spark, sf):
-    edges, m = kept_graph_of(spark, sf)
+    edges, m = graph_of(spark, sf)
     return C.confidence(C.cluster_sizes(m), C.edge_stats(m, edges), reasons="detailed").select("resolved_id", "primary_reason")
 
 
@@ -337,14 +343,14 @@ UNION ALL SELECT 'ev:' || event_id, 4, ts, NULL, event_type FROM events)"""
 a AS (SELECT c, name FROM x WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY ru DESC, k) = 1), b AS (SELECT c, segment FROM x WHERE segment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY ru DESC, k) = 1)
 SELECT m.c AS resolved_id, a.name AS name_primary, b.segment AS segment_primary FROM (SELECT DISTINCT c FROM mem) m LEFT JOIN a USING (c) LEFT JOIN b USING (c)""")
 def p40_golden_recency(spark, sf):
-    return C.golden_profiles(kept_graph_of(spark, sf)[1], X.attributes(spark, frames(spark, sf), META, ("name", "segment")), META.survivorship)
+    return C.golden_profiles(members_of(spark, sf), X.attributes(spark, frames(spark, sf), META, ("name", "segment")), META.survivorship)
 
 
 @query(f"""{BASE}, {ATTR}, x AS (SELECT c, attr.* FROM attr JOIN mem USING (k)),
 b AS (SELECT c, segment FROM x WHERE segment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c ORDER BY tr, ru DESC, k) = 1)
 SELECT m.c AS resolved_id, b.segment AS segment_primary FROM (SELECT DISTINCT c FROM mem) m LEFT JOIN b USING (c)""")
 def p41_golden_trust_recency(spark, sf):
-    return C.golden_profiles(kept_graph_of(spark, sf)[1], X.attributes(spark, frames(spark, sf), META, ("segment",)), (Survivorship("segment", "SOURCE_PRIORITY + MOST_RECENT"),))
+    return C.golden_profiles(members_of(spark, sf), X.attributes(spark, frames(spark, sf), META, ("segment",)), (Survivorship("segment", "SOURCE_PRIORITY + MOST_RECENT"),))
 
 
 @query(f"WITH {ENT} SELECT table_id, max(wm) AS last_watermark_value FROM ent GROUP BY 1 HAVING max(wm) IS NOT NULL")

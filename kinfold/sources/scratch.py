@@ -6,9 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -25,11 +27,59 @@ def folder(spark: SparkSession, label: str) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def put(df: DataFrame, path: str) -> DataFrame:
+    """df written to path, and read again."""
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Work tables below root: each is written once, and goes with `drop` when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df = put(df, path)
+        self._paths.append((df, path))
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes those of the tables that were written here; what is made from them can't be read any more."""
+        for _, path in [x for x in self._paths if any(x[0] is t for t in tables)]:
+            remove(self.spark, path)
+        self._paths = [x for x in self._paths if not any(x[0] is t for t in tables)]
+
+    def since(self) -> Callable[..., None]:
+        """What removes the tables that are written from now on until it is called, but those that it is given."""
+        before = {path for _, path in self._paths}
+        return lambda *but: self.drop(*(t for t, path in self._paths if path not in before and not any(t is x for x in but)))
+
+
 def _sweep() -> None:
     for spark, path in _made:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the JVM may be gone already
             return
 
