@@ -34,11 +34,14 @@ def group_sizes(ids: DataFrame) -> DataFrame:
     return ids.where("identifier_value_norm IS NOT NULL").groupBy(*GROUP).agg(F.count("*").alias("group_size"), F.min("entity_key").alias("anchor"))
 
 
-def oversized(ids: DataFrame, groups: DataFrame, meta: Metadata, run_id: str = "", at: Column | None = None, sample: int = 5) -> DataFrame:
-    """Groups above their rule's size, with their first keys in order. Each task passes on at most `sample` keys a group."""
+def oversized(ids: DataFrame, groups: DataFrame, meta: Metadata, run_id: str = "", at: Column | None = None, sample: int = 5, few: bool = False) -> DataFrame:
+    """Groups above their rule's size, with their first keys in order. Each task passes on at most `sample` keys a group.
+
+    few: those groups were counted, and can be broadcast, so that only their identifiers are shuffled."""
     big = groups.withColumn("max_allowed", max_group_size(meta)).where("group_size > max_allowed")
     first = Window.partitionBy(*GROUP).orderBy("entity_key")
-    keys = ids.join(big.select(*GROUP), GROUP, "left_semi").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
+    listed = big.select(*GROUP)
+    keys = ids.join(F.broadcast(listed) if few else listed, GROUP, "left_semi").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
     samples = keys.groupBy(*GROUP).agg(F.to_json(F.sort_array(F.collect_list("entity_key"))).alias("sample_entity_keys"))
     return big.join(samples, GROUP).select(
         F.lit(run_id).alias("run_id"), *GROUP, "group_size", "max_allowed", "sample_entity_keys", F.lit("EXCEEDED_MAX_GROUP_SIZE").alias("reason"),

@@ -20,6 +20,7 @@ from ..operators import dryrun, extract
 from ..operators import edges as E
 from ..operators.components import components
 from ..sources.metadata import validate
+from ..sources.scratch import Scratch, put, remove
 from ..sources.state import SCHEMAS, StateStore, upserted, upserted_edges
 
 MEMBERS, CLUSTERS, EDGES, GOLDEN = "identity_resolved_membership_current", "identity_clusters_current", "identity_edges_current", "golden_profile_current"
@@ -38,32 +39,36 @@ class Result:
     summary: dict | None = None
 
 
-class _Scratch:
+class _Scratch(Scratch):
     """Work tables of one run, in a folder of the state store that is removed at its end."""
 
     def __init__(self, store: StateStore, run_id: str):
-        self.store, self.root = store, f"{store.root}/_work/{run_id}-{uuid.uuid4().hex}"
+        super().__init__(store.spark, f"{store.root}/_work/{run_id}-{uuid.uuid4().hex}")
+        self.store, self.placed, self.committed = store, {}, False
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.store.spark.read.schema(df.schema).parquet(path)
-
-    def counted(self, df: DataFrame, **more: Column) -> tuple[DataFrame, dict[str, int]]:
-        """The work table, and its rows and further aggregates, observed while it is written."""
+    def counted(self, df: DataFrame, into: str | None = None, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The work table, and its rows and further aggregates, observed while it is written. into: the table of the state
+        that it becomes a part of, so that it isn't written twice."""
         seen = Observation()
-        df = self(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in more.items())))
-        return df, seen.get
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in more.items()))
+        if into is None:
+            return self(df), seen.get
+        self.placed.setdefault(into, []).append([path := self.store.place(into), None, None])
+        return put(df, path), seen.get
 
-    def drop(self) -> None:
-        self.store.fs.delete(self.store._path(self.root), True)
+    def end(self) -> None:
+        remove(self.spark, self.root)
+        for path, _, _ in (p for parts in self.placed.values() for p in parts if not self.committed):
+            remove(self.spark, path)
 
 
-def labels_of(nodes: DataFrame, edges: DataFrame, config: RunConfig, keep) -> tuple[DataFrame, int, bool]:
+def labels_of(nodes: DataFrame | None, edges: DataFrame, config: RunConfig, keep) -> tuple[DataFrame, int, bool]:
     if config.algorithm == "hash_min":
         return E.hash_min(nodes, edges, keep, config.max_iters)
     comps, rounds, converged = components(edges, "left_entity_key", "right_entity_key", keep, config.max_iters)
     found = comps.select(F.col("node").alias("entity_key"), F.col("component").alias("label"))
+    if nodes is None:
+        return found, rounds, converged
     return nodes.join(found, "entity_key", "left").select("entity_key", F.coalesce("label", "entity_key").alias("label")), rounds, converged
 
 
@@ -114,7 +119,7 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
             else:
                 known, rows_of = None, frames
             flagged = extract.flagged(extract.identifiers(spark, rows_of, meta), meta.exclusions).withColumn("made_by", F.lit(made_by))
-            flagged, seen = keep.counted(flagged, excluded=F.count_if("excluded"))
+            flagged, seen = keep.counted(flagged, IDENTIFIERS if known is None and not config.dry_run else None, excluded=F.count_if("excluded"))
             s["rows_out"], result.counts["excluded"] = seen["rows"], seen["excluded"]
             changed = delta.select("entity_key").distinct()
             every = flagged if known is None else known.join(changed, "entity_key", "left_anti").unionByName(flagged)
@@ -123,10 +128,12 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
             if config.mode.upper() != "FULL":
                 mine = flagged.where("NOT excluded") if known is not None else ids
                 ids = keep(E.members(ids, E.delta_values(mine, delta)))
-            groups = keep(E.group_sizes(ids))
-            skipped, seen = keep.counted(E.oversized(ids, groups, meta, run_id, ts))
+            groups, seen = keep.counted(E.group_sizes(ids), big=F.count_if(F.col("group_size") > E.max_group_size(meta)))
+            skipped, seen = keep.counted(E.oversized(ids, groups, meta, run_id, ts, few=seen["big"] <= 10_000))
             result.counts["skipped"] = seen["rows"]
-            new, seen = keep.counted(E.star_edges(ids, groups, meta, config.dedup_edges).select(*E.EDGE, ts.alias("first_seen_ts"), ts.alias("last_seen_ts")))
+            only = EDGES not in now and config.dedup_edges and not config.dry_run  # they are the table as they are
+            new, seen = keep.counted(E.star_edges(ids, groups, meta, config.dedup_edges).select(*E.EDGE, ts.alias("first_seen_ts"), ts.alias("last_seen_ts")), EDGES if only else None)
+            keep.drop(groups)
             s["rows_out"] = result.counts["edges"] = seen["rows"]
             if EDGES in now:
                 old, fresh_keys = store.read(EDGES, now), new.select(*E.EDGE).distinct()
@@ -140,22 +147,34 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
         with stage("label_propagation") as s:
             before = store.read(MEMBERS, now)
             touched = E.impacted_nodes(new)
-            if MEMBERS not in now and config.subgraph != "one_hop":  # the first run: the graph is all there is
+            first = MEMBERS not in now
+            alone = first and config.subgraph != "one_hop"  # the first run: the graph is all there is
+            if alone and config.algorithm != "hash_min":  # and all nodes have a component
+                nodes, sub = None, edges
+            elif alone:
                 nodes, seen = keep.counted(touched)
                 sub = edges
             else:
                 nodes, seen = keep.counted(E.one_hop(touched, edges) if config.subgraph == "one_hop" else E.closure(touched, before))
                 sub = E.induced(edges, nodes)
+            clear = keep.since()
             labels, result.lp_iterations, result.converged = labels_of(nodes, sub, config, keep)
+            if first:
+                members, seen = keep.counted(C.labelled(labels).withColumn("updated_ts", ts), None if config.dry_run else MEMBERS)
+                labels = members.select("entity_key", F.col("resolved_id").alias("label"))
+                clear(members)
             s["rows_out"] = seen["rows"]
             if not result.converged:
                 if config.on_nonconverged == "raise":
                     raise RuntimeError(f"labels still change after {result.lp_iterations} rounds")
                 result.warnings.append(f"labels still change after {result.lp_iterations} rounds")
         with stage("output_generation") as s:
-            first = MEMBERS not in now
             fresh = delta if first or config.subgraph == "one_hop" else delta.join(before.join(nodes, "entity_key", "left_anti"), "entity_key", "left_anti")
-            update = keep(C.membership(labels, fresh).withColumn("updated_ts", ts))
+            if first:
+                lone, _ = keep.counted(C.lone(labels, fresh).withColumn("updated_ts", ts), None if config.dry_run else MEMBERS)
+                update = members.unionByName(lone)
+            else:
+                update = keep(C.membership(labels, fresh).withColumn("updated_ts", ts))
             large = F.count_if(F.col("cluster_size") >= config.large_cluster_threshold)
             if first:  # every cluster is new
                 members, impacted = update, None
@@ -177,7 +196,7 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
             else:
                 touched_of = lambda df, how: df if impacted is None else df.join(impacted, "resolved_id", how)
                 inside = members if impacted is None else keep(touched_of(members, "left_semi"))
-                stats = C.edge_stats(inside, edges, config.edge_count)
+                stats = C.edge_stats(inside, edges, config.edge_count, whole=first and result.converged)
                 scored = C.confidence(sizes, stats, config.reasons).drop("edge_count").withColumn("updated_ts", ts)
                 meta_a = extract.probed_attributes(frames, meta)
                 names = tuple(dict.fromkeys([r.attribute for r in meta.survivorship] or [a.name for a in meta_a.attributes if a.name != "record_updated_at"]))
@@ -187,7 +206,7 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
                 result.counts["watermarks"] = {r["table_id"]: str(r["last_watermark_value"]) for r in marks_new.collect()}
                 audit = new.groupBy("rule_id").agg(F.count("*").alias("edges_created")).select(F.lit(run_id).alias("run_id"), "rule_id", "edges_created", ts.alias("started_at"), ts.alias("ended_at"))
                 resolved = sizes.select("resolved_id") if impacted is None else impacted
-                put = {
+                merged = {
                     EDGES: (seen_edges, seen_edges.select(*E.EDGE)), MEMBERS: (update, update.select("entity_key")), CLUSTERS: (scored, resolved), GOLDEN: (golden, resolved),
                     "run_state": (marks_new, marks_new.select("table_id")),
                 }
@@ -196,9 +215,12 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
                           "groups_skipped": result.counts["skipped"], "values_excluded": result.counts["excluded"], "large_clusters": result.counts["large"]}
                 rows = [(str(uuid.uuid4()), run_id, "idr_" + k, float(v), "gauge" if k in ("large_clusters", "lp_iterations") else "counter", json.dumps({"mode": config.mode}), datetime.fromisoformat(run_ts), None) for k, v in values.items()]
                 more["metrics_export"] = spark.createDataFrame(rows, SCHEMAS["metrics_export"])
-                parts = {name: store.stage_merge(name, df, keys, now) for name, (df, keys) in put.items()}
-                parts[IDENTIFIERS] = ("replace", store.stage(IDENTIFIERS, flagged)) if known is None else store.stage_merge(IDENTIFIERS, flagged, changed, now)
+                parts = {name: store.stage_merge(name, df, keys, now) for name, (df, keys) in merged.items() if name not in keep.placed}
+                if known is not None:
+                    parts[IDENTIFIERS] = store.stage_merge(IDENTIFIERS, flagged, changed, now)
+                parts |= {name: ("parts", placed) for name, placed in keep.placed.items()}
                 store.commit(parts | {name: ("append", store.stage(name, df)) for name, df in more.items()}, now)
+                keep.committed = True
             s["rows_out"] = result.counts["clusters"]
         if result.counts["skipped"]:
             result.warnings.append(f"{result.counts['skipped']} groups skipped")
@@ -213,4 +235,4 @@ def run(spark: SparkSession, meta: Metadata, frames: Dict[str, DataFrame], store
         finish("FAILED", str(e)[:2000])
         raise
     finally:
-        keep.drop()
+        keep.end()

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import put
+
 #: The tables' columns.
 SCHEMAS = {
     "identifiers_current": "table_id string, entity_key string, rule_id string, identifier_type string, identifier_value_norm string, is_hashed boolean, excluded boolean, made_by string",
@@ -99,10 +101,14 @@ class StateStore:
 
     def stage(self, table: str, df: DataFrame) -> list:
         """The part that df would make: the whole table."""
-        path = f"{self.root}/{table}/v-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        path = self.place(table)
+        put(df, path)
         return [path, None, None]
 
+    def place(self, table: str) -> str:
+        """A folder for a part that isn't written yet."""
+        return f"{self.root}/{table}/v-{uuid.uuid4().hex}"
+
     def stage_merge(self, table: str, rows: DataFrame, keys: DataFrame, now: dict[str, list]) -> tuple[str, list]:
         """('merge', part) that puts rows in place of those with keys; the whole table, ('replace', part), if it is time."""
         if table not in now:
@@ -111,11 +117,11 @@ class StateStore:
         if len(now[table]) >= MOST_PARTS:
             return "replace", self.stage(table, self.read(table, now).join(keys, on, "left_anti").unionByName(rows, allowMissingColumns=True))
         gone = f"{self.root}/{table}/k-{uuid.uuid4().hex}"
-        keys.write.parquet(gone)
+        put(keys, gone)
         return "merge", [self.stage(table, rows)[0], gone, list(on)]
 
     def commit(self, staged: dict[str, tuple[str, list]], since: dict[str, list] | None = None) -> None:
-        """staged: ('replace' | 'merge' | 'append', part) for each table. since: the pointer that parts were made from; a
+        """staged: ('replace' | 'merge' | 'append', part) or ('parts', parts: the whole table) for each table. since: the pointer that parts were made from; a
         table that was replaced or merged and has changed since raises ConflictError."""
         while True:
             number, now = self._latest()
@@ -124,7 +130,7 @@ class StateStore:
                     raise ConflictError(f"{table} was changed by another writer")
             after = dict(now)
             for table, (how, part) in staged.items():
-                after[table] = [part] if how == "replace" else [*now.get(table, []), part]
+                after[table] = part if how == "parts" else [part] if how == "replace" else [*now.get(table, []), part]
             if self._point(number + 1, after):
                 return
 
