@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,8 +103,11 @@ def _order(s: Survivorship) -> Column:
 
 
 def golden_profiles(members: DataFrame, attributes: DataFrame, rules: tuple[Survivorship, ...], impacted: DataFrame | None = None) -> DataFrame:
-    """One row for each cluster with the best value of each attribute that is not null: a single aggregation."""
-    rows = attributes.join(members.select("entity_key", "resolved_id"), "entity_key")
+    """One row for each cluster with the best value of each attribute that is not null: a single aggregation.
+
+    Only rows that have an attribute are joined and aggregated; the others decide nothing."""
+    some = reduce(or_, (F.col(s.attribute).isNotNull() for s in rules), F.lit(False))
+    rows = attributes.where(some).join(members.select("entity_key", "resolved_id"), "entity_key")
     ids = members.select("resolved_id").distinct()
     if impacted is not None:
         ids = ids.join(impacted.select("resolved_id").distinct(), "resolved_id", "left_semi")
