@@ -18,9 +18,9 @@ from .operators import dryrun as D
 from .operators import edges as E
 from .operators import extract as X
 from .operators import reports as R
-from .operators.components import components
+from .operators.components import component_sizes, components
 from .plans.resolution import CLUSTERS, EDGES, GOLDEN, MEMBERS, run
-from .sources.scratch import Scratch, folder
+from .sources.scratch import Scratch, folder, passes, share
 from .sources.state import SCHEMAS, StateStore, upserted, upserted_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,8 @@ def ids_of(spark: SparkSession, sf: str) -> DataFrame:
     return X.identifiers(spark, frames(spark, sf), META)
 
 
-def edges_of(spark: SparkSession, sf: str) -> DataFrame:
-    ids = ids_of(spark, sf)
+def edges_of(spark: SparkSession, sf: str, k: int = 0, n: int = 1) -> DataFrame:
+    ids = share(ids_of(spark, sf), k, n, *E.GROUP)
     return E.star_edges(ids, E.group_sizes(ids), META)
 
 
@@ -105,6 +105,21 @@ def members_of(spark: SparkSession, sf: str) -> DataFrame:
     return _members_of(spark, sf, keep(edges_of(spark, sf).select("left_entity_key", "right_entity_key")), keep, last=True)
 
 
+def sizes_of(spark: SparkSession, sf: str, n: int | None = None) -> DataFrame:
+    """(resolved_id, cluster_size) without members. The sources are read in n passes, by their size if it is not given."""
+    keep, sources = _keep(spark), frames(spark, sf)
+    n = n or passes(sources.values())
+    edges = keep(*(edges_of(spark, sf, k, n).select("left_entity_key", "right_entity_key") for k in range(n)))
+    linked = edges.select(F.col("right_entity_key").alias("entity_key")).union(edges.select("left_entity_key").distinct())
+    every = X.entities(spark, sources, META)
+    lone = keep(*(C.lone(share(linked, k, n, "entity_key"), share(every, k, n, "entity_key")) for k in range(n)))
+    sizes, rounds, converged = component_sizes(edges, "left_entity_key", "right_entity_key", keep, n)
+    if not converged:
+        raise RuntimeError(f"components still change after {rounds} rounds")
+    sizes = sizes.select(F.col("component").alias("resolved_id"), F.col("size").alias("cluster_size"))
+    return sizes.unionByName(C.cluster_sizes(lone))
+
+
 IDS = """ids AS (
   SELECT 'cust' AS table_id, 'cust:' || c_custkey AS k, 'r_cust' AS rule_id, 'CUST' AS ty, c_custkey::VARCHAR AS v FROM customer
   UNION ALL SELECT 'ord', 'ord:' || o_orderkey, 'r_cust', 'CUST', o_custkey::VARCHAR FROM orders
@@ -302,7 +317,7 @@ def p28_membership(spark, sf):
 
 @query(f"{BASE} SELECT c AS resolved_id, count(*) AS cluster_size FROM mem GROUP BY c")
 def p31_cluster_sizes(spark, sf):
-    return C.cluster_sizes(members_of(spark, sf))
+    return sizes_of(spark, sf)
 
 
 STATS = "st AS (SELECT c, count(DISTINCT ty) AS div, count(*) AS ec FROM (SELECT l AS k, ty FROM e UNION ALL SELECT r, ty FROM e) JOIN mem USING (k) GROUP BY c), sz AS (SELECT c, count(*) AS n FROM mem GROUP BY c)"

@@ -6,11 +6,12 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -39,10 +40,22 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def put(df: DataFrame, path: str) -> DataFrame:
-    """df written to path, and read again."""
+def passes(tables: Iterable[DataFrame], each: int = 512 << 20, most: int = 8) -> int:
+    """How often tables of so many bytes are read, for shuffle files of about `each` bytes of them at a time."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    return max(1, min(most, -(-size // each)))
+
+
+def share(rows: DataFrame, k: int, n: int, *key: str) -> DataFrame:
+    """The rows of each n-th key: all k from 0 to n - 1 have each row once, and all rows of a key together."""
+    return rows if n == 1 else rows.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k)
+
+
+def put(df: DataFrame, path: str, *more: DataFrame) -> DataFrame:
+    """df written to path, and read again. more: are added to it, one after the other."""
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        for x in (df, *more):
+            x.write.mode("error" if x is df else "append").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,9 +71,9 @@ class Scratch:
         self.spark, self.root = spark, root
         self._paths: list[tuple[DataFrame, str]] = []
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, *more: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df = put(df, path)
+        df = put(df, path, *more)
         self._paths.append((df, path))
         return df
 
