@@ -17,6 +17,7 @@ import numpy as np
 from .bytewords import span_hashes
 
 L, N, S, O, BAD = 0, 1, 2, 3, 4
+_VALUES = np.arange(1, 257, dtype=np.uint64)
 
 
 def _classes() -> np.ndarray:
@@ -42,6 +43,9 @@ class ByteBPE:
         self.tokenizer = Tokenizer.from_file(path)
         # strings that the library takes out of a text before it cuts pieces
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: a character of the vocabulary stands for a byte
+        self.bytes[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
         self.classes = _classes()
         self._empty()
 
@@ -51,7 +55,8 @@ class ByteBPE:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _batch(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+        """Ids alone: the library's way that leaves out offsets and words."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _cut(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces start, and which texts are for the library as a whole."""
@@ -108,7 +113,7 @@ class ByteBPE:
 
     def _encoded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each piece's begin, how many it has). Pieces of a space and letters are cut the same when they stand
-        one after another, so that the library takes TOGETHER of them in one call."""
+        one after another, so that the library takes TOGETHER of them in one call; the bytes of the ids tell which are whose."""
         plain = (ends - starts > 1) & (buf[starts] == 0x20) & (self.classes[buf[np.minimum(starts + 1, len(buf) - 1)]] == L)
         which, alone = np.flatnonzero(plain), [np.flatnonzero(~plain)]
         order, counts, flat = [], [], []
@@ -116,14 +121,15 @@ class ByteBPE:
             some = which[k : k + self.TOGETHER]
             n = ends[some] - starts[some]
             at = np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            e = self.tokenizer.encode(buf[at].tobytes().decode(), add_special_tokens=False)
-            count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
-            if len(count) != len(some) or not count.all():
+            ids = np.array(self._batch([buf[at].tobytes().decode()])[0], np.uint32)
+            upto, want = np.cumsum(self.bytes[ids]), np.cumsum(n)
+            last = np.minimum(np.searchsorted(upto, want), len(ids) - 1)
+            if not len(ids) or upto[-1] != want[-1] or (upto[last] != want).any():
                 alone.append(some)
                 continue
             order.append(some)
-            counts.append(count)
-            flat.append(np.array(e.ids, np.uint32))
+            counts.append(np.diff(last, prepend=-1))
+            flat.append(ids)
         order.append(np.concatenate(alone))
         raw = buf.tobytes()
         each = self._batch([raw[s:e].decode() for s, e in zip(starts[order[-1]].tolist(), ends[order[-1]].tolist())])
@@ -136,7 +142,7 @@ class ByteBPE:
 
     def _known(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in flat, number of ids) of each piece."""
-        h = span_hashes(buf.astype(np.uint16) + np.uint16(1), starts, ends) | np.uint64(1)
+        h = span_hashes(_VALUES[buf], starts, ends) | np.uint64(1)
         slot = (h >> np.uint64(64 - self.SLOTS_LOG2)).astype(np.int64)
         at, n = self.at[slot], self.n[slot]
         miss = np.flatnonzero(self.key[slot] != h)

@@ -92,7 +92,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """64-bit hashes of values[start:end] (small non-zero values), whatever their place."""
     p, q = _BYTES.get(len(values) + 1)
     c = np.zeros(len(values) + 1, U)
-    np.cumsum(values.astype(U) * p[: len(values)], out=c[1:])
+    np.cumsum(values.astype(U, copy=False) * p[: len(values)], out=c[1:])
     return mix((c[ends] - c[starts]) * q[starts])
 
 

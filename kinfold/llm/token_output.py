@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from . import jvm
 from ._shared import owned, scratch_root, ship_package, small, small_batches, text_of
@@ -40,6 +40,7 @@ END, SHARD, BLOCK = 2, 1 << 19, 1 << 14
 #: Ids that a task reads, about.
 TASK = 8 << 20
 SOURCE, HEAD = "token_coder.java", struct.Struct("<IIQIQI")
+LISTED = ArrayType(StructType().add("name", "binary").add("start", "long").add("n_tokens", "long").add("ids_crc32", "long"))
 
 
 def payload(part: int, seq: int, start: int, names: pa.Array, lens: np.ndarray, ids: np.ndarray) -> bytes:
@@ -67,8 +68,9 @@ def parsed(raw: bytes) -> tuple[int, int, pa.Array, np.ndarray, np.ndarray]:
 
 
 def functions(spark: SparkSession) -> None:
-    """Registers kinfold_write_shard(folder, payload, block), kinfold_code_shard(payload, block) and kinfold_read_shard(bytes)."""
-    for name, kind in (("WriteShard", LongType()), ("CodeShard", BinaryType()), ("ReadShard", BinaryType())):
+    """Registers kinfold_write_shard(folder, payload, block), kinfold_code_shard(payload, block), kinfold_read_shard(bytes) and
+    kinfold_list_shard(bytes)."""
+    for name, kind in (("WriteShard", LongType()), ("CodeShard", BinaryType()), ("ReadShard", BinaryType()), ("ListShard", LISTED)):
         jvm.register(spark, SOURCE, f"kinfold.llm.{name}", "kinfold_" + name.replace("Shard", "_shard").lower(), kind)
 
 
@@ -123,7 +125,8 @@ def write(docs: DataFrame, path: str, end: int = END, tokenizer: str | None = No
     stored = made.select("part", "seq", "start", "n_docs", "n_ids", F.call_function("kinfold_write_shard", F.lit(path), "payload", F.lit(block)).alias("n_bytes"))
     listing = path.rstrip("/") + "/_shards"
     with small_batches(spark):
-        stored.write.mode("overwrite").parquet(listing)
+        # a few files: for each, Hadoop starts processes, which count an executor's memory twice for a moment
+        stored.hint("rebalance").write.mode("overwrite").parquet(listing)
     return spark.read.schema(stored.schema).parquet(listing)
 
 
@@ -139,6 +142,10 @@ def read(spark: SparkSession, path: str, kind: str = "long", with_ids: bool = Fa
     ids = shards.agg(F.sum("n_ids")).first()[0] or 0
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktok").load(path).coalesce(max(1, ids // TASK))  # files are small for Spark's scans
     rows = files.select(F.regexp_extract("path", r"part-(\d+)-\d+\.ktok$", 1).cast("int").alias("part"), "content").join(small(bases), "part")
+    if not with_ids:  # the ids stay in the JVM
+        rows = rows.select("base", F.explode(F.call_function("kinfold_list_shard", "content")).alias("d"))
+        name = F.col("d.name").cast("string").cast(kind)
+        return rows.select(name.alias("doc_id"), (F.col("base") + F.col("d.start")).alias("start"), "d.n_tokens", "d.ids_crc32")
     rows = rows.select("base", F.call_function("kinfold_read_shard", "content").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +156,12 @@ def read(spark: SparkSession, path: str, kind: str = "long", with_ids: bool = Fa
                 _, start, found, lens, ids = O.parsed(raw.as_buffer())
                 ends = np.cumsum(lens)
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist())]
-                out, names = [found, pa.array(base + start + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    ptr = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                    out, names = [*out, pa.ListArray.from_arrays(ptr, pa.array(ids.astype(np.int32)))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                ptr = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                each = pa.ListArray.from_arrays(ptr, pa.array(ids.astype(np.int32)))
+                out = [found, pa.array(base + start + ends - lens), pa.array(lens), pa.array(crc, pa.int64()), each]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    got = rows.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    got = rows.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long, ids array<int>")
     return got.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

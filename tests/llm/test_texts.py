@@ -144,6 +144,48 @@ def test_token_output(spark, tmp_path):
     assert token_output.round_trip(docs(spark, [])).count() == 0
 
 
+def test_listing_of_shards_stays_in_the_jvm(spark, tmp_path, capsys):
+    path = (tmp_path / "out").as_uri()
+    token_output.write(docs(spark, CASES), path, shard_ids=64)
+    plain, full = token_output.read(spark, path), token_output.read(spark, path, with_ids=True)
+    plain.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    assert plain.schema == full.drop("ids").schema
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, full.drop("ids").collect()), key=str)
+
+
+def test_coder_writes_the_same_bytes_as_ever(spark):
+    """Checksums of what the format's first coder of version 2 wrote."""
+    rnd = np.random.default_rng(5)
+    zipf = (50257 ** rnd.random(40000)).astype(np.int64)
+    zipf[1::3] = zipf[0::3][: len(zipf[1::3])] // 2
+    for ids, crc in ((zipf, 0xA74926E1), (rnd.integers(0, 5, 40000), 0x256E13F0), (rnd.integers(0, 1 << 20, 3000), 0xB206E967), (np.r_[zipf[:20], (1 << 24) - 1, 0], 0x0D9AEBD5)):
+        raw, file = coded(spark, ids, [len(ids)])
+        assert zlib.crc32(file[:-4]) == crc and decoded(spark, file) == raw
+
+
+def test_pieces_are_told_apart_by_the_bytes_of_their_ids():
+    """Words that a worker has not met go to the library together; their ids come back without offsets or words."""
+    from kinfold.llm.bpe import ByteBPE
+    import public_tokenizers
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdeéüßqz") for _ in range(rnd.randint(1, 12))) for _ in range(3 * ByteBPE.TOGETHER)]
+    data = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+    bpe, calls = ByteBPE(public_tokenizers.path("byte_bpe_50k.json")), []
+    library = bpe.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, strings, **how):
+            calls.append(len(strings))
+            return library.encode_batch_fast(strings, **how)
+
+    bpe.tokenizer = Counted()
+    ids, first = bpe.encode(data, np.array([0, len(data)]))
+    assert ids.tolist() == library.encode(" " + " ".join(words), add_special_tokens=False).ids and first.tolist() == [0, len(ids)]
+    assert sum(calls) < 20
+
+
 def test_near_duplicates_against_brute_force(spark):
     rnd = random.Random(11)
     base = [[f"w{rnd.randrange(500)}" for _ in range(80)] for _ in range(6)]
